@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from structscore.llm import decontaminate, line_dedup, quality
+from structscore.llm import decontaminate, line_dedup, packing, quality, simhash
 from structscore.llm.common import stored
 
 
@@ -16,14 +16,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.drop_lines(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", one_of_each_group),
     ("decontamination", decontaminated),
+    ("packing", packed),
 ]
 
 #: Suffix automata and token packing have no SQL; tests hold the stages against plain Python.
