@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, quality, simhash
+from . import decontaminate, grammar, line_dedup, packing, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.ids_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op3_line_dedup": op3_line_dedup,
+        "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
+        "op6_repair_ids": op6_repair_ids,
         "op7_decontamination": op7_decontamination,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
@@ -65,6 +75,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP4_SQL = """
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM pages)
+"""
+
 OP5_SQL = rf"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -94,4 +111,4 @@ FROM judged
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
