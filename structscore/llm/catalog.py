@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, grammar, line_dedup, packing, quality, secrets, simhash, warc
+from . import decontaminate, grammar, line_dedup, packing, quality, repeats, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_repair_ids": op6_repair_ids,
         "op7_decontamination": op7_decontamination,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_repeated_bytes": op9_repeated_bytes,
         "op10_secret_scan": op10_secret_scan,
     }
 
