@@ -115,12 +115,13 @@ measured AS (
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(words, lambda w: lower(w) IN ({_STOP})))::BIGINT AS n_stop_words
+         len(list_filter(words, lambda w: lower(w) IN ({_STOP})))::BIGINT AS n_stop_words,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))::BIGINT AS n_stutter
   FROM cut c LEFT JOIN covered USING (doc_id)),
 judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
 SELECT *, NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 5 * n_symbols <= n_words
-          AND 5 * n_dup_lines <= 2 * n_lines AND 50 * n_stop_words >= n_words AS kept
+          AND 5 * n_dup_lines <= 2 * n_lines AND 4 * n_stutter <= n_words AND 50 * n_stop_words >= n_words AS kept
 FROM judged
 """
 

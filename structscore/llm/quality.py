@@ -47,11 +47,12 @@ class Rule:
         return ok
 
 
-#: The verdict beyond the base: rates of symbols, repeated lines, word length, stop words.
+#: The verdict beyond the base: word length, symbols, repeated lines, words said twice in a row, stop words.
 RULES = (
     Rule("word_length", "word_chars", "n_words", least=(2, 1), most=(12, 1)),
     Rule("symbols", "n_symbols", "n_words", most=(1, 5)),
     Rule("repeated_lines", "n_dup_lines", "n_lines", most=(2, 5)),
+    Rule("stutter", "n_stutter", "n_words", most=(1, 4)),
     Rule("stop_words", "n_stop_words", "n_words", least=(1, 50)),
 )
 
@@ -131,6 +132,7 @@ def measures(text: Column, window: int = 8) -> Column:
                 F.size(x).cast("long").alias("n_lines"),
                 _repeated_words(w, window).cast("long").alias("n_repeat_words"),
                 F.size(F.filter(w, lambda y: F.lower(y).isin(stop))).cast("long").alias("n_stop_words"),
+                F.size(F.filter(F.transform(w, lambda y, i: (i > 0) & (y == F.get(w, i - 1))), lambda y: y)).cast("long").alias("n_stutter"),
             ),
         )
 
@@ -149,7 +151,7 @@ def _with_measures(documents: DataFrame, mark: str) -> DataFrame:
 
 
 def _judged(mark: str, rules: tuple[Rule, ...], min_words: int) -> tuple[dict[str, Column], Column, Column]:
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words", "n_stutter")
     m = {n: F.col(mark)[n] for n in names}
     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     return m, failed, ~failed & verdict(m, rules)
