@@ -40,14 +40,16 @@ FREQUENT = 6
 ROUNDS = 16
 
 
-def _chosen(starts: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-    """Of candidate positions, every other one of each run of neighbours."""
-    at = np.flatnonzero(candidate)
+MIX = np.uint32(2654435761)
+
+
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of sorted positions, every other one of each run of neighbours."""
     if not len(at):
-        return at
+        return np.zeros(0, bool)
     fresh = np.concatenate(([True], np.diff(at) != 1))
     first = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-    return at[(at - first) % 2 == 0]
+    return (at - first) % 2 == 0
 
 
 def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -76,20 +78,26 @@ def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, ro
         good = np.flatnonzero(counts >= frequent)
         if not len(good):
             break
-        most = min(room - used, max(256, room // 4))
+        most = min(room - used, max(256, room // 2))
         if len(good) > most:
             good = good[np.argpartition(-counts[good], most - 1)[:most]]
         pairs = np.sort(ordered[edge[good]])
-        place = np.searchsorted(pairs, keys)
-        place[place == len(pairs)] = 0
-        at = _chosen(keys, inner & (pairs[place] == keys))
-        uses = np.bincount(place[at], minlength=len(pairs))
+        # a small table of hashes finds most positions that hold none of the pairs
+        table = np.zeros(1 << 16, bool)
+        table[pairs * MIX >> np.uint32(16)] = True
+        maybe = np.flatnonzero(table[keys * MIX >> np.uint32(16)] & inner)
+        found = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
+        hit = pairs[found] == keys[maybe]
+        maybe, found = maybe[hit], found[hit]
+        picked = _alternate(maybe)
+        at, place = maybe[picked], found[picked]
+        uses = np.bincount(place, minlength=len(pairs))
         kept = np.flatnonzero(uses >= 2)
         if not len(kept):
             break
         number = np.full(len(pairs), -1, np.int64)
         number[kept] = np.arange(len(kept))
-        name = number[place[at]]
+        name = number[place]
         at, name = at[name >= 0], name[name >= 0]
         s[at] = (first + used + name).astype(np.uint16)
         keep = np.ones(len(s), bool)
@@ -128,7 +136,7 @@ def write_shard(docs: list[int | None], ids: list[np.ndarray], first: int, end:
     rules, symbols = compress(np.concatenate(ids), first, end)
     wide = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
     stops = np.flatnonzero(symbols == end)
-    ends = stops[np.searchsorted(stops, np.arange(len(stops)))] + 1 if len(stops) == len(docs) else _document_ends(symbols, rules, first, ids)
+    ends = stops + 1 if len(stops) == len(docs) else _document_ends(symbols, rules, first, ids)
     body = b"".join(
         (
             np.array([d is None for d in docs], "u1").tobytes(),
@@ -174,6 +182,11 @@ class Shard:
         self.sizes = take("<u4", n_rules)
         self.symbols = take(wide, n_symbols)
 
+    def all_ids(self) -> list[np.ndarray]:
+        """The ids of every document, expanded together."""
+        stops = np.cumsum(self.counts.astype(np.int64))
+        return np.split(expand(self.symbols, self.rules, self.first), stops[:-1])
+
     def symbols_of(self, k: int) -> np.ndarray:
         return self.symbols[self.ends[k - 1] if k else 0 : self.ends[k]]
 
@@ -248,7 +261,7 @@ def read_ids(documents_path: str, spark) -> DataFrame:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 at = 0
                 for shard in shards_of(content.as_buffer()):
-                    crcs = [zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in range(len(shard.docs))]
+                    crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.all_ids()]
                     ends = at + np.cumsum(shard.counts.astype(np.int64))
                     starts = ends - shard.counts
                     yield pa.RecordBatch.from_arrays(

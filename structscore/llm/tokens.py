@@ -1,14 +1,18 @@
 """Token ids of whole texts, by way of their white-space-delimited chunks.
 
-`word_bpe_49k.json` drops white space and never merges across it, so a text's
-ids are its chunks' ids one after another.  Chunks repeat, so each is encoded
-once and remembered; the memory is a bounded cache that lasts as long as the
-Python worker and changes no result.
+`word_bpe_49k.json` lower-cases, drops white space and never merges across it or
+between letters and marks, so a text's ids are its chunks' ids one after
+another, and a chunk of letters with marks behind is the letters' ids and the
+marks' ids.  Chunks and stems repeat, so each is encoded once and remembered;
+the memory is a bounded cache that lasts as long as the Python worker and
+changes no result.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -16,8 +20,11 @@ from .common import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Chunks remembered per worker: about 120 MB.
-REMEMBERED = 600_000
+#: Chunks remembered per worker, in each of two generations: about 60 MB each.
+REMEMBERED = 300_000
+
+#: Letters up to U+024F that keep their number of characters in lower case, then marks.
+STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -32,25 +39,78 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        #: ids that end a run of letters, where the model marks ends
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        """Ids of pieces one by one."""
+        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+
+    def _runs(self, stems: list[str]) -> list[bytes]:
+        """Ids of runs of letters, together: each run ends at an id that marks an end."""
+        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, self.dtype)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(stems):
+            return self._plain(stems)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        at = [0, *(stop * size).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        known, older = self.known, self.older
+        cut: list[tuple[bytes, str, str]] = []
+        whole: list[bytes] = []
+        for c in chunks:
+            if (old := older.get(c)) is not None:
+                known[c] = old
+                continue
+            m = STEM.fullmatch(c.decode("utf-8", "replace")) if self.ends.any() else None
+            if m:
+                cut.append((c, m[1].lower(), m[2]))
+            else:
+                whole.append(c)
+        pieces: dict[str, bytes] = {}
+        stems = list({s for _, s, _ in cut})
+        # the bytes of a stem are a chunk of their own
+        fresh = []
+        for s in stems:
+            b = s.encode()
+            ids = known.get(b) or older.get(b)
+            if ids is None:
+                fresh.append(s)
+            else:
+                pieces[s] = ids
+        for i in range(0, len(fresh), 2048):
+            part = fresh[i : i + 2048]
+            for s, ids in zip(part, self._runs(part), strict=True):
+                pieces[s] = known[s.encode()] = ids
+        marks = list({m for _, _, m in cut if m})
+        tails = {"": b"", **dict(zip(marks, self._plain(marks), strict=True))}
+        for c, s, m in cut:
+            known[c] = pieces[s] + tails[m]
+        for i in range(0, len(whole), 2048):
+            part = whole[i : i + 2048]
+            known.update(zip(part, self._plain([c.decode("utf-8", "replace") for c in part]), strict=True))
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
-        known = self.known
         split = [t.split() for t in texts]
         new: set[bytes] = set()
         for chunks in split:
             new.update(chunks)
-        new.difference_update(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {c for chunks in split for c in chunks}
-        fresh = list(new)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            known.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(part, encoded, strict=True))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new.difference_update(self.known)
+        self._learn(list(new))
         last = np.array([end], self.dtype).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)) + last, self.dtype) for chunks in split]
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype) for chunks in split]
 
 
 def encoder(vocabulary: str = VOCABULARY) -> ChunkEncoder:
