@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers, graphs, matching, tables, text, trees
+from .functions import answers, graphs, json_tables, matching, tables, text, trees
 from .operators.assignment import graph_similarity, tree_similarity
-from .plans import report, resume, scoring
+from .operators.code import code_table
+from .plans import judging, report, resume, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -540,6 +541,63 @@ def q34_judgement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT r_name AS root, task, 1.0::DOUBLE AS em, NULL::VARCHAR AS error FROM region, (VALUES ('SE_MERMAID'), ('SE_GRAPHVIZ'), ('SE_D2'), ('SE_CYTOSCAPE'), ('SE_DIAGRAMS'), ('SE_PLANTUML')) v(task)
+    WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+    """
+)
+def q35_judged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six notations of one graph judged against its Mermaid reference."""
+    made = _regions_as_graphs(spark, sf_dir)
+    node = lambda i: F.concat(F.lit("n"), i)
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("ns"))
+    listed = table(spark, sf_dir, "region").join(nations, "r_regionkey").select(F.col("r_name").alias("root"), "ns")
+    diagrams = F.concat(
+        F.lit('r = Action("'), F.col("root"), F.lit('")\n'),
+        F.array_join(F.transform("ns", lambda n, i: F.concat(node(i), F.lit(' = Action("'), n, F.lit('")\nr >> Edge(label="has") >> '), node(i))), "\n"),
+    )
+    plantuml = F.concat(
+        F.lit("@startuml\n:"), F.col("root"), F.lit(";\nfork\n"),
+        F.array_join(F.transform("ns", lambda n: F.concat(F.lit("-> has;\n:"), n, F.lit(";"))), "\nfork again\n"), F.lit("\nend fork\n@enduml"),
+    )
+    made = made.join(listed, F.col("r_name") == F.col("root")).withColumns({"diagrams": diagrams, "plantuml": plantuml})
+    forms = {"SE_MERMAID": "mermaid", "SE_GRAPHVIZ": "graphviz", "SE_D2": "d2", "SE_CYTOSCAPE": "cytoscape", "SE_DIAGRAMS": "diagrams", "SE_PLANTUML": "plantuml"}
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(c).alias("prediction")) for t, c in forms.items()]))
+    rows = made.select("root", F.col("mermaid").alias("reference"), each.alias("x")).select("root", "reference", "x.*")
+    return judging.score_graphs(rows).select("root", "task", "score.em", F.lit(None).cast("string").alias("error"))
+
+
+@query("SELECT l_orderkey, 'L' || l_linenumber AS line, max(l_quantity)::BIGINT::VARCHAR AS quantity, max(l_discount) AS discount FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def q36_json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level JSON, a category per column, read back."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"))
+    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount"))).alias("x"))
+    entry = lambda v: F.array_join(F.transform("x", lambda x: F.concat(F.lit('"L'), x["l_linenumber"], F.lit('": '), v(x))), ", ")
+    said = F.concat(F.lit('{"values": {"quantity": {'), entry(lambda x: x["l_quantity"].cast("bigint").cast("string")), F.lit('}, "discount": {'), entry(lambda x: x["l_discount"].cast("string")), F.lit("}}}"))
+    made = scoring.settled(items.select("l_orderkey", said.alias("text")), {"v": json_tables.values(F.col("text"))})
+    made = scoring.settled(made, {"t": json_tables.json_table(F.col("v"))})
+    rows = made.select("l_orderkey", F.explode(F.slice("t", 2, 1000)).alias("r"))
+    return rows.select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].alias("quantity"), F.col("r")[2].cast("double").alias("discount"))
+
+
+@query("SELECT l_orderkey, 'L' || l_linenumber AS line, l_quantity AS quantity, l_discount AS discount FROM lineitem")
+def q37_code_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in plotting code read back."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount"))).alias("x"))
+    listed = lambda name, v: F.concat(F.lit(name + " = ["), F.array_join(F.transform("x", v), ", "), F.lit("]\n"))
+    said = F.concat(
+        F.lit("import matplotlib.pyplot as plt\n"),
+        listed("names", lambda x: F.concat(F.lit("'L"), x["l_linenumber"], F.lit("'"))),
+        listed("quantity", lambda x: x["l_quantity"].cast("string")),
+        listed("discount", lambda x: x["l_discount"].cast("string")),
+        F.lit("plt.bar(names, quantity)\nplt.show()"),
+    )
+    made = items.select("l_orderkey", code_table(said).alias("t"))
+    rows = made.select("l_orderkey", F.explode(F.slice("t", 2, 1000)).alias("r"))
+    return rows.select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].cast("double").alias("quantity"), F.col("r")[2].cast("double").alias("discount"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
