@@ -123,7 +123,13 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) or 1
+    """56 bits name a word: of a billion words some seven pairs would share a name."""
+    return xxhash.xxh3_64_intdigest(word) >> 8 or 1
+
+
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes: their top bytes are zero and take no room."""
+    return np.diff(ordered, prepend=ordered[:1] * np.uint64(0))
 
 
 def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
@@ -146,8 +152,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cells[full])], names=["cell", "n"])
 
 
-def _pairs(shards: int, cells: np.ndarray):
-    """Blocks of texts as (shard, block) arrays of word pairs with the texts that hold them."""
+def _pairs(shards: int, cells: np.ndarray, texts: bool):
+    """Blocks of texts as (shard, block) arrays of word pairs: with their training counts, or with the texts that hold them."""
     ways = np.maximum(1, np.ceil(cells / (SHARD_TOKENS / 4))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +167,7 @@ def _pairs(shards: int, cells: np.ndarray):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal words, ids, docs, held, number
             if docs:
-                yield from (_batch([r]) for r in _block(base | number, words, ids, docs, shards, ways))
+                yield from (_batch([r]) for r in _block(base | number, words, ids, docs, shards, ways, texts))
                 words, ids, docs, held, number = {}, [], [], 0, number + 1
 
         for batch in slices(batches, "text"):
@@ -186,7 +192,7 @@ def _pairs(shards: int, cells: np.ndarray):
     return run
 
 
-def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], shards: int, ways: np.ndarray) -> Iterator[Row]:
+def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], shards: int, ways: np.ndarray, texts: bool) -> Iterator[Row]:
     hashes = np.concatenate(([END], np.fromiter(map(word_hash, words), np.uint64, len(words))))
     owner = np.repeat(np.arange(len(ids)), [len(x) - 1 for x in ids])
     v = np.concatenate([x[:-1] for x in ids])
@@ -205,13 +211,20 @@ def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: li
     text = (keys & np.uint64((1 << 18) - 1)).astype(np.int64)
     uid, doc, null, size, out = (np.array(x) for x in zip(*docs, strict=True))
     folds = dump(out.astype(np.uint8))
+    train = np.add.reduceat(np.where(out[text], 0, times), pair)
     for s, own in _by(shard):
         n = posts[own]
-        where = np.repeat(pair[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        used, inverse = np.unique(np.concatenate((w[own], v[own])), return_inverse=True)
-        yield s, BLOB, number, dump(hashes[used], narrow(inverse[: len(own)]), narrow(inverse[len(own) :]), narrow(n), narrow(text[where]), narrow(times[where]))
-        yield s, FOLDS, number, folds
-    yield number, DOCS, 0, dump(uid.astype(np.int64), doc.astype(np.int64), null.astype(np.uint8), size.astype(np.int64), out.astype(np.uint8))
+        # words in order of their hashes
+        used, inverse = np.unique(hashes[np.concatenate((w[own], v[own]))], return_inverse=True)
+        arrays = [steps(used), narrow(inverse[: len(own)]), narrow(inverse[len(own) :])]
+        if texts:
+            where = np.repeat(pair[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield s, BLOB, number, dump(*arrays, narrow(n), narrow(text[where]), narrow(times[where]))
+            yield s, FOLDS, number, folds
+        else:
+            yield s, BLOB, number, dump(*arrays, narrow(train[own]))
+    if texts:
+        yield -1 - number, DOCS, 0, dump(uid.astype(np.int64), doc.astype(np.int64), null.astype(np.uint8), size.astype(np.int64), out.astype(np.uint8))
 
 
 def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -226,18 +239,26 @@ def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Shard:
-    """All pairs of a shard, sorted by dish and context, and where each blob's pairs are among them."""
+    """All pairs of a shard, sorted by dish and context, and where each blob's pairs are among them.
+
+    The order depends on the words alone, so it is the same in both passes.
+    """
 
     def __init__(self, rows: list[tuple[int, int, bytes]]):
         out = {part: load(data)[0].astype(bool) for kind, part, data in rows if kind == FOLDS}
         self.blobs = [(part, load(data)) for kind, part, data in rows if kind == BLOB]
-        self.words = np.unique(np.concatenate([b[0] for _, b in self.blobs]))
+        hashes = [np.cumsum(b[0]) for _, b in self.blobs]
+        self.words = np.unique(np.concatenate(hashes))
         keys, train = [], []
-        for part, (hashes, w, v, n, text, times) in self.blobs:
-            at = np.searchsorted(self.words, hashes).astype(np.uint64)
+        for (part, (_, w, v, n, *where)), own in zip(self.blobs, hashes, strict=True):
+            at = np.searchsorted(self.words, own).astype(np.uint64)
             keys.append(at[w] << np.uint64(32) | at[v])
-            count = np.where(out[part][text], 0, times).astype(np.int64)
-            train.append(np.add.reduceat(count, np.cumsum(n.astype(np.int64)) - n))
+            if where:
+                text, times = where
+                count = np.where(out[part][text], 0, times).astype(np.int64)
+                train.append(np.add.reduceat(count, np.cumsum(n.astype(np.int64)) - n))
+            else:
+                train.append(n.astype(np.int64))
         pairs, self.inverse = np.unique(np.concatenate(keys), return_inverse=True)
         self.count = np.bincount(self.inverse, np.concatenate(train), len(pairs)).astype(np.int64)
         self.dish, self.context = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -388,6 +409,9 @@ def _score(samples: int, numbers: list[Numbers], owners: int):
     """A shard's part of every text's score: summed log10 of averaged predictive probabilities."""
 
     def handle(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
+        if shard < 0:  # a block's texts, on their way to the shards' sums
+            yield -1 - shard, DOCS, 0, rows[0][2]
+            return
         s = Shard(rows)
         d_owner, c_owner = _owners(s.words[s.dishes], owners), _owners(s.words[s.contexts], owners)
         tables = {part: load(data)[0] for kind, part, data in rows if kind == TABLES}
@@ -471,7 +495,9 @@ def score_texts(documents: DataFrame, samples: int = 2, theta: float = 1.0, seed
     for r in texts.select("text").mapInArrow(_sketch, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH rows at most
         cells[r.cell] = r.n
     shards = max(1, math.ceil(int(cells.sum()) / SHARD_TOKENS))
-    made = stored(texts.mapInArrow(_pairs(shards, cells), ROWS), "pairs", "uncompressed")
+    # two passes over the texts take less room than pairs that are kept from one to the other
+    counted_pairs = texts.mapInArrow(_pairs(shards, cells, False), ROWS)
+    made = texts.mapInArrow(_pairs(shards, cells, True), ROWS)
 
     def of(rows: DataFrame, *kinds: int) -> DataFrame:
         return rows.filter(F.col("kind").isin(*kinds))
@@ -480,20 +506,19 @@ def score_texts(documents: DataFrame, samples: int = 2, theta: float = 1.0, seed
         found = [load(bytes(r.data))[0] for r in of(rows, NUMBERS).select("data").collect()]  # a few numbers per shard
         return np.sum(found, 0) if found else np.zeros(4, np.int64)
 
-    first = stored(grouped(of(made, BLOB, FOLDS), _first(shards)), "shards", "uncompressed")
+    first = stored(grouped(counted_pairs, _first(shards)), "shards", "uncompressed")
     once, twice, *_ = counted(first).tolist()
     answers = stored(grouped(of(first, ASK), _answer(0, None, seed)), "answers", "uncompressed")
     numbers = [Numbers(*counted(answers).tolist(), once, twice, theta)]
     index, replies = of(answers, INDEX), of(answers, REPLY)
-    seated = of(made, BLOB, FOLDS)
+    seated = made
     for k in range(1, samples + 1):
         swept = stored(grouped(of(first, STATE).unionByName(replies), _sweep(k, numbers[-1], seed)), "sweep", "uncompressed")
         answers = stored(grouped(index.unionByName(of(swept, ASK)), _answer(k, numbers[-1], seed)), "answers", "uncompressed")
         numbers.append(Numbers(*counted(answers).tolist(), once, twice, theta))
         replies = of(answers, REPLY)
         seated = seated.unionByName(replies).unionByName(of(swept, TABLES))
-    sums = grouped(seated, _score(samples, numbers, shards))
-    rows = of(made, DOCS).unionByName(sums).repartition("key").sortWithinPartitions("key", "kind", "part").mapInArrow(_per_text, TEXTS)
+    rows = grouped(seated, _score(samples, numbers, shards)).repartition("key").sortWithinPartitions("key", "kind", "part").mapInArrow(_per_text, TEXTS)
     whole = rows.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("held_out").alias("held_out"),
