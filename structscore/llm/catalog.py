@@ -126,5 +126,27 @@ FROM judged
 """
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, list_slice(ws, i, i + 12) AS gram
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+lengths AS (SELECT DISTINCT len(gram) AS n FROM windows),
+spans AS (
+  SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS gram
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lengths WHERE len(ws) >= n)),
+found AS (SELECT doc_id, n, i, item FROM spans JOIN windows USING (gram)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
