@@ -31,12 +31,15 @@ def matches(p: Column, r: Column, words: int, error: float) -> Column:
     error is divided by the reference value with its sign, so any number fits a
     negative reference value.  Otherwise the whole triple is within `words`.
     """
+
+    def near(a: Column, b: Column) -> Column:
+        return F.levenshtein(a, b, words) >= 0 if words else a == b
+
     numbers = p["num"].isNotNull() & r["num"].isNotNull()
-    names = F.levenshtein(F.concat(p["k0"], p["k1"]), F.concat(r["k0"], r["k1"]), words) >= 0
+    names = near(F.concat(p["k0"], p["k1"]), F.concat(r["k0"], r["k1"]))
     off = F.try_divide(F.abs(p["num"] - r["num"]), r["num"] + 0.000001)
-    close = ~F.isnan(off) & (off <= error)
-    texts = F.levenshtein(_joined(p), _joined(r), words) >= 0
-    return F.coalesce(F.when(numbers, names & close).otherwise(texts), F.lit(False))
+    close = ~F.isnan(off) & (off <= error)  # first: it is cheap and mostly false
+    return F.coalesce(F.when(numbers, close & names).otherwise(near(_joined(p), _joined(r))), F.lit(False))
 
 
 def similarity(pred: Column, ref: Column, words: int, error: float) -> Column:

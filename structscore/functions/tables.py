@@ -150,7 +150,8 @@ def html_table(text: Column) -> Table:
 
         return let(F.aggregate(F.sequence(F.lit(0), n), empty, put)["out"], done)
 
-    return F.aggregate(grid, start, place)["rows"]
+    plain = F.transform(grid, lambda r: F.transform(r, lambda c: c["text"]))
+    return F.when(body.rlike("(?i)rowspan"), F.aggregate(grid, start, place)["rows"]).otherwise(plain)
 
 
 def transpose(rows: Table) -> Table:

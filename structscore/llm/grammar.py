@@ -78,7 +78,7 @@ def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, ro
         good = np.flatnonzero(counts >= frequent)
         if not len(good):
             break
-        most = min(room - used, max(256, room // 2))
+        most = min(room - used, max(room // 4, (room - used) // 2))
         if len(good) > most:
             good = good[np.argpartition(-counts[good], most - 1)[:most]]
         pairs = np.sort(ordered[edge[good]])
@@ -116,19 +116,18 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return size[first:]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """All ids under `symbols`, a layer of rules at a time."""
-    s = symbols.astype(np.int64)
-    while len(big := np.flatnonzero(s >= first)):
-        shift = np.ones(len(s), np.int64)
-        shift[big] = 2
-        at = np.cumsum(shift) - shift
-        out = np.empty(int(at[-1] + shift[-1]), np.int64)
-        out[at] = s
-        pair = rules[s[big] - first]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        s = out
-    return s.astype(np.uint32)
+def expansions(rules: np.ndarray, first: int) -> list[bytes]:
+    """The ids under every symbol, four bytes each; rules only use earlier ones."""
+    raw = np.arange(first, dtype="<u4").tobytes()
+    out = [raw[i : i + 4] for i in range(0, len(raw), 4)]
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return out
+
+
+def expand(symbols: np.ndarray, under: list[bytes]) -> np.ndarray:
+    """All ids under `symbols`."""
+    return np.frombuffer(b"".join(map(under.__getitem__, symbols.tolist())), "<u4")
 
 
 def write_shard(docs: list[int | None], ids: list[np.ndarray], first: int, end: int) -> bytes:
@@ -181,11 +180,12 @@ class Shard:
         self.rules = take(wide, 2 * n_rules).reshape(-1, 2)
         self.sizes = take("<u4", n_rules)
         self.symbols = take(wide, n_symbols)
+        self.under = expansions(self.rules, self.first)
 
     def all_ids(self) -> list[np.ndarray]:
         """The ids of every document, expanded together."""
         stops = np.cumsum(self.counts.astype(np.int64))
-        return np.split(expand(self.symbols, self.rules, self.first), stops[:-1])
+        return np.split(expand(self.symbols, self.under), stops[:-1])
 
     def symbols_of(self, k: int) -> np.ndarray:
         return self.symbols[self.ends[k - 1] if k else 0 : self.ends[k]]
@@ -194,7 +194,7 @@ class Shard:
         """Ids start .. start + count of document k; only symbols over that range are expanded."""
         s = self.symbols_of(k)
         if start == 0 and count is None:
-            return expand(s, self.rules, self.first)
+            return expand(s, self.under)
         count = int(self.counts[k]) - start if count is None else count
         size = np.ones(len(s), np.int64)
         big = s >= self.first
@@ -203,7 +203,7 @@ class Shard:
         lo = int(np.searchsorted(stop, start, "right"))
         hi = int(np.searchsorted(stop, start + count)) + 1
         skip = start - (int(stop[lo - 1]) if lo else 0)
-        return expand(s[lo:hi], self.rules, self.first)[skip : skip + count]
+        return expand(s[lo:hi], self.under)[skip : skip + count]
 
 
 def shards_of(content: bytes) -> Iterator[Shard]:

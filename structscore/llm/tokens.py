@@ -20,11 +20,12 @@ from .common import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Chunks remembered per worker, in each of two generations: about 60 MB each.
-REMEMBERED = 300_000
+#: Chunks remembered per worker, in each of two generations: about 80 MB each.
+REMEMBERED = 600_000
 
-#: Letters up to U+024F that keep their number of characters in lower case, then marks.
-STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters up to U+024F whose lower case has as many bytes; marks that may stand behind.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0178\u0179-\u017e\u0180-\u0239]+")
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -40,6 +41,8 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        #: ids of the marks behind letters, of those seen
+        self.tails: dict[bytes, bytes] = {b"": b""}
         #: ids that end a run of letters, where the model marks ends
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         with open(path, encoding="utf-8") as f:
@@ -62,38 +65,46 @@ class ChunkEncoder:
         at = [0, *(stop * size).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
+    def _stem(self, chunk: bytes) -> bytes | None:
+        """The letters of a chunk of letters and marks, in lower case; None for other chunks."""
+        stem = chunk.rstrip(MARKS)
+        if stem.isalpha():  # ASCII letters alone
+            return stem.lower()
+        text = stem.decode("utf-8", "replace")
+        return text.lower().encode() if LETTERS.fullmatch(text) else None
+
     def _learn(self, chunks: list[bytes]) -> None:
-        known, older = self.known, self.older
-        cut: list[tuple[bytes, str, str]] = []
+        known, older, tails = self.known, self.older, self.tails
+        split = self.ends.any()
+        waiting: list[tuple[bytes, bytes, bytes]] = []
         whole: list[bytes] = []
         for c in chunks:
-            if (old := older.get(c)) is not None:
-                known[c] = old
+            ids = older.get(c)
+            if ids is not None:
+                known[c] = ids
                 continue
-            m = STEM.fullmatch(c.decode("utf-8", "replace")) if self.ends.any() else None
-            if m:
-                cut.append((c, m[1].lower(), m[2]))
-            else:
+            stem = self._stem(c) if split else None
+            if stem is None:
                 whole.append(c)
-        pieces: dict[str, bytes] = {}
-        stems = list({s for _, s, _ in cut})
-        # the bytes of a stem are a chunk of their own
-        fresh = []
-        for s in stems:
-            b = s.encode()
-            ids = known.get(b) or older.get(b)
-            if ids is None:
-                fresh.append(s)
+                continue
+            tail = c[len(stem) :]
+            ids = known.get(stem) or older.get(stem)  # a stem is a chunk of its own
+            if ids is not None and tail in tails:
+                known[c] = ids + tails[tail]
             else:
-                pieces[s] = ids
+                waiting.append((c, stem, tail))
+        if len(tails) > 1 << 16:
+            self.tails = tails = {b"": b""}
+        marks = list({t for _, _, t in waiting if t not in tails})
+        tails.update(zip(marks, self._plain([t.decode() for t in marks]), strict=True))
+        fresh = list({s for _, s, _ in waiting})
+        pieces: dict[bytes, bytes] = {}
         for i in range(0, len(fresh), 2048):
             part = fresh[i : i + 2048]
-            for s, ids in zip(part, self._runs(part), strict=True):
-                pieces[s] = known[s.encode()] = ids
-        marks = list({m for _, _, m in cut if m})
-        tails = {"": b"", **dict(zip(marks, self._plain(marks), strict=True))}
-        for c, s, m in cut:
-            known[c] = pieces[s] + tails[m]
+            pieces.update(zip(part, self._runs([s.decode() for s in part]), strict=True))
+        for c, stem, tail in waiting:
+            known[stem] = ids = pieces[stem]
+            known[c] = ids + tails[tail]
         for i in range(0, len(whole), 2048):
             part = whole[i : i + 2048]
             known.update(zip(part, self._plain([c.decode("utf-8", "replace") for c in part]), strict=True))
