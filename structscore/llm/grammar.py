@@ -236,7 +236,7 @@ def write_ids(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end
             return pa.RecordBatch.from_arrays([pa.array([write_shard(docs, ids, first, end)[:-1]], pa.binary())], names=["frame"])
 
         for batch in slices(batches, "text"):
-            for doc, x in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist(), end), strict=True):
+            for doc, x in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"), end), strict=True):
                 if docs and held + len(x) > shard_ids:
                     yield frame()
                     docs, ids, held = [], [], 0

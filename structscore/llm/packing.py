@@ -89,7 +89,7 @@ def tokenised(documents: DataFrame, vocabulary: str = VOCABULARY, end: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids = encoder(vocabulary).encode(batch.column("text").to_pylist(), end)
+            ids = encoder(vocabulary).encode(batch.column("text"), end)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

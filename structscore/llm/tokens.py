@@ -3,35 +3,59 @@
 `word_bpe_49k.json` lower-cases, drops white space and never merges across it or
 between letters and marks, so a text's ids are its chunks' ids one after
 another, and a chunk of letters with marks behind is the letters' ids and the
-marks' ids.  Chunks and stems repeat, so each is encoded once and remembered;
-the memory is a bounded cache that lasts as long as the Python worker and
-changes no result.
+marks' ids.  Chunks, letters and marks repeat: a batch's are numbered by Arrow,
+each distinct piece is looked up once, and the ids are put together by number.
+Pieces are remembered in a bounded cache that lasts as long as the Python worker
+and changes no result.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Chunks remembered per worker, in each of two generations: about 80 MB each.
+#: Pieces remembered per worker, in each of two generations: about 80 MB each.
 REMEMBERED = 600_000
 
 #: Letters up to U+024F whose lower case has as many bytes; marks that may stand behind.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0178\u0179-\u017e\u0180-\u0239]+")
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ŸŹ-žƀ-ȹ]+$"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of `flat`, given by where they start and how long they are, one after another."""
+    stops = np.cumsum(sizes)
+    return flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)]
+
+
+def _strings(texts: pa.Array) -> pa.Array:
+    """Bytes as strings; null is empty, and what is not UTF-8 becomes U+FFFD."""
+    try:
+        return pc.fill_null(texts.cast(pa.string()), "")
+    except pa.ArrowInvalid:
+        return pa.array([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def _offsets(strings: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, strings.offset * 4).astype(np.int64)
+
+
+def _list(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
-    """Encodes texts (bytes, UTF-8) to unsigned ids in a fixed little-endian type."""
+    """Encodes texts (an Arrow array of UTF-8) to unsigned ids in a fixed little-endian type."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,10 +63,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        #: ids of the marks behind letters, of those seen
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: ids that end a run of letters, where the model marks ends
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         with open(path, encoding="utf-8") as f:
@@ -65,63 +87,64 @@ class ChunkEncoder:
         at = [0, *(stop * size).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _stem(self, chunk: bytes) -> bytes | None:
-        """The letters of a chunk of letters and marks, in lower case; None for other chunks."""
-        stem = chunk.rstrip(MARKS)
-        if stem.isalpha():  # ASCII letters alone
-            return stem.lower()
-        text = stem.decode("utf-8", "replace")
-        return text.lower().encode() if LETTERS.fullmatch(text) else None
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        known, older, tails = self.known, self.older, self.tails
-        split = self.ends.any()
-        waiting: list[tuple[bytes, bytes, bytes]] = []
-        whole: list[bytes] = []
-        for c in chunks:
-            ids = older.get(c)
-            if ids is not None:
-                known[c] = ids
-                continue
-            stem = self._stem(c) if split else None
-            if stem is None:
-                whole.append(c)
-                continue
-            tail = c[len(stem) :]
-            ids = known.get(stem) or older.get(stem)  # a stem is a chunk of its own
-            if ids is not None and tail in tails:
-                known[c] = ids + tails[tail]
-            else:
-                waiting.append((c, stem, tail))
-        if len(tails) > 1 << 16:
-            self.tails = tails = {b"": b""}
-        marks = list({t for _, _, t in waiting if t not in tails})
-        tails.update(zip(marks, self._plain([t.decode() for t in marks]), strict=True))
-        fresh = list({s for _, s, _ in waiting})
-        pieces: dict[bytes, bytes] = {}
-        for i in range(0, len(fresh), 2048):
-            part = fresh[i : i + 2048]
-            pieces.update(zip(part, self._runs([s.decode() for s in part]), strict=True))
-        for c, stem, tail in waiting:
-            known[stem] = ids = pieces[stem]
-            known[c] = ids + tails[tail]
-        for i in range(0, len(whole), 2048):
-            part = whole[i : i + 2048]
-            known.update(zip(part, self._plain([c.decode("utf-8", "replace") for c in part]), strict=True))
-
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        """The ids of each text, then `end`."""
-        split = [t.split() for t in texts]
-        new: set[bytes] = set()
-        for chunks in split:
-            new.update(chunks)
-        if len(self.known) + len(new) > REMEMBERED:
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and how many each has."""
+        names = _list(pieces)
+        if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new.difference_update(self.known)
-        self._learn(list(new))
-        last = np.array([end], self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype) for chunks in split]
+        found = list(map(self.known.get, names))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.older.get(names[i])
+        missing_now = [i for i in missing if found[i] is None]
+        if missing_now:
+            letters = _letters(pieces) if self.ends.any() else np.zeros(len(names), bool)
+            for some, encode in (([i for i in missing_now if letters[i]], self._runs), ([i for i in missing_now if not letters[i]], self._plain)):
+                for k in range(0, len(some), 2048):
+                    part = some[k : k + 2048]
+                    for i, ids in zip(part, encode([names[i] for i in part]), strict=True):
+                        found[i] = ids
+        self.known.update((names[i], found[i]) for i in missing)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(found), self.dtype), sizes
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks one after another, and how many each has."""
+        if not self.ends.any():
+            return self._pieces(chunks)
+        stems = pc.ascii_rtrim(chunks, characters=MARKS)
+        split = _letters(stems)
+        lengths = pc.binary_length(chunks).to_numpy().astype(np.int64)
+        tail = np.where(split, lengths - pc.binary_length(stems).to_numpy(), 0)
+        raw = gather(np.frombuffer(chunks.buffers()[2] or b"", np.uint8), _offsets(chunks)[1:] - tail, tail)
+        tails = pa.StringArray.from_buffers(len(tail), pa.py_buffer(np.append(0, np.cumsum(tail)).astype(np.int32)), pa.py_buffer(raw))
+        heads = pc.if_else(pa.array(split), pc.utf8_lower(stems), chunks).dictionary_encode()
+        tails = tails.dictionary_encode()
+        # pieces: all heads, then all tails; a chunk is one of each
+        ids, sizes = self._pieces(heads.dictionary)
+        tail_ids, tail_sizes = self._pieces(tails.dictionary)
+        pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(sizes)], 1).ravel()
+        ids, sizes = np.concatenate([ids, tail_ids]), np.concatenate([sizes, tail_sizes])
+        starts = np.cumsum(sizes) - sizes
+        return gather(ids, starts[pair], sizes[pair]), sizes[pair].reshape(-1, 2).sum(1)
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of each text, then `end`; null texts are empty."""
+        split = pc.ascii_split_whitespace(_strings(texts))
+        chunks = split.flatten().dictionary_encode()
+        ids, sizes = self._chunks(chunks.dictionary)
+        order = chunks.indices.to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        ids = gather(ids, starts[order], sizes[order])
+        # where texts end, among chunks and then among ids
+        last = np.cumsum(pc.list_value_length(split).to_numpy())
+        stops = np.append(0, np.cumsum(sizes[order]))[last]
+        ids = np.insert(ids, stops, self.dtype.type(end))
+        return np.split(ids, stops + np.arange(1, len(stops) + 1))[:-1]
+
+
+def _letters(strings: pa.Array) -> np.ndarray:
+    return pc.match_substring_regex(strings, LETTERS).to_numpy(zero_copy_only=False)
 
 
 def encoder(vocabulary: str = VOCABULARY) -> ChunkEncoder:
