@@ -230,10 +230,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, bits: int = 3, words: int = 3, limit: int = LIST_LIMIT) -> DataFrame:
-    """doc_id, row_hash, fp and component_id (smallest doc_id reachable over links), one row per row.
+    """doc_id, row_hash, fp, root and component_id (smallest doc_id reachable over links), one row per row.
 
-    Texts without words have fingerprint zero and are linked like others.  Equal
-    rows stay.  A null doc_id never names a component that has another id.
+    The root is the component's smallest fingerprint.  Texts without words have
+    fingerprint zero and are linked like others.  Equal rows stay.  A null doc_id
+    never names a component that has another id; without one, component_id is null.
     """
     rows = stored(fingerprints(documents, words), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -241,8 +242,8 @@ def near_duplicates(documents: DataFrame, bits: int = 3, words: int = 3, limit:
     named = nodes.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = stored(named, "roots")
     lowest = names.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = names.join(lowest, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(known, F.col("fp") == F.col("f")).select("doc_id", "row_hash", "fp", "component_id")
+    known = names.join(lowest, "root").select(F.col("fp").alias("f"), "root", "component_id")
+    return rows.join(known, F.col("fp") == F.col("f")).select("doc_id", "row_hash", "fp", "root", "component_id")
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
@@ -257,7 +258,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Columns are those of `documents`.  Of wholly repeated rows one stays.
     """
     found = near_duplicates(documents)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("k"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("k"))
     chosen = first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.row_hash").alias("_kept_hash"))
     mark = "_row_hash"
     while mark in documents.columns:

@@ -81,6 +81,23 @@ def fingerprint(text):
 
 
 def simhash(rows):
+    """(doc_id, fingerprint, component_id) of each row."""
+    find = simhash_find(rows)
+    low = {}
+    for i, t in rows:
+        if i is not None:
+            r = find(fingerprint(t))
+            low[r] = min(low.get(r, i), i)
+    return [(i, f"{fingerprint(t):016x}", low.get(find(fingerprint(t)))) for i, t in rows]
+
+
+def simhash_groups(rows):
+    """How many components there are; rows without an id, or with one id, may be in several."""
+    find = simhash_find(rows)
+    return len({find(fingerprint(t)) for _, t in rows})
+
+
+def simhash_find(rows):
     fps = sorted({fingerprint(t) for _, t in rows})
     root = {f: f for f in fps}
 
@@ -93,12 +110,7 @@ def simhash(rows):
         for b in fps[:x]:
             if (a ^ b).bit_count() <= 3:
                 root[find(a)] = find(b)
-    low = {}
-    for i, t in rows:
-        if i is not None:
-            r = find(fingerprint(t))
-            low[r] = min(low.get(r, i), i)
-    return [(i, f"{fingerprint(t):016x}", low.get(find(fingerprint(t)))) for i, t in rows]
+    return find
 
 
 def repeats(rows, size=200):

@@ -101,9 +101,10 @@ def test_simhash(spark, rows):
     same(simhash.simhash_report(frame(spark, rows)), columns, plain.simhash(rows))
     assert simhash.simhash_report(frame(spark, [])).count() == 0
     kept = simhash.keep_one(frame(spark, rows))
-    groups = {r[2] for r in plain.simhash(rows)}
     assert kept.columns == frame(spark, rows).columns
-    assert kept.count() == len(groups)
+    assert kept.count() == plain.simhash_groups(rows)
+    nameless = [(None, "one text without an id"), (None, "and quite another text, of other words"), (None, None), (None, "")]
+    assert Counter(bool(r.text) for r in simhash.keep_one(frame(spark, nameless)).collect()) == Counter({True: 2, False: 1})
 
 
 def test_simhash_long_posting_lists(spark):
@@ -169,6 +170,20 @@ def test_warc_large_record():
     assert [r.payload == payload for r in warc.read_records(member + warc._member(b""))] == [True]
 
 
+def test_token_ids(rows):
+    import pyarrow as pa
+
+    from structscore.llm.tokens import encoder
+
+    odd = ["", "It's a DOGS' <|endoftext|>x <|startoftext|>", "İstanbul ǅ ŉ ſ K Å é \u0301x a\u00a0b a\x1cb\x85c", "x'S!! 'll ''t 's. t'", "日本語 テスト。 ١٢٣ 12ab ab12, ½", "a\x00b \x0b\x0c c", "ÀÉÎ!? ÀÉÎ, Ünïcödé...", "Ⱥ ȿ ȺȺ, Ⱥ.", None]
+    texts = odd + [t for _, t in rows]
+    for _ in range(2):  # the second time from the cache
+        got = encoder().encode(pa.array(texts).cast(pa.binary()), 1)
+        assert [x.tolist() for x in got] == [plain.token_ids(t, 1).tolist() for t in texts]
+    assert encoder().encode(pa.array([], pa.binary()), 1) == []
+    assert [len(x) for x in encoder().encode(pa.array([b"a\xff b", None]), 1)] == [4, 1]
+
+
 def test_packing(spark, rows):
     import zlib
 
