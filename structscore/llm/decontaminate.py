@@ -276,40 +276,61 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int
     )
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+def remove_spans(
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, max_automaton_words: int = MAX_AUTOMATON_WORDS
+) -> DataFrame:
     """`documents` without what the test items share with them.
 
     A document whose coverage reaches the limit goes.  From others the hit words
     and the separators between two hit words go; the rest stays byte for byte.
-    Columns are those of `documents`; a null text stays null.
+    Columns are those of `documents`; a null text stays null.  Of several
+    automata a task holds one: the words hit so far are written between them.
     """
     spark = documents.sparkSession
     schema = documents.schema
-    automata = [spark.sparkContext.broadcast(a) for a in _blocks(benchmark, window, MAX_AUTOMATON_WORDS)]
+    mark = "_hit"
+    while mark in schema.fieldNames():
+        mark = "_" + mark
+    marked = T.StructType([*schema.fields, T.StructField(mark, T.BinaryType())])
     at = schema.fieldNames().index("text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts, keep = [], []
-            for text in batch.column("text").to_pylist():
-                new, good = text, True
-                if text:
-                    raw = text.encode()
-                    words = words_of(raw)
-                    hit = np.zeros(len(words), bool)
-                    for a in automata:
-                        hit |= a.value.scan(words)[0]
+    def hits(automaton: ItemAutomaton, text: str | None, before: bytes | None) -> np.ndarray:
+        """Which words are hit, by this automaton or those before it."""
+        words = words_of((text or "").encode())
+        hit = automaton.scan(words)[0]
+        return hit | np.unpackbits(np.frombuffer(before, np.uint8))[: len(words)].astype(bool) if before else hit
+
+    def marking(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                found = zip(batch.column("text").to_pylist(), batch.column(mark).to_pylist(), strict=True)
+                bits = pa.array([np.packbits(hits(sent.value, t, m)).tobytes() for t, m in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], bits], schema=batch.schema)
+
+        return run
+
+    def cutting(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                texts, keep = [], []
+                for text, before in zip(batch.column("text").to_pylist(), batch.column(mark).to_pylist(), strict=True):
+                    hit = hits(sent.value, text, before)
                     n = int(hit.sum())
-                    good = not n or share * n < len(words)
-                    if good and n:
-                        new = _without(raw, hit)
-                texts.append(new)
-                keep.append(good)
-            arrays = list(batch.columns)
-            arrays[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-    return documents.mapInArrow(cut, schema)
+                    keep.append(not n or share * n < len(hit))
+                    texts.append(_without(text.encode(), hit) if n and keep[-1] else text)
+                arrays = list(batch.columns[:-1])
+                arrays[at] = pa.array(texts, arrays[at].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    blocks = _blocks(benchmark, window, max_automaton_words)
+    now = next(blocks)
+    rows = documents.withColumn(mark, F.lit(None).cast("binary"))
+    for following in blocks:
+        rows = stored(rows.mapInArrow(marking(spark.sparkContext.broadcast(now)), marked), "hits")
+        now = following
+    return rows.mapInArrow(cutting(spark.sparkContext.broadcast(now)), schema)
 
 
 def _without(raw: bytes, hit: np.ndarray) -> str:

@@ -90,6 +90,8 @@ def test_decontamination(spark, rows):
     clean = decontaminate.remove_spans(frame(spark, rows), bench)
     assert clean.columns == frame(spark, rows).columns
     assert clean.count() == sum(not r[5] for r in want)
+    in_blocks = decontaminate.remove_spans(frame(spark, rows), bench, max_automaton_words=5)
+    assert Counter(in_blocks.collect()) == Counter(clean.collect())
     left = plain.contamination([(r.doc_id, r.text) for r in clean.collect()], named)
     assert sum(r[2] for r in left) <= sum(r[2] for r in want if not r[5]) // 10
     untouched = {t for (_, t), r in zip(rows, want) if r[2] == 0}
