@@ -5,8 +5,8 @@ between letters and marks, so a text's ids are its chunks' ids one after
 another, and a chunk of letters with marks behind is the letters' ids and the
 marks' ids.  Chunks, letters and marks repeat: a batch's are numbered by Arrow,
 each distinct piece is looked up once, and the ids are put together by number.
-Pieces are remembered in a bounded cache that lasts as long as the Python worker
-and changes no result.
+Pieces are remembered in a bounded cache, Arrow and numpy arrays of some 40 bytes
+a piece, that lasts as long as the Python worker and changes no result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Pieces remembered per worker, in each of two generations: about 80 MB each.
-REMEMBERED = 600_000
+#: Pieces remembered per worker; beyond that the half used last stays.
+REMEMBERED = 1_000_000
 
 #: Letters up to U+024F whose lower case has as many bytes; marks that may stand behind.
 LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ŸŹ-žƀ-ȹ]+$"
@@ -63,8 +63,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: pieces remembered, their ids one after another, how many each has, when each was used last
+        self.known = pa.array([], pa.string())
+        self.ids = np.zeros(0, self.dtype)
+        self.sizes = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.clock = 0
         #: ids that end a run of letters, where the model marks ends
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         with open(path, encoding="utf-8") as f:
@@ -87,26 +91,40 @@ class ChunkEncoder:
         at = [0, *(stop * size).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
+    def _remember(self, pieces: pa.Array) -> None:
+        """Encode pieces that are not known."""
+        names = _list(pieces)
+        letters = _letters(pieces) if self.ends.any() else np.zeros(len(names), bool)
+        found: list[bytes] = [b""] * len(names)
+        for some, encode in ((np.flatnonzero(letters), self._runs), (np.flatnonzero(~letters), self._plain)):
+            for k in range(0, len(some), 2048):
+                part = some[k : k + 2048].tolist()
+                for i, ids in zip(part, encode([names[i] for i in part]), strict=True):
+                    found[i] = ids
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), self.dtype)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize))
+        self.used = np.concatenate((self.used, np.zeros(len(found), np.int64)))
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that was used last."""
+        keep = np.sort(np.argsort(self.used, kind="stable")[-(REMEMBERED // 2) :])
+        self.ids = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[keep], self.sizes[keep])
+        self.known, self.sizes, self.used = self.known.take(pa.array(keep)), self.sizes[keep], self.used[keep]
+
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct pieces one after another, and how many each has."""
-        names = _list(pieces)
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        found = list(map(self.known.get, names))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i in missing:
-            found[i] = self.older.get(names[i])
-        missing_now = [i for i in missing if found[i] is None]
-        if missing_now:
-            letters = _letters(pieces) if self.ends.any() else np.zeros(len(names), bool)
-            for some, encode in (([i for i in missing_now if letters[i]], self._runs), ([i for i in missing_now if not letters[i]], self._plain)):
-                for k in range(0, len(some), 2048):
-                    part = some[k : k + 2048]
-                    for i, ids in zip(part, encode([names[i] for i in part]), strict=True):
-                        found[i] = ids
-        self.known.update((names[i], found[i]) for i in missing)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        return np.frombuffer(b"".join(found), self.dtype), sizes
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self._remember(pieces.take(pa.array(new)))
+        self.clock += 1
+        self.used[at] = self.clock
+        return gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]), self.sizes[at]
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct chunks one after another, and how many each has."""
