@@ -138,11 +138,9 @@ class ChunkEncoder:
         tails = pa.StringArray.from_buffers(len(tail), pa.py_buffer(np.append(0, np.cumsum(tail)).astype(np.int32)), pa.py_buffer(raw))
         heads = pc.if_else(pa.array(split), pc.utf8_lower(stems), chunks).dictionary_encode()
         tails = tails.dictionary_encode()
-        # pieces: all heads, then all tails; a chunk is one of each
-        ids, sizes = self._pieces(heads.dictionary)
-        tail_ids, tail_sizes = self._pieces(tails.dictionary)
-        pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(sizes)], 1).ravel()
-        ids, sizes = np.concatenate([ids, tail_ids]), np.concatenate([sizes, tail_sizes])
+        # pieces: all heads, then all tails, in one look-up; a chunk is one of each
+        ids, sizes = self._pieces(pa.concat_arrays([heads.dictionary, tails.dictionary]))
+        pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], 1).ravel()
         starts = np.cumsum(sizes) - sizes
         return gather(ids, starts[pair], sizes[pair]), sizes[pair].reshape(-1, 2).sum(1)
 
