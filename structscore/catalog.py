@@ -39,12 +39,32 @@ def _markdown(header: str, rows, rule: str):
     return F.concat(F.lit(header + "\n" + rule + "\n"), F.array_join(rows, "\n"))
 
 
+#: Lines that one text table holds at most.
+TABLE_LINES = 100
+PIECE = ["l_orderkey", "part", "run"]
+
+
+def _with_pieces(lines: DataFrame) -> DataFrame:
+    """Line items with PIECE: an order's lines in an input partition, cut into runs of TABLE_LINES.
+
+    An order of any size is spread over as many tasks as its lines come from,
+    and no text holds more than one piece of it.
+    """
+    own = Window.partitionBy("l_orderkey", "part").orderBy("l_linenumber")
+    return lines.withColumn("part", F.spark_partition_id()).withColumn("run", F.floor((F.row_number().over(own) - 1) / TABLE_LINES))
+
+
+def _body(rows):
+    """A table's rows without its header, however many there are."""
+    return F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))
+
+
 def _orders_as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown table per order: line number against quantity and extended price."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.concat_ws(" | ", F.concat(F.lit("| L"), F.col("l_linenumber")), F.col("l_quantity").cast("bigint"), F.concat(F.col("l_discount"), F.lit(" |"))).alias("line")
+    """Markdown tables of each order: line number against quantity and extended price."""
+    rows = _with_pieces(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")).select(
+        *PIECE, "l_linenumber", F.concat_ws(" | ", F.concat(F.lit("| L"), F.col("l_linenumber")), F.col("l_quantity").cast("bigint"), F.concat(F.col("l_discount"), F.lit(" |"))).alias("line")
     )
-    made = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"))
+    made = rows.groupBy(*PIECE).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"))
     return made.select("l_orderkey", _markdown("| line | quantity | discount |", F.col("lines.line"), "|---|---|---|").alias("text"))
 
 
@@ -461,7 +481,7 @@ def q27_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scoring.settled(_orders_as_tables(spark, sf_dir), {"rows": tables.markdown_table(F.col("text"))})
     made = scoring.settled(made, {"turned": tables.transpose(F.col("rows"))})
     made = scoring.settled(made, {"back": tables.transpose(F.col("turned"))})
-    return made.select("l_orderkey", F.explode(F.slice("back", 2, 1000)).alias("r")).select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].alias("quantity"))
+    return made.select("l_orderkey", F.explode(_body(F.col("back"))).alias("r")).select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].alias("quantity"))
 
 
 @query("SELECT c_custkey, c_name || ', \"x\"' AS name, c_mktsegment AS segment FROM customer")
@@ -478,7 +498,8 @@ def q29_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML rows read back."""
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("L"), F.col("l_linenumber"))), cell(F.col("l_returnflag")), cell(F.col("l_linestatus")), F.lit("</tr>"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(row), "").alias("b"))
+    lines = _with_pieces(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    rows = lines.groupBy(*PIECE).agg(F.array_join(F.collect_list(row), "").alias("b"))
     made = scoring.settled(rows.select("l_orderkey", F.concat(F.lit("<table>"), F.col("b"), F.lit("</table>")).alias("text")), {"t": tables.html_table(F.col("text"))})
     return made.select("l_orderkey", F.explode("t").alias("r")).select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].alias("flag"), F.col("r")[2].alias("status"))
 
@@ -572,19 +593,20 @@ def q35_judged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q36_json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level JSON, a category per column, read back."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"))
-    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount"))).alias("x"))
+    items = lines.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / TABLE_LINES)).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount"))).alias("x"))
     entry = lambda v: F.array_join(F.transform("x", lambda x: F.concat(F.lit('"L'), x["l_linenumber"], F.lit('": '), v(x))), ", ")
     said = F.concat(F.lit('{"values": {"quantity": {'), entry(lambda x: x["l_quantity"].cast("bigint").cast("string")), F.lit('}, "discount": {'), entry(lambda x: x["l_discount"].cast("string")), F.lit("}}}"))
     made = scoring.settled(items.select("l_orderkey", said.alias("text")), {"v": json_tables.values(F.col("text"))})
     made = scoring.settled(made, {"t": json_tables.json_table(F.col("v"))})
-    rows = made.select("l_orderkey", F.explode(F.slice("t", 2, 1000)).alias("r"))
+    rows = made.select("l_orderkey", F.explode(_body(F.col("t"))).alias("r"))
     return rows.select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].alias("quantity"), F.col("r")[2].cast("double").alias("discount"))
 
 
 @query("SELECT l_orderkey, 'L' || l_linenumber AS line, l_quantity AS quantity, l_discount AS discount FROM lineitem")
 def q37_code_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists in plotting code read back."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount"))).alias("x"))
+    lines = _with_pieces(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"))
+    items = lines.groupBy(*PIECE).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount"))).alias("x"))
     listed = lambda name, v: F.concat(F.lit(name + " = ["), F.array_join(F.transform("x", v), ", "), F.lit("]\n"))
     said = F.concat(
         F.lit("import matplotlib.pyplot as plt\n"),
@@ -594,7 +616,7 @@ def q37_code_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("plt.bar(names, quantity)\nplt.show()"),
     )
     made = items.select("l_orderkey", code_table(said).alias("t"))
-    rows = made.select("l_orderkey", F.explode(F.slice("t", 2, 1000)).alias("r"))
+    rows = made.select("l_orderkey", F.explode(_body(F.col("t"))).alias("r"))
     return rows.select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].cast("double").alias("quantity"), F.col("r")[2].cast("double").alias("discount"))
 
 
