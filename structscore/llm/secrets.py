@@ -1,5 +1,9 @@
 """Secret scan: broad candidates, then a random forest that removes false ones.
 
+Candidates are long runs of key characters wherever they stand, and values of
+any length and characters that a name like password is given, or that stand as
+password in a URL.
+
 Candidates, features and verdicts are DataFrame expressions; the forest is
 Spark's own, trained on a bounded table of labelled findings.  Candidates are
 looked up word by word inside each row, so neighbouring words are at hand and
@@ -15,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .quality import words
 
 #: A run of characters that keys, tokens and digests are written in.
@@ -38,10 +43,58 @@ DICTIONARY = (
 FOR_WORDS = "token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|private|access[_-]?key"
 AGAINST_WORDS = "commit|sha1|sha256|md5|digest|checksum|revision|etag|integrity|uuid|guid|version|isbn|order|invoice|phone"
 
+# What stands in place of a value.
+FILLER = "^[<$%{(]|[({]|\\*\\*|xxx|\\.\\.\\.|your|example|changeme|placeholder|redacted|^(?:null|none|nil|true|false|undefined|required|optional|string|password|secret|token|basic|bearer)$"
+
+#: A name that speaks for a finding, up to its end; what gives it a value; a value inside a word.
+NAME = f"(?:{FOR_WORDS})[\\w.-]*[\"'`\\])]*"
+GIVES = "(?::=|=>|->|={1,3}|:)"
+VALUE = "(\"[^\"]*(?<!\\\\)\"|'[^']*(?<!\\\\)'|`[^`]*`|.+?(?=[;&,][\"']?[A-Za-z_][\\w.-]*[\"']?[=:]|$))"
+#: The password in a URL: user, colon, password, at sign, before the first slash.
+URL_PASSWORD = "(?i)[a-z][a-z0-9+.-]*://[^\\s:/@]*:([^\\s/]+)@"
+
 #: Labelled findings that the default forest is trained on.
 TRAINING_ROWS = 6_000
 
 
+def _values(words_: Column, i: Column) -> Column:
+    """Values in word i: given to a telling name there or in the two words before, or a URL's password.
+
+    A quoted value may go on over later words; its spaces are then single ones.
+    """
+
+    def at(j: Column) -> Column:
+        return F.coalesce(F.get(words_, j), F.lit(""))
+
+    def plain(v: Column) -> Column:
+        return F.regexp_replace(v, "^[\"'`(\\[{]+|[\"'`,;)\\]}]+$", "")
+
+    def whole(v: Column) -> Column:
+        closed = "(?s)^([\"'`])(.*?)(?<!\\\\)\\1"
+        on = F.concat_ws(" ", v, F.array_join(F.slice(words_, i + 2, F.size(words_)), " "))
+        return F.when(~v.rlike("^[\"'`]"), plain(v)).when(v.rlike(closed), F.regexp_extract(v, closed, 2)).when(on.rlike(closed), F.regexp_extract(on, closed, 2)).otherwise(plain(v))
+
+    word, before = at(i), at(i - 1)
+    lead = F.concat_ws(" ", at(i - 3), at(i - 2), before)
+    led = lead.rlike(f"(?i){NAME} ?{GIVES}$|{NAME} ?{GIVES} ?(?:bearer|basic)$|(?:^| )--?[\\w-]*(?:{FOR_WORDS})[\\w-]*$")
+    split = before.rlike(f"(?i){NAME}$") & word.rlike(f"(?s)^{GIVES}.")
+    none = F.array().cast("array<string>")
+    only_mark = word.rlike(f"^{GIVES}$")
+    first = F.when(led & ~only_mark, F.array(whole(word))).when(split & ~only_mark, F.array(whole(F.regexp_replace(word, f"^{GIVES}", "")))).otherwise(none)
+    inside = F.when(word.rlike(f"(?is){NAME}{GIVES}."), F.transform(F.regexp_extract_all(word, F.lit(f"(?is){NAME}{GIVES}{VALUE}"), F.lit(1)), whole)).otherwise(none)
+    in_url = F.when(F.contains(word, F.lit("://")) & F.contains(word, F.lit("@")), F.regexp_extract_all(word, F.lit(URL_PASSWORD), F.lit(1))).otherwise(none)
+    return F.filter(F.concat(first, inside, F.filter(in_url, lambda v: ~F.array_contains(first, v) & ~F.array_contains(inside, v))), lambda v: v != "")
+
+
+def _candidates(words_: Column, i: Column) -> Column:
+    """Candidates of word i: its long runs, then its values that aren't one of these."""
+    word = F.get(words_, i)
+    runs = F.when(F.length(word) >= 16, F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    near = F.concat_ws(" ", F.slice(words_, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 1))
+    values = F.when(near.rlike(f"(?i){FOR_WORDS}|://"), _values(words_, i)).otherwise(F.array().cast("array<string>"))
+    return let(runs, lambda r: let(values, lambda vs: F.concat(r, F.filter(vs, lambda v: ~F.array_contains(r, v)))))
+
+
 def findings(documents: DataFrame, path: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, word_at, nth, candidate, word, before, before2, after, path.
 
@@ -55,31 +108,36 @@ def findings(documents: DataFrame, path: str | None = "source") -> DataFrame:
     def neighbour(i: Column) -> Column:
         return F.coalesce(F.get("words", i), F.lit(""))
 
+    # most words need no closer look: neither long nor near a telling name nor in a URL
+    told = F.transform("words", lambda w: w.rlike(f"(?i){FOR_WORDS}"))
+    rows = rows.withColumn("told", F.when(F.exists(told, lambda t: t), told).otherwise(F.array().cast("array<boolean>")))
+
+    def near_name(i: Column) -> Column:
+        return F.exists(F.slice("told", F.greatest(i - 2, F.lit(1)), 4), lambda t: t)
+
     found = F.filter(
         F.transform(
             "words",
-            lambda w, i: F.when(
-                (F.length(w) >= 16) & w.rlike(CANDIDATE),
-                F.struct(
-                    i.alias("word_at"),
-                    w.alias("word"),
-                    neighbour(i - 1).alias("before"),
-                    neighbour(i - 2).alias("before2"),
-                    neighbour(i + 1).alias("after"),
-                ),
-            ),
+            lambda w, i: F.when((F.length(w) >= 16) | F.contains(w, F.lit("://")) | ((F.size("told") > 0) & near_name(i)), F.struct(
+                i.alias("word_at"),
+                w.alias("word"),
+                neighbour(i - 1).alias("before"),
+                neighbour(i - 2).alias("before2"),
+                neighbour(i + 1).alias("after"),
+                _candidates(F.col("words"), i).alias("candidates"),
+            )),
         ),
-        lambda x: x.isNotNull(),
+        lambda x: x.isNotNull() & (F.size(x["candidates"]) > 0),
     )
     each = rows.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*")
-    return each.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
+    return each.select("*", F.posexplode("candidates").alias("nth", "candidate")).drop("candidates")
 
 
 def features(rows: DataFrame) -> DataFrame:
     """`rows` with the forest's inputs, all doubles."""
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.length(c).cast("double")
-    front = F.call_function("substring_index", F.col("word"), c, F.lit(1))
+    front = F.call_function("substring_index", F.col("word"), F.substring_index(c, " ", 1), F.lit(1))
     near = F.lower(F.concat_ws(" ", "before2", "before", front))
     lead = F.concat_ws(" ", "before", front)
 
@@ -99,6 +157,9 @@ def features(rows: DataFrame) -> DataFrame:
         "x_upper": share("[A-Z]"),
         "x_hex": share("[0-9a-fA-F]"),
         "x_marks": share("[+/_=-]"),
+        "x_other": share("[^a-zA-Z0-9+/_=-]"),
+        "x_userinfo": front.rlike("://[^/@]*:$").cast("double"),
+        "x_filler": low.rlike(FILLER).cast("double"),
         "x_turns": share("[a-z](?=[0-9A-Z])|[0-9](?=[a-zA-Z])|[A-Z](?=[0-9a-z])"),
         "x_vowel_turns": share("[aeiou](?=[^aeiou0-9+/_=-])", low),
         "x_repeats": share("(.)(?=\\1)"),
@@ -116,7 +177,7 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 INPUTS = [
-    "x_length", "x_digits", "x_lower", "x_upper", "x_hex", "x_marks", "x_turns", "x_vowel_turns", "x_repeats", "x_entropy",
+    "x_length", "x_digits", "x_lower", "x_upper", "x_hex", "x_marks", "x_other", "x_userinfo", "x_filler", "x_turns", "x_vowel_turns", "x_repeats", "x_entropy",
     "x_dictionary", "x_path_depth", "x_url", "x_path_test", "x_for", "x_against", "x_assigned", "x_quoted",
 ]
 
@@ -133,6 +194,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, start: int =
     def pick(values: list[str], salt: int) -> Column:
         return F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(len(values))).cast("int"))
 
+    def pick_of(values: list[Column], salt: int) -> Column:
+        return F.get(F.array(*values), F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(len(values))).cast("int"))
+
     def chain(values: list[str], count: int, salt: int, between: str = "") -> Column:
         return F.concat_ws(between, *[pick(values, salt + i) for i in range(count)])
 
@@ -141,11 +205,11 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, start: int =
     prose, prose2, prose3 = chain(syllables, 3, 11), chain(syllables, 2, 21), chain(syllables, 2, 31)
     hex40, hex64, hex32 = F.substring("h", 1, 40), F.col("h"), F.substring("g", 1, 32)
     base = F.regexp_replace("b", "[+/]", "x")
-    digits = F.translate(F.substring("h", 1, 16), "abcdef", "123456")
+    digits = F.translate(F.expr("substring(h, 1, 16 + cast(pmod(id, 9) AS int))"), "abcdef", "123456")
     uuid = F.concat_ws("-", *[F.substring("h", i, k) for i, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     secret_name = pick("token secret api_key API_KEY password auth_token access_key client_secret TOKEN Token SECRET".split(), 41)
     equals, quote = pick(["=", ":", ":="], 51), pick(['"', "'"], 52)
-    tail = pick(["", "", ";", ",", "###", "!!", "$$$", "%%%"], 53)
+    tail = pick(["", "", ";", ",", ".", ")"], 53)
     any_hex = pick(["u", "l", "l"], 54)
 
     def cased(c: Column) -> Column:
@@ -153,6 +217,15 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, start: int =
 
     quoted = lambda c: F.concat(quote, c, quote, tail)
     bare = lambda c: F.concat(c, tail)
+    shorts = F.translate(F.substring("g", 1, 12), "bdf", "KQz")
+    some = pick(["&", "!", "@", "#", ".", "$", "%", "^", "*", "~"], 55)
+    mixed = F.concat(F.initcap(pick(syllables, 101)), F.substring("g", 1, 1), pick(syllables, 102), F.substring(digits, 1, 2), some, F.substring(digits, 3, 2))
+    leet = F.concat(F.translate(F.concat(pick(syllables, 103), pick(syllables, 104)), "aeio", "@310"), some, F.translate(pick(names, 105), "aeios", "@3105"), F.substring(digits, 1, 4))
+    low = F.concat(F.translate(F.concat(pick(syllables, 106), pick(names, 107)), "aeios", "4310s"), F.substring(digits, 5, 3))
+    short = pick_of([F.substring(shorts, 1, 8), shorts, mixed, mixed, leet, leet, low], 56)
+    person = F.initcap(chain(syllables, 2, 111))
+    said = pick_of([pick(syllables, 112), pick(names, 113), person, prose, F.lower(person)], 114)
+    filler = pick(["null", "None", "true", "false", "required", "string", "********", "<password>", "${DB_PASSWORD}", "{{token}}", "changeme", "your_password", "os.environ[KEY]", "getpass()", "xxxx"], 115)
     # label, word before the one before, word before, word
     kinds = [
         (1, secret_name, equals, quoted(cased(hex40))),
@@ -164,6 +237,15 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, start: int =
         (1, prose, prose2, F.concat(F.lit("ghp_"), F.substring(base, 1, 36), tail)),
         (1, F.lit("Authorization:"), F.lit("Bearer"), F.concat(F.lit("eyJ"), F.substring("b", 1, 70), tail)),
         (1, secret_name, F.lit("="), quoted(hex64)),
+        (1, secret_name, equals, quoted(short)),
+        (1, prose, F.concat(secret_name, F.lit(":")), short),
+        (1, prose, prose2, F.concat(secret_name, pick(["=", ":"], 57), short)),
+        (1, prose, prose2, F.concat(pick("postgres mysql redis amqp https ftp".split(), 58), F.lit("://"), pick(names, 59), F.lit(":"), short, F.lit("@"), pick(names, 60), F.lit(".internal:5432/"), pick(names, 62))),
+        (0, secret_name, equals, quoted(filler)),
+        (0, prose, F.concat(secret_name, F.lit(":")), said),
+        (0, prose, pick(["author:", "Author:", "authors:", "authority:", "tokens:", "passwords:"], 116), said),
+        (0, prose, prose2, F.concat(secret_name, pick(["=", ":"], 57), filler)),
+        (0, prose, prose2, F.concat(pick(["author=", "tokenizer=", "auth:", "tokens="], 117), said)),
         (0, prose, prose2, bare(digits)),
         (0, prose, prose2, bare(chain(syllables, 8, 61))),
         (0, prose, prose2, F.concat(chain(syllables, 9, 61), pick([".", ",", ";"], 62))),
@@ -184,8 +266,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, start: int =
     ]
     kind = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(len(kinds)))
     made = F.array(*[F.struct(F.lit(y).alias("label"), b2.alias("before2"), b.alias("before"), w.alias("word")) for y, b2, b, w in kinds])
-    rows = r.select(F.get(made, kind.cast("int")).alias("k"), prose3.alias("after"), F.concat(F.lit("src"), F.pmod("id", F.lit(20)).cast("string")).alias("path"))
-    return rows.select("k.*", "after", "path", F.explode(F.regexp_extract_all("k.word", F.lit(CANDIDATE), F.lit(0))).alias("candidate"))
+    rows = r.select(F.get(made, kind.cast("int")).alias("k"), prose3.alias("after"), pick(["", "README.md", "src/app.py", "docs/guide.md", "config/settings.yml", "tests/test_app.py"], 118).alias("path"))
+    return rows.select("k.*", "after", "path", F.explode(_candidates(F.array("k.before2", "k.before", "k.word", "after"), F.lit(2))).alias("candidate"))
 
 
 def train(labelled: DataFrame, trees: int = 24, depth: int = 9, seed: int = 7) -> PipelineModel:
