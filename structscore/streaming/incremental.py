@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans import judging
 from ..plans.resume import last_per_key
-from ..plans.scoring import score_tables
 
 ANSWERS = T.StructType([T.StructField(n, T.StringType()) for n in ("model", "img_path", "task", "prediction", "reference")])
 
 
 def judge_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Score all files that are in `source` now and weren't scored before."""
+    """Judge all files that are in `source` now and weren't judged before: a score, or an error, by each row's task."""
     rows = spark.readStream.schema(ANSWERS).option("maxFilesPerTrigger", files_per_batch).json(source)
 
     def judge(batch: DataFrame, number: int) -> None:
-        scored = score_tables(batch).withColumn("batch", F.lit(number))
+        scored = judging.judge(batch).withColumn("batch", F.lit(number))
         scored.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return rows.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
