@@ -74,14 +74,27 @@ def pipe_table(text: Column) -> Table:
 
 
 def csv_table(text: Column) -> Table:
-    """Comma-separated lines; a quoted cell may hold commas and doubled quotes, not line ends."""
+    """Comma-separated lines; a quoted cell may hold commas, doubled quotes and line ends."""
 
     def row(line: Column) -> Column:
         # the empty alternative keeps empty cells; the mark at the end keeps the last one
         parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
-        return F.transform(parts, lambda c: strip(F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
+        return F.transform(parts, lambda c: strip(F.when(c.rlike('(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)))
 
-    return F.transform(F.filter(lines(text), lambda x: strip(x) != ""), row)
+    # a row goes on while a quote that begins a cell is open; other quotes are text
+    unclosed = '(?s)^(?:"(?:[^"]++|"")*+"[^,]*+,|(?!")[^,]*+,)*+"(?:[^"]++|"")*+$'
+
+    def gather(rows: Column, line: Column) -> Column:
+        last = F.element_at(rows, -1)
+        open_ = (F.size(rows) > 0) & last.rlike(unclosed)
+        head = F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0)))
+        return F.when(open_, F.array_append(head, F.concat(last, F.lit("\n"), line))).otherwise(F.array_append(rows, line))
+
+    def split(x: Column) -> Column:
+        joined = F.aggregate(lines(x), F.array().cast("array<string>"), gather)
+        return F.when(F.contains(x, F.lit('"')), joined).otherwise(lines(x))
+
+    return F.transform(F.filter(let(F.coalesce(text, F.lit("")), split), lambda x: strip(x) != ""), row)
 
 
 def is_csv(text: Column) -> Column:
@@ -151,7 +164,14 @@ def html_table(text: Column) -> Table:
         return let(F.aggregate(F.sequence(F.lit(0), n), empty, put)["out"], done)
 
     plain = F.transform(grid, lambda r: F.transform(r, lambda c: c["text"]))
-    return F.when(body.rlike("(?i)rowspan"), F.aggregate(grid, start, place)["rows"]).otherwise(plain)
+    placed = F.when(body.rlike("(?i)rowspan"), F.aggregate(grid, start, place)["rows"]).otherwise(plain)
+
+    def even(t: Column) -> Column:
+        widest = F.coalesce(F.array_max(F.transform(t, lambda r: F.size(r))), F.lit(0))
+        padded = F.transform(t, lambda r: F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r))))
+        return F.filter(padded, lambda r: F.exists(r, lambda c: c != ""))
+
+    return let(placed, even)
 
 
 def transpose(rows: Table) -> Table:
