@@ -18,19 +18,22 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
+    """The folder that driver and executors share: `spark.checkpoint.dir`, else the context's checkpoint folder.
 
-    Only where the session names none (tests in one process) is a local
-    temporary folder made, set as the checkpoint folder and removed at exit.
+    Only where neither is set and Spark runs in one process (tests) is a local
+    temporary folder made and removed at exit; on a cluster this raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "base" not in _LOCAL:
             _LOCAL["base"] = tempfile.mkdtemp(prefix="structscore-")
             atexit.register(shutil.rmtree, _LOCAL["base"], ignore_errors=True)
         base = "file://" + _LOCAL["base"]
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return base
 
 
@@ -46,6 +49,15 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables from `stored` that nothing will read again."""
+    for df in tables:
+        paths = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = paths(name)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

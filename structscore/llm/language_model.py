@@ -2,19 +2,24 @@
 
 Restaurants: one per context word, all sharing the root as parent, whose base
 is uniform over the training vocabulary and one unknown word.  In a restaurant
-the customers of dish w after context v sit at t(v, w) tables; each table is a
-customer of the root.  A sweep seats the customers of every dish anew, one by
-one, given all other tables as the last exchange left them; after the sweep the
-tables are summed and exchanged.  The predictive probabilities of the sampled
-seatings are averaged and score the texts.
-
-Work is dealt by hashes as compact arrays: a text's word pairs go to shards by
-dish (frequent dishes further by context), with the documents that hold them;
-totals of a word, as context and as dish, meet at the word's owner, which
-answers the shards that asked in the order they asked.  Every array is bounded
-by the shard's or block's size, and their number grows with the input.  Only
-counts of the whole corpus (a few numbers per owner) and a count sketch of
-fixed size reach the driver.
+the customers of dish w after context v sit at tables; each table is a customer
+of the root, where dish w sits at tables again.  Seats are sampled by Gibbs (see
+`seating`): customers leave and are seated given all others.  After sweeps that
+only settle, each further one is a sample: the predictive probabilities of the
+samples are averaged and score the texts.  theta and the discount of both
+levels are drawn in every sweep.
+
+Work is dealt as compact arrays.  A block of texts asks about each of its word
+pairs once, however many texts hold it: pairs go to shards by context, so that a
+restaurant is in one place; frequent contexts go by dish as well.  Shards sweep
+side by side.  Between sweeps they tell the owners of words how many tables each
+dish has, the owners seat these customers at the root, and answer with what the
+root holds; the totals of frequent contexts go the same way.  At the end a shard
+answers the blocks with one probability a pair, and the blocks, read once more,
+sum them over their texts.  Every array is bounded by the shard's or block's
+size, and their number grows with the input; no row is sent without a pair, so
+there are never more rows than pairs.  Only counts of the whole corpus (a few
+numbers per owner and shard) and a count sketch of fixed size reach the driver.
 """
 
 from __future__ import annotations
@@ -27,23 +32,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_bytes
+from .common import dropped, slices, stored, text_bytes
+from .seating import Seats, Weights, discount_sum, draw_parameters, sweep, theta_sums
 
 #: The end of a text, as a word's hash; also the context of a first word.
 END = np.uint64(0)
 
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
+BLOCK_TOKENS, SHARD_TOKENS, OWNER_SHARDS = 1 << 21, 1 << 22, 8
 SKETCH = 1 << 14
 
-#: Customers of a dish seated one at a time; later ones in steps of 1/16 of those seated.
-ONE_BY_ONE = 64
-
-BLOB, FOLDS, DOCS, STATE, ASK, INDEX, REPLY, TABLES, SUMS, NUMBERS = range(10)
+(PAIRS, TEXTS, STATE, FULL, ANSWER, ASK, INDEX, REST, ROOT, REPLY, TABLES, LAST, CONSTANT, NUMBERS) = range(14)
 
 ROWS = T.StructType(
     [
@@ -152,13 +154,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cells[full])], names=["cell", "n"])
 
 
+def _ways(cells: np.ndarray) -> np.ndarray:
+    """Over how many parts a context's dishes are dealt, by its cell of the sketch."""
+    return np.maximum(1, np.ceil(cells / (SHARD_TOKENS / 4))).astype(np.uint64)
+
+
+def _cell(words: np.ndarray) -> np.ndarray:
+    return (mixed(words, 5) % np.uint64(SKETCH)).astype(np.int64)
+
+
 def _pairs(shards: int, cells: np.ndarray, texts: bool):
-    """Blocks of texts as (shard, block) arrays of word pairs: with their training counts, or with the texts that hold them."""
-    ways = np.maximum(1, np.ceil(cells / (SHARD_TOKENS / 4))).astype(np.uint64)
+    """Blocks of texts to a row per shard with the block's word pairs, or to a row with the block's texts by pair."""
+    ways = _ways(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        number = 0
+        base = number = 0
         words: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         docs: list[tuple] = []
@@ -172,6 +182,7 @@ def _pairs(shards: int, cells: np.ndarray, texts: bool):
 
         for batch in slices(batches, "text"):
             for uid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text")), strict=True):
+                base = uid >> 33 << 24  # the partition of the texts, which a union doesn't renumber
                 tokens = text.lower().split()
                 before = 0  # the context of the first word: an end
                 for at in range(0, len(tokens) + 1, BLOCK_TOKENS):  # a longer text in parts
@@ -193,38 +204,44 @@ def _pairs(shards: int, cells: np.ndarray, texts: bool):
 
 
 def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], shards: int, ways: np.ndarray, texts: bool) -> Iterator[Row]:
-    hashes = np.concatenate(([END], np.fromiter(map(word_hash, words), np.uint64, len(words))))
+    # words by the order of their hashes, so that pairs stand alike in every block
+    names, rank = np.unique(np.concatenate(([END], np.fromiter(map(word_hash, words), np.uint64, len(words)))), return_inverse=True)
     owner = np.repeat(np.arange(len(ids)), [len(x) - 1 for x in ids])
-    v = np.concatenate([x[:-1] for x in ids])
-    w = np.concatenate([x[1:] for x in ids])
-    keys = w.astype(np.uint64) << np.uint64(41) | v.astype(np.uint64) << np.uint64(18) | owner.astype(np.uint64)
+    v = rank[np.concatenate([x[:-1] for x in ids])]
+    w = rank[np.concatenate([x[1:] for x in ids])]
+    keys = v.astype(np.uint64) << np.uint64(41) | w.astype(np.uint64) << np.uint64(18) | owner.astype(np.uint64)
     keys.sort()
     fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     times = np.diff(np.append(fresh, len(keys)))
-    keys = keys[fresh]  # (word, context, text), with times
+    keys = keys[fresh]  # (context, word, text), with times
     pair = np.flatnonzero(np.concatenate(([True], (keys[1:] >> np.uint64(18)) != (keys[:-1] >> np.uint64(18)))))
     posts = np.diff(np.append(pair, len(keys)))
-    w, v = (keys[pair] >> np.uint64(41)).astype(np.int64), (keys[pair] >> np.uint64(18) & np.uint64((1 << 23) - 1)).astype(np.int64)
-    k = ways[(mixed(hashes[w], 5) % np.uint64(SKETCH)).astype(np.int64)]
-    shard = (mixed(hashes[w] ^ mixed(mixed(hashes[v], 6) % k, 7), 8) % np.uint64(shards)).astype(np.int64)
-    shard = np.where(k == 1, (mixed(hashes[w], 8) % np.uint64(shards)).astype(np.int64), shard)
+    v, w = (keys[pair] >> np.uint64(41)).astype(np.int64), (keys[pair] >> np.uint64(18) & np.uint64((1 << 23) - 1)).astype(np.int64)
+    k = ways[_cell(names)][v]
+    part = np.where(k > 1, mixed(mixed(names, 6)[w] % k, 7), np.uint64(0))
+    shard = (mixed(names[v] ^ part, 8) % np.uint64(shards)).astype(np.int64)
     text = (keys & np.uint64((1 << 18) - 1)).astype(np.int64)
     uid, doc, null, size, out = (np.array(x) for x in zip(*docs, strict=True))
-    folds = dump(out.astype(np.uint8))
     train = np.add.reduceat(np.where(out[text], 0, times), pair)
+    checks = mixed(mixed(names)[v] + names[w])
+    asked, n, check, order = [], [], [], []
     for s, own in _by(shard):
-        n = posts[own]
-        # words in order of their hashes
-        used, inverse = np.unique(hashes[np.concatenate((w[own], v[own]))], return_inverse=True)
-        arrays = [steps(used), narrow(inverse[: len(own)]), narrow(inverse[len(own) :])]
-        if texts:
-            where = np.repeat(pair[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield s, BLOB, number, dump(*arrays, narrow(n), narrow(text[where]), narrow(times[where]))
-            yield s, FOLDS, number, folds
-        else:
-            yield s, BLOB, number, dump(*arrays, narrow(train[own]))
+        asked.append(s)
+        n.append(len(own))
+        check.append(np.bitwise_xor.reduce(checks[own]))
+        order.append(own)
+        if not texts:
+            used = np.zeros(len(names), bool)
+            used[v[own]] = used[w[own]] = True
+            at = np.cumsum(used) - 1
+            yield s, PAIRS, number, dump(steps(names[used]), narrow(np.diff(at[v[own]], prepend=0)), narrow(at[w[own]]), narrow(train[own]))
     if texts:
-        yield -1 - number, DOCS, 0, dump(uid.astype(np.int64), doc.astype(np.int64), null.astype(np.uint8), size.astype(np.int64), out.astype(np.uint8))
+        order = np.concatenate(order)
+        p = posts[order]
+        where = np.repeat(pair[order] - (np.cumsum(p) - p), p) + np.arange(p.sum())
+        asking = (np.array(asked), np.array(n), np.array(check, np.uint64))
+        about = (uid.astype(np.int64), doc.astype(np.int64), null.astype(np.uint8), size.astype(np.int64), out.astype(np.uint8))
+        yield number, TEXTS, 0, dump(*asking, *about, narrow(p), narrow(text[where]), narrow(times[where]))
 
 
 def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,208 +255,259 @@ def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 # -- shards ------------------------------------------------------------------
 
 
-class Shard:
-    """All pairs of a shard, sorted by dish and context, and where each blob's pairs are among them.
-
-    The order depends on the words alone, so it is the same in both passes.
-    """
-
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
-        out = {part: load(data)[0].astype(bool) for kind, part, data in rows if kind == FOLDS}
-        self.blobs = [(part, load(data)) for kind, part, data in rows if kind == BLOB]
-        hashes = [np.cumsum(b[0]) for _, b in self.blobs]
-        self.words = np.unique(np.concatenate(hashes))
-        keys, train = [], []
-        for (part, (_, w, v, n, *where)), own in zip(self.blobs, hashes, strict=True):
-            at = np.searchsorted(self.words, own).astype(np.uint64)
-            keys.append(at[w] << np.uint64(32) | at[v])
-            if where:
-                text, times = where
-                count = np.where(out[part][text], 0, times).astype(np.int64)
-                train.append(np.add.reduceat(count, np.cumsum(n.astype(np.int64)) - n))
-            else:
-                train.append(n.astype(np.int64))
-        pairs, self.inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        self.count = np.bincount(self.inverse, np.concatenate(train), len(pairs)).astype(np.int64)
-        self.dish, self.context = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        #: words asked about as dishes, and as contexts
-        self.dishes, self.dish_at = np.unique(self.dish, return_inverse=True)
-        self.contexts, self.context_at = np.unique(self.context, return_inverse=True)
-        self.many = np.flatnonzero(self.count > 1)
-
-
 def _owners(words: np.ndarray, owners: int) -> np.ndarray:
     return (mixed(words, 9) % np.uint64(owners)).astype(np.int64)
 
 
-def _asked(d_owner: np.ndarray, c_owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each owner that is needed: which of the shard's dishes and contexts it answers for."""
-    n = len(d_owner)
-    for o, at in _by(np.concatenate((d_owner, c_owner))):
-        yield o, at[at < n], at[at >= n] - n
+def _places(*owner: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """Of each owner that is needed: which words of each list it answers for."""
+    edges = np.cumsum([0, *map(len, owner)])
+    for o, at in _by(np.concatenate(owner)):
+        yield o, *(at[(at >= a) & (at < b)] - a for a, b in zip(edges, edges[1:], strict=False))
 
 
-def _first(owners: int):
-    """Shards to: their state for the sweeps, and questions with the counts and first tables (one a dish)."""
+def _first(owners: int, cells: np.ndarray):
+    """A shard's pairs of all blocks to: its state for the sweeps, what the end needs, and questions to the owners."""
+    ways = _ways(cells)
 
     def handle(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
-        s = Shard(rows)
-        sat = s.count > 0
-        dish_c = np.bincount(s.dish_at, s.count, len(s.dishes)).astype(np.int64)
-        dish_t = np.bincount(s.dish_at[sat], minlength=len(s.dishes))
-        ctx_c = np.bincount(s.context_at, s.count, len(s.contexts)).astype(np.int64)
-        ctx_t = np.bincount(s.context_at[sat], minlength=len(s.contexts))
-        m = s.many
-        d_owner, c_owner = _owners(s.words[s.dishes], owners), _owners(s.words[s.contexts], owners)
-        yield shard, STATE, 0, dump(narrow(s.dish_at[m]), narrow(s.context_at[m]), narrow(s.count[m]), narrow(dish_t), narrow(ctx_t), narrow(d_owner), narrow(c_owner))
-        once = np.array([np.count_nonzero(s.count == 1), np.count_nonzero(s.count == 2)])
-        for o, d, c in _asked(d_owner, c_owner):
-            yield o, ASK, shard, dump(narrow(dish_t[d]), narrow(ctx_t[c]), s.words[s.dishes[d]], s.words[s.contexts[c]], narrow(dish_c[d]), narrow(ctx_c[c]))
-        yield shard, NUMBERS, 0, dump(once)
+        blobs = [(part, load(data)) for _, part, data in rows]
+        hashes = [np.cumsum(b[0]) for _, b in blobs]
+        words = np.unique(np.concatenate(hashes))
+        keys = []
+        for (_, (_, v, w, _)), own in zip(blobs, hashes, strict=True):
+            at = np.searchsorted(words, own).astype(np.uint64)
+            keys.append(at[np.cumsum(v.astype(np.int64))] << np.uint64(32) | at[w])
+        pairs = np.unique(np.concatenate(keys))
+        count = np.zeros(len(pairs), np.int64)
+        for (part, b), k in zip(blobs, keys, strict=True):
+            at = np.searchsorted(pairs, k)  # both are in order
+            np.add.at(count, at, b[3].astype(np.int64))
+            v, w = words[k >> np.uint64(32)], words[k & np.uint64(0xFFFFFFFF)]
+            yield shard, ANSWER, part, dump(narrow(np.diff(at, prepend=0)), np.array([np.bitwise_xor.reduce(mixed(mixed(v) + w))]))
+        context_w, context = np.unique(pairs >> np.uint64(32), return_inverse=True)
+        dish_w, dish = np.unique(pairs & np.uint64(0xFFFFFFFF), return_inverse=True)
+        many = count > 1
+        # dishes that can change stand first
+        active = np.zeros(len(dish_w), bool)
+        active[dish[many]] = True
+        order = np.argsort(~active, kind="stable")
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        dish, dish_w, n_active = at[dish], dish_w[order], int(active.sum())
+        dish_c = np.bincount(dish, count, len(dish_w)).astype(np.int64)
+        dish_t = np.bincount(dish, count > 0, len(dish_w)).astype(np.int64)
+        ctx_c = np.bincount(context, count, len(context_w)).astype(np.int64)
+        single = np.bincount(context, count == 1, len(context_w)).astype(np.int64)
+        split = np.flatnonzero(ways[_cell(words[context_w])] > 1)
+        d_owner, s_owner = _owners(words[dish_w], owners), _owners(words[context_w[split]], owners)
+        yield shard, STATE, 0, dump(
+            narrow(np.diff(context[many], prepend=0)), narrow(dish[many]), narrow(count[many]), narrow(ctx_c), narrow(single),
+            narrow(np.bincount(dish[count == 1], minlength=n_active)[:n_active]), narrow(split), narrow(d_owner[:n_active]), narrow(s_owner),
+        )
+        yield shard, FULL, 0, dump(narrow(np.diff(context, prepend=0)), narrow(dish), narrow(count), narrow(ctx_c), narrow(single), narrow(split), narrow(d_owner), narrow(s_owner))
+        split_t = (single + np.bincount(context, many, len(context_w)).astype(np.int64))[split]
+        for o, d, r, c in _places(d_owner[:n_active], d_owner[n_active:], s_owner):
+            r = r + n_active
+            yield o, ASK, shard, dump(narrow(dish_t[d]), narrow(split_t[c]))
+            yield o, CONSTANT, shard, dump(words[dish_w[d]], words[dish_w[r]], words[context_w[split[c]]], narrow(dish_c[d]), narrow(dish_c[r]), narrow(dish_t[r]), narrow(ctx_c[split[c]]))
+        yield shard, NUMBERS, 0, dump(np.array([np.count_nonzero(count == 1), np.count_nonzero(count == 2)], float))
 
     return handle
 
 
-def seat(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers sit down one by one.
-
-    `new` weighs a new table against one per seated customer less `discount`
-    per table.  The first 64 sit one at a time; then a step seats 1/16 of those
-    seated with the weights at its start.
-    """
-    order = np.argsort(-count, kind="stable")
-    c, a = count[order], new[order]
-    t = np.ones(len(c))
-    i = 1
-    while len(c) and i < c[0]:
-        n = int(np.searchsorted(-c, -i))  # those with more than i customers
-        p = a[:n] / (a[:n] + i - discount * t[:n])
-        step = 1 if i < ONE_BY_ONE else i // 16
-        t[:n] += rng.random(n) < p if step == 1 else rng.binomial(np.minimum(step, c[:n] - i), np.clip(p, 0, 1))
-        i += step
-    out = np.empty(len(c), np.int64)
-    out[order] = t
-    return out
+class Numbers:
+    """What all owners and shards counted together, and the parameters of both levels."""
 
+    def __init__(self, owned: np.ndarray, level: tuple[float, float], root: tuple[float, float]):
+        self.tokens, self.words, self.customers, self.tables = (int(x) for x in owned[:4])
+        self.level, self.root = level, root
+        (self.theta, self.discount), (self.root_theta, self.root_discount) = level, root
 
-def _reply_arrays(rows: list[tuple[int, int, bytes]], sample: int, d_owner: np.ndarray, c_owner: np.ndarray) -> list[np.ndarray]:
-    """The owners' answers of a sample, put back in the shard's order: dish counts, customers and tables at the root; context counts and tables."""
-    out = [np.zeros(len(d_owner), np.int64) for _ in range(3)] + [np.zeros(len(c_owner), np.int64) for _ in range(2)]
-    places = {o: (d, c) for o, d, c in _asked(d_owner, c_owner)}
-    for kind, part, data in rows:
-        if kind == REPLY and part >> 32 == sample:
-            d, c = places[part & 0xFFFFFFFF]
-            answers = load(data)
-            for k in range(3):
-                out[k][d] = answers[k]
-            for k in (3, 4):
-                out[k][c] = answers[k]
-    return out
+    def under(self, other: Numbers) -> Numbers:
+        """These counts with the parameters of others: those that the counts were drawn with."""
+        return Numbers(np.array([self.tokens, self.words, self.customers, self.tables]), other.level, other.root)
 
+    @property
+    def base(self) -> float:
+        return (self.root_theta + self.root_discount * self.tables) / (self.words + 1)
 
-class Numbers:
-    """What all owners and shards counted together."""
+    def root_probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.root_discount * tables + self.base) / (self.root_theta + self.customers)
 
-    def __init__(self, tokens: int, words: int, root: int, tables: int, once: int, twice: int, theta: float):
-        self.tokens, self.words, self.root, self.tables, self.theta = tokens, words, root, tables, theta
-        #: discount from the pairs seen once and twice
-        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-    def root_probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        new = (self.theta + self.discount * self.tables) / (self.words + 1)
-        return (customers - self.discount * tables + new) / (self.theta + self.root)
+def _replies(rows: list[tuple[int, int, bytes]], places: dict[int, tuple], sizes: tuple[int, int], dishes: int, contexts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The owners' answers back in the shard's order: so many arrays by dish, so many by split context."""
+    by_dish, by_context = ([np.zeros(n, np.int64) for _ in range(k)] for n, k in zip(sizes, (dishes, contexts), strict=True))
+    for kind, part, data in rows:
+        if kind == REPLY:
+            d, c = places[part]
+            answers = load(data)
+            for a, x in zip(by_dish, answers[:dishes], strict=True):
+                a[d] = x
+            for a, x in zip(by_context, answers[dishes:], strict=True):
+                a[c] = x
+    return by_dish, by_context
 
 
-def _sweep(sample: int, numbers: Numbers, seed: int):
-    """State and answers of the last sample to: tables of this sample and the owners' new questions."""
+def _sweep(number: int, x: Numbers, seed: int, rounds: int):
+    """State, seats and the owners' answers to: new seats, new questions, and draws for theta and the discount."""
 
     def handle(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
-        dish, ctx, count, dish_t, ctx_t, d_owner, c_owner = load(next(data for kind, _, data in rows if kind == STATE))
-        d_owner, c_owner = d_owner.astype(np.int64), c_owner.astype(np.int64)
-        _, root, root_t, _, tables = _reply_arrays(rows, sample - 1, d_owner, c_owner)
-        p0 = numbers.root_probability(root, root_t)
-        new = (numbers.theta + numbers.discount * tables[ctx]) * p0[dish]
-        t = seat(count.astype(np.int64), new, numbers.discount, np.random.default_rng([seed, sample, shard]))
-        yield shard, TABLES, sample, dump(narrow(t))
-        dish_sum = dish_t + np.bincount(dish, t - 1, len(dish_t)).astype(np.int64)
-        ctx_sum = ctx_t + np.bincount(ctx, t - 1, len(ctx_t)).astype(np.int64)
-        for o, d, c in _asked(d_owner, c_owner):
-            yield o, ASK, shard, dump(narrow(dish_sum[d]), narrow(ctx_sum[c]))
+        rng = np.random.default_rng([seed, number, shard])
+        step, dish, count, ctx_c, single, dish_1, split, d_owner, s_owner = (a.astype(np.int64) for a in load(next(d for k, _, d in rows if k == STATE)))
+        context = np.cumsum(step)
+        seats = Seats(count, *next((load(d) for k, _, d in rows if k == TABLES), ()))
+        places = {o: (d, c) for o, d, c in _places(d_owner, s_owner)}
+        (root, root_t), (split_c, split_t) = _replies(rows, places, (len(d_owner), len(split)), 2, 2)
+        customers = ctx_c.copy()
+        customers[split] = split_c
+
+        def by(where: np.ndarray, base: np.ndarray) -> np.ndarray:
+            return base + np.bincount(where, seats.tables, len(base)).astype(np.int64)
+
+        own = by(dish, dish_1)
+        elsewhere = root - own, split_t - by(context, single)[split]
+
+        def weights(at: np.ndarray) -> Weights:
+            tables = by(context, single)
+            tables[split] += elsewhere[1]
+            root_now = elsewhere[0] + by(dish, dish_1)
+            here, d = seats.tables[at], dish[at]
+            others = root_now[d] - here
+            mass = others - x.root_discount * np.minimum(root_t[d], others + 1) + x.base
+            total = x.root_theta + x.customers + (root_now - root).sum() - here
+            return Weights(x.theta, x.discount, tables[context[at]] - here, mass, total)
+
+        sweep(seats, weights, rng, rounds)
+        yield shard, TABLES, number, dump(narrow(seats.tables), narrow(seats.sizes))
+        dish_t, ctx_t = by(dish, dish_1), by(context, single)
+        for o, (d, c) in places.items():
+            yield o, ASK, shard, dump(narrow(dish_t[d]), narrow(ctx_t[split][c]))
+        whole = np.ones(len(ctx_c), bool)
+        whole[split] = False
+        sums = theta_sums(customers[whole], ctx_t[whole], x.theta, x.discount, rng)
+        yield shard, NUMBERS, number, dump(np.append(sums, discount_sum(seats.sizes, x.discount, rng)))
 
     return handle
 
 
-def _answer(sample: int, numbers: Numbers | None, seed: int):
-    """Owners: sums over all shards for every word; the root's tables of each word; answers in the order asked."""
+def _owned(asks: list[tuple[int, list[np.ndarray]]], index: dict, dishes: np.ndarray, contexts: np.ndarray) -> None:
+    """Add what the shards told to the tables of dishes and of split contexts."""
+    for part, a in asks:
+        for k, sums in ((0, dishes), (1, contexts)):
+            np.add.at(sums, index[part][k], a[k].astype(np.int64))
+
+
+def _answer(number: int, x: Numbers | None, seed: int, rounds: int):
+    """An owner's words: tables over all shards are customers of the root, seated there; answers in the order asked."""
 
     def handle(owner: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
+        rng = np.random.default_rng([seed, number, owner, 1])
         asks = [(part, load(data)) for kind, part, data in rows if kind == ASK]
-        if sample == 0:
-            words = np.unique(np.concatenate([k for _, a in asks for k in a[2:4]]))
-            index = {part: (np.searchsorted(words, a[2]), np.searchsorted(words, a[3])) for part, a in asks}
-            c_dish, c_ctx = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            for part, a in asks:
-                np.add.at(c_dish, index[part][0], a[4].astype(np.int64))
-                np.add.at(c_ctx, index[part][1], a[5].astype(np.int64))
-            yield owner, INDEX, -1, dump(narrow(c_dish), narrow(c_ctx))
-            for part, (d, c) in index.items():
-                yield owner, INDEX, part, dump(narrow(d), narrow(c))
+        if number == 0:
+            told = [(part, load(data)) for kind, part, data in rows if kind == CONSTANT]
+            words = np.unique(np.concatenate([k for _, a in told for k in a[:3]]))
+            fixed, c_dish, c_ctx = (np.zeros(len(words), np.int64) for _ in range(3))
+            index = {}
+            for part, (d, r, s, cd, cr, tr, cs) in told:
+                d, r, s = (np.searchsorted(words, k) for k in (d, r, s))
+                index[part] = d, s
+                for sums, at, n in ((c_dish, d, cd), (c_dish, r, cr), (fixed, r, tr), (c_ctx, s, cs)):
+                    np.add.at(sums, at, n.astype(np.int64))
+                yield owner, INDEX, part, dump(narrow(d), narrow(s))
+                yield owner, REST, part, dump(narrow(r))
+            yield owner, INDEX, -1, dump(narrow(fixed), narrow(c_dish), narrow(c_ctx))
+            seats = None
+        else:
+            saved = {part: [a.astype(np.int64) for a in load(data)] for kind, part, data in rows if kind == INDEX}
+            fixed, c_dish, c_ctx = saved.pop(-1)
+            index = saved
+            has, tables, sizes = load(next(data for kind, _, data in rows if kind == ROOT))
+            seats = Seats(has, tables, sizes)
+        root, contexts = fixed.copy(), np.zeros(len(fixed), np.int64)
+        _owned(asks, index, root, contexts)
+        if seats is None:
+            seats = Seats(root, (root > 0).astype(np.int64), root[root > 0])
         else:
-            saved = {part: load(data) for kind, part, data in rows if kind == INDEX}
-            c_dish, c_ctx = (x.astype(np.int64) for x in saved.pop(-1))
-            index = {part: tuple(x.astype(np.int64) for x in v) for part, v in saved.items()}
-        root, tables = np.zeros(len(c_dish), np.int64), np.zeros(len(c_dish), np.int64)
-        for part, a in asks:
-            np.add.at(root, index[part][0], a[0].astype(np.int64))
-            np.add.at(tables, index[part][1], a[1].astype(np.int64))
-        known = root > 0
-        root_t = known.astype(np.int64)
-        if numbers is not None:
-            weight = np.full(int(known.sum()), (numbers.theta + numbers.discount * numbers.tables) / (numbers.words + 1))
-            root_t[known] = seat(root[known], weight, numbers.discount, np.random.default_rng([seed, sample, owner, 1]))
-        for part, _ in asks:
-            d, c = index[part]
-            yield part, REPLY, sample << 32 | owner, dump(narrow(c_dish[d]), narrow(root[d]), narrow(root_t[d]), narrow(c_ctx[c]), narrow(tables[c]))
-        yield owner, NUMBERS, sample, dump(np.array([c_dish.sum(), known.sum(), root.sum(), root_t.sum()]))
+            seats.follow(root, rng)
+            elsewhere = x.tables - int(tables.astype(np.int64).sum())
+
+            def weights(at: np.ndarray) -> Weights:
+                here = seats.tables[at]
+                others = elsewhere + int(seats.tables.sum()) - here
+                return Weights(x.root_theta, x.root_discount, others, np.full(len(at), 1.0), np.full(len(at), x.words + 1.0), 0)
+
+            sweep(seats, weights, rng, rounds)
+        yield owner, ROOT, number, dump(narrow(seats.count), narrow(seats.tables), narrow(seats.sizes))
+        yield owner, LAST, number, dump(narrow(seats.count), narrow(seats.tables), narrow(contexts))
+        for part, (d, s) in index.items():
+            yield part, REPLY, owner, dump(narrow(seats.count[d]), narrow(seats.tables[d]), narrow(c_ctx[s]), narrow(contexts[s]))
+        sums = np.zeros(4)
+        if x is not None:
+            sums = np.append(theta_sums(c_ctx, contexts, x.theta, x.discount, rng), discount_sum(seats.sizes, x.root_discount, rng))
+        yield owner, NUMBERS, number, dump(np.append(np.array([c_dish.sum(), np.count_nonzero(c_dish), root.sum(), seats.tables.sum()], float), sums))
+
+    return handle
+
+
+def _at_end(samples: list[int]):
+    """Owners: to each shard, for all its dishes, how often they came and what the root held in each sample; likewise split contexts."""
+
+    def handle(owner: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
+        index = {part: [a.astype(np.int64) for a in load(data)] for kind, part, data in rows if kind == INDEX}
+        rest = {part: load(data)[0].astype(np.int64) for kind, part, data in rows if kind == REST}
+        _, c_dish, c_ctx = index.pop(-1)
+        last = {part: load(data) for kind, part, data in rows if kind == LAST}
+        for part, (d, s) in index.items():
+            d = np.concatenate((d, rest[part]))
+            by_dish, by_context = [c_dish[d]], [c_ctx[s]]
+            for k in samples:
+                customers, tables, contexts = last[k]
+                by_dish += [customers[d], tables[d]]
+                by_context.append(contexts[s])
+            yield part, REPLY, owner, dump(*map(narrow, by_dish), *map(narrow, by_context))
 
     return handle
 
 
-def _score(samples: int, numbers: list[Numbers], owners: int):
-    """A shard's part of every text's score: summed log10 of averaged predictive probabilities."""
+def _score(samples: list[int], numbers: dict[int, Numbers]):
+    """A shard's answers to the blocks: of each pair asked about, log10 of the averaged predictive probability, and how often the word came."""
 
     def handle(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
-        if shard < 0:  # a block's texts, on their way to the shards' sums
-            yield -1 - shard, DOCS, 0, rows[0][2]
-            return
-        s = Shard(rows)
-        d_owner, c_owner = _owners(s.words[s.dishes], owners), _owners(s.words[s.contexts], owners)
-        tables = {part: load(data)[0] for kind, part, data in rows if kind == TABLES}
-        mean = np.zeros(len(s.count))
-        counts = None
-        for k in range(1, samples + 1):
+        step, dish, count, ctx_c, single, split, d_owner, s_owner = (a.astype(np.int64) for a in load(next(d for k, _, d in rows if k == FULL)))
+        context = np.cumsum(step)
+        # the owners' places: active dishes, then the rest, as they were asked
+        active = np.zeros(len(d_owner), bool)
+        active[dish[count > 1]] = True
+        n_active = int(active.sum())
+        places = {o: (np.concatenate((d, r + n_active)), c) for o, d, r, c in _places(d_owner[:n_active], d_owner[n_active:], s_owner)}
+        by_dish, by_context = _replies(rows, places, (len(d_owner), len(split)), 1 + 2 * len(samples), 1 + len(samples))
+        tables = {part: load(data)[0].astype(np.int64) for kind, part, data in rows if kind == TABLES}
+        many = count > 1
+        customers = ctx_c.copy()
+        customers[split] = by_context[0]
+        mean = np.zeros(len(count))
+        for i, k in enumerate(samples):
             x = numbers[k]
-            counts, root, root_t, c, total = _reply_arrays(rows, k, d_owner, c_owner)
-            t = (s.count > 0).astype(np.int64)
-            t[s.many] = tables[k]
-            p0 = x.root_probability(root, root_t)[s.dish_at]
-            above = (x.theta + x.discount * total[s.context_at]) * p0
-            mean += (s.count - x.discount * t + above) / (x.theta + c[s.context_at])
-        score = np.log10(mean / samples)
-        base = np.log10((counts + 0.5) / (numbers[0].tokens + 0.5 * (numbers[0].words + 1)))[s.dish_at]
-        known = (counts > 0)[s.dish_at]
-        at = 0
-        for block, (_, w, _, n, text, times) in s.blobs:
-            pair = np.repeat(s.inverse[at : at + len(w)], n)
-            at += len(w)
-            texts, where = np.unique(text, return_inverse=True)
-            sums = [np.bincount(where, times * x[pair], len(texts)) for x in (score, base, known)]
-            yield block, SUMS, shard, dump(texts, *sums)
+            t = (count > 0).astype(np.int64)
+            t[many] = tables[k]
+            total = single + np.bincount(context[many], tables[k], len(single)).astype(np.int64)
+            total[split] = by_context[1 + i]
+            p0 = x.root_probability(by_dish[1 + 2 * i], by_dish[2 + 2 * i])[dish]
+            mean += (count - x.discount * t + (x.theta + x.discount * total[context]) * p0) / (x.theta + customers[context])
+        score = np.log10(mean / len(samples)).astype(np.float32)
+        came = by_dish[0][dish]
+        for kind, part, data in rows:
+            if kind == ANSWER:
+                step, check = load(data)
+                at = np.cumsum(step.astype(np.int64))
+                yield part, REPLY, shard, dump(score[at], narrow(came[at]), check)
 
     return handle
 
 
-TEXTS = T.StructType(
+PER_TEXT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("uid", "doc_id")]
     + [T.StructField("held_out", T.BooleanType())]
     + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")]
@@ -447,79 +515,109 @@ TEXTS = T.StructType(
 )
 
 
-def _per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks' texts and the shards' sums for them, by block, to a row per text (or part of a long one)."""
-    now, docs, sums = None, [], None
-
-    def done() -> pa.RecordBatch:
-        uid, doc, null, n, out = docs
+def _per_text(tokens: int, words: int):
+    """A block's texts and the shards' answers to a row per text (or part of a long one)."""
+
+    def summed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        shards, n, check, uid, doc, null, size, out, posts, text, times = load(next(data for kind, _, data in rows if kind == TEXTS))
+        answers = {part: load(data) for kind, part, data in rows if kind == REPLY}
+        for s, k, c in zip(shards.tolist(), n.tolist(), check.tolist(), strict=True):
+            if s not in answers or len(answers[s][0]) != k or int(answers[s][2][0]) != c:
+                raise RuntimeError("the texts came in other blocks when they were read again")
+        score, came = (np.concatenate([answers[s][i] for s in shards.tolist()]).astype(float) for i in (0, 1))
+        pair = np.repeat(np.arange(len(score)), posts)
+        base = np.log10((came + 0.5) / (tokens + 0.5 * (words + 1)))
+        text = text.astype(np.int64)
+        sums = [np.bincount(text, times * x[pair], len(uid)) for x in (came > 0, base, score)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(uid),
                 pa.array(doc, mask=null.astype(bool)),
                 pa.array(out.astype(bool)),
-                pa.array(n),
-                pa.array(np.rint(sums[2]).astype(np.int64)),
+                pa.array(size),
+                pa.array(np.rint(sums[0]).astype(np.int64)),
                 pa.array(sums[1]),
-                pa.array(sums[0]),
+                pa.array(sums[2]),
             ],
-            names=TEXTS.fieldNames(),
+            names=PER_TEXT.fieldNames(),
         )
 
-    for batch in batches:
-        for key, kind, data in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "data")), strict=True):
-            if kind == DOCS:
-                if docs:
-                    yield done()
-                now, docs = key, load(data)
-                sums = np.zeros((3, len(docs[0])))
-            else:
-                assert key == now
-                texts, *parts = load(data)
-                for k in range(3):
-                    sums[k][texts.astype(np.int64)] += parts[k]
-    if docs:
-        yield done()
-
-
-def score_texts(documents: DataFrame, samples: int = 2, theta: float = 1.0, seed: int = 11) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for key, kind, part, data in zip(*(batch.column(c).to_pylist() for c in ROWS.fieldNames()), strict=True):
+                if key != now:
+                    if held:
+                        yield summed(held)
+                    now, held = key, []
+                held.append((kind, part, data))
+        if held:
+            yield summed(held)
+
+    return run
+
+
+def score_texts(documents: DataFrame, samples: int = 3, burn_in: int = 3, rounds: int = 8, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row.
 
     Documents whose held_out() is false are learnt from; all are scored.  Null
     and empty texts are an end alone.  Repeated rows count as often as they
-    come.  Without training documents every word is unknown.  `samples` seatings
-    after a first one are averaged.
+    come.  Without training documents every word is unknown.  `burn_in` sweeps
+    come before the `samples` that are averaged; in a sweep each pair has
+    `rounds` / 2 customers reseated, and one exchange of tables.  The rows are
+    read twice and must come in the same partitions and order, as a table's do;
+    else the query fails.
     """
     texts = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), text_bytes().alias("text"))
     cells = np.zeros(SKETCH, np.int64)
     for r in texts.select("text").mapInArrow(_sketch, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH rows at most
         cells[r.cell] = r.n
     shards = max(1, math.ceil(int(cells.sum()) / SHARD_TOKENS))
-    # two passes over the texts take less room than pairs that are kept from one to the other
-    counted_pairs = texts.mapInArrow(_pairs(shards, cells, False), ROWS)
-    made = texts.mapInArrow(_pairs(shards, cells, True), ROWS)
+    owners = math.ceil(shards / OWNER_SHARDS)
+    rng = np.random.default_rng(seed)
 
     def of(rows: DataFrame, *kinds: int) -> DataFrame:
         return rows.filter(F.col("kind").isin(*kinds))
 
-    def counted(rows: DataFrame) -> np.ndarray:
-        found = [load(bytes(r.data))[0] for r in of(rows, NUMBERS).select("data").collect()]  # a few numbers per shard
-        return np.sum(found, 0) if found else np.zeros(4, np.int64)
-
-    first = stored(grouped(counted_pairs, _first(shards)), "shards", "uncompressed")
-    once, twice, *_ = counted(first).tolist()
-    answers = stored(grouped(of(first, ASK), _answer(0, None, seed)), "answers", "uncompressed")
-    numbers = [Numbers(*counted(answers).tolist(), once, twice, theta)]
-    index, replies = of(answers, INDEX), of(answers, REPLY)
-    seated = made
-    for k in range(1, samples + 1):
-        swept = stored(grouped(of(first, STATE).unionByName(replies), _sweep(k, numbers[-1], seed)), "sweep", "uncompressed")
-        answers = stored(grouped(index.unionByName(of(swept, ASK)), _answer(k, numbers[-1], seed)), "answers", "uncompressed")
-        numbers.append(Numbers(*counted(answers).tolist(), once, twice, theta))
-        replies = of(answers, REPLY)
-        seated = seated.unionByName(replies).unionByName(of(swept, TABLES))
-    rows = grouped(seated, _score(samples, numbers, shards)).repartition("key").sortWithinPartitions("key", "kind", "part").mapInArrow(_per_text, TEXTS)
-    whole = rows.groupBy("uid").agg(
+    def counted(rows: DataFrame, n: int) -> np.ndarray:
+        found = [load(bytes(r.data))[0] for r in of(rows, NUMBERS).select("data").collect()]  # a few numbers per shard or owner
+        return np.sum(found, 0) if found else np.zeros(n)
+
+    first = stored(grouped(texts.mapInArrow(_pairs(shards, cells, False), ROWS), _first(owners, cells)), "shards", "uncompressed")
+    once, twice = counted(first, 2)
+    begun = stored(grouped(of(first, ASK, CONSTANT), _answer(0, None, seed, rounds)), "answers", "uncompressed")
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    numbers = {0: Numbers(counted(begun, 8), (1.0, discount), (1.0, discount))}
+    answers, seats, kept, past = begun, None, [], []
+    for k in range(1, burn_in + samples + 1):
+        x = numbers[k - 1]
+        told = of(first, STATE).unionByName(of(answers, REPLY))
+        swept = stored(grouped(told.unionByName(of(seats, TABLES)) if seats else told, _sweep(k, x, seed, rounds)), "sweep", "uncompressed")
+        told = of(begun, INDEX).unionByName(of(swept, ASK)).unionByName(of(answers, ROOT))
+        answered = stored(grouped(told, _answer(k, x, seed, rounds)), "answers", "uncompressed")
+        shard_sums, owner_sums = counted(swept, 4), counted(answered, 8)
+        ones, zeros, log_x = shard_sums[:3] + owner_sums[4:7]
+        level = draw_parameters(ones, zeros, log_x, shard_sums[3], rng)
+        root_sums = theta_sums(owner_sums[2:3].astype(np.int64), owner_sums[3:4].astype(np.int64), x.root_theta, x.root_discount, rng)
+        root = draw_parameters(*root_sums, owner_sums[7], rng)
+        numbers[k] = Numbers(owner_sums, level, root)
+        if k > burn_in:
+            kept.append((swept, answered))
+        past.append((swept, answered))
+        if k > 1 and k - 1 <= burn_in:
+            dropped(*past[k - 2])  # a sweep before the samples, which nothing reads any more
+        seats, answers = swept, answered
+    drawn = range(burn_in + 1, burn_in + samples + 1)
+    # a sample's seats belong with the parameters that it was drawn with
+    told = of(begun, INDEX, REST)
+    final = of(first, FULL, ANSWER)
+    for swept, answered in kept:
+        told, final = told.unionByName(of(answered, LAST)), final.unionByName(of(swept, TABLES))
+    with_parameters = {k: numbers[k].under(numbers[k - 1]) for k in drawn}
+    scored = grouped(final.unionByName(grouped(told, _at_end(list(drawn)))), _score(list(drawn), with_parameters))
+    rows = scored.unionByName(texts.mapInArrow(_pairs(shards, cells, True), ROWS))
+    by_text = rows.repartition("key").sortWithinPartitions("key", "kind", "part").mapInArrow(_per_text(numbers[0].tokens, numbers[0].words), PER_TEXT)
+    whole = by_text.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
