@@ -5,18 +5,21 @@ Text is parsed at triggers of a rolling hash: of every `SPAN` neighbouring
 string depends on that string alone and equal strings are parsed alike wherever
 they stand.  The starts whose strings share a trigger form a run; the bytes that
 these strings cover are a phrase of the dictionary, the runs in order are the
-parse.
-
-Corpus order is only needed up to equality of 200 bytes, so phrases and their
-suffixes are ordered by hashes, first of the core that all strings of a run
-hold, then of the whole phrase:
-
-1. equal phrases: all their strings repeat.  Inside a slice of input they settle
-   each other and send one row on, so the copies of a hot passage are combined
-   before the shuffle;
-2. one core in several phrases: the suffixes of those dictionary entries are put
-   in order and equal neighbours repeat.  Only such phrases fetch their text;
-   a core with very many phrases has its suffixes ordered by a shuffle.
+parse.  Phrases overlap so far that no string leaves its phrase: corpus order,
+as far as 200 bytes reach, is the order of the dictionary's suffixes with the
+runs of a phrase side by side.
+
+1. The parse is ordered by phrase names (two 64-bit hashes, of the core that all
+   strings of a run hold and of the whole phrase).  All strings of a phrase with
+   several runs repeat.  Inside a slice of input they settle each other and send
+   one row on, so the copies of a hot passage are combined before the shuffle.
+2. A core with several phrases: a shard takes all phrases of its cores, since
+   equal strings have one core.  It orders what they hold before the trigger
+   (suffixes of the dictionary) and from the trigger on (what follows in the
+   parse) by bytes, with the lengths that neighbours have in common, and combines
+   both into the order of all strings; equal neighbours repeat.  Phrases alone
+   with their core have nothing to be compared with and are not fetched.  The
+   strings of a core with very many phrases are rows of a shuffle instead.
 
 Intervals meet their documents at the end.
 """
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,70 +141,68 @@ def _runs(size: int):
     return run
 
 
+SETTLES = "kind tinyint, g bigint, e bigint, doc_id bigint, row_hash bigint, run bigint, state tinyint"
+SETTLES_NAMES = ["kind", *RUNS.fieldNames()]
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by core and phrase: which phrases repeat, and which cores have several phrases.
 
     kind 0: a run that repeats.  kind 1: one run of each phrase of a core with
     several phrases, its state telling whether the phrase repeats.  kind 2: the
-    number of phrases of such a core, as run.
+    number of phrases of such a core, as run.  Of a phrase that goes on in the
+    next batch one row is carried over, however many there were.
     """
-    core = phrase = None  # at hand
-    lone: tuple | None = None  # the phrase's only row so far
-    rep: tuple | None = None  # a row of the core's only phrase so far
-    repeats = False
-    phrases = 0
-    out: list[tuple] = []
-
-    def end_core() -> None:
-        if phrases > 1:
-            out.append((2, core, 0, None, 0, phrases, 0))
-
-    first_of_core: tuple | None = None
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in RUNS.fieldNames()), strict=True):
-            g, e = row[:2]
-            if g != core or e != phrase:
-                # the phrase that ends: alone in its core so far, or one of several
-                if phrase is not None:
-                    done = (*rep[:5], SETTLED if repeats else OPEN)
-                    if phrases == 1:
-                        first_of_core = done
-                    else:
-                        if first_of_core:
-                            out.append((1, *first_of_core))
-                            first_of_core = None
-                        out.append((1, *done))
-                if g != core:
-                    end_core()
-                    core, phrases, first_of_core = g, 0, None
-                phrase, rep, repeats, lone = e, row, row[5] == SETTLED, row if row[5] == OPEN else None
-                phrases += 1
-            else:
-                if lone:
-                    out.append((0, *lone[:5], SETTLED))
-                    lone = None
-                repeats = True
-                if row[5] == OPEN:
-                    out.append((0, *row[:5], SETTLED))
-        if len(out) > 4096:
-            yield _settled_batch(out)
-            out = []
-    if phrase is not None and phrases > 1:
-        if first_of_core:
-            out.append((1, *first_of_core))
-        out.append((1, *rep[:5], SETTLED if repeats else OPEN))
-    end_core()
-    if out:
-        yield _settled_batch(out)
-
-
-SETTLES = "kind tinyint, g bigint, e bigint, doc_id bigint, row_hash bigint, run bigint, state tinyint"
+    carried: pa.RecordBatch | None = None
+    prior = 0  # phrases of the carried row's core that are done
+
+    def made(kind: int, rows: pa.RecordBatch, state: np.ndarray, run: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [pa.array(np.full(rows.num_rows, kind, np.int8)), *rows.columns[:-1], pa.array(state.astype(np.int8))]
+        if run is not None:
+            columns[SETTLES_NAMES.index("run")] = pa.array(run)
+        return pa.RecordBatch.from_arrays(columns, names=SETTLES_NAMES)
+
+    def settled(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal carried, prior
+        g, e, state = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("g", "e", "state"))
+        first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (e[1:] != e[:-1]))))
+        times = np.diff(np.append(first, len(g)))
+        again = np.maximum.reduceat(state == SETTLED, first) | (times > 1)
+        found = np.flatnonzero((state == OPEN) & np.repeat(times > 1, times))
+        if len(found):
+            yield made(0, rows.take(pa.array(found)), np.full(len(found), SETTLED))
+        core = np.flatnonzero(np.concatenate(([True], g[first][1:] != g[first][:-1])))
+        phrases = np.diff(np.append(core, len(first)))
+        known = phrases.copy()
+        known[0] += prior
+        several = np.repeat(known > 1, phrases)
+        if not last:
+            several[-1] = False  # it may go on
+        shown = np.flatnonzero(several)
+        if len(shown):
+            yield made(1, rows.take(pa.array(first[shown])), np.where(again[shown], SETTLED, OPEN))
+        done = np.flatnonzero(known > 1) if last else np.flatnonzero(known[:-1] > 1)
+        if len(done):
+            yield made(2, rows.take(pa.array(first[core[done]])), np.zeros(len(done)), known[done].astype(np.int64))
+        if not last:
+            keep = rows.slice(int(first[-1]), 1)
+            if times[-1] > 1:
+                keep = keep.set_column(keep.num_columns - 1, "state", pa.array([SETTLED], pa.int8()))
+            carried, prior = keep, int(known[-1]) - 1
 
-
-def _settled_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8())
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", *RUNS.fieldNames()])
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.RecordBatch.from_arrays(batch.columns, names=RUNS.fieldNames())
+            if carried is not None:
+                if carried.column("g")[0] != rows.column("g")[0]:
+                    # the phrase and its core end here
+                    yield from settled(carried, True)
+                    prior = 0
+                else:
+                    rows = pa.concat_batches([carried, rows])
+            yield from settled(rows, False)
+    if carried is not None:
+        yield from settled(carried, True)
 
 
 def _fetch(size: int):
@@ -232,75 +234,116 @@ def _phrase_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _suffix_hashes(phrase: bytes, size: int) -> list[int]:
-    digest = xxhash.xxh3_64_intdigest
-    return [digest(phrase[i : i + size], 2) for i in range(len(phrase) - size + 1)]
-
-
 INTERVALS = "doc_id bigint, row_hash bigint, start bigint, stop bigint"
 
 
-def _interval_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "row_hash", "start", "stop"])
-
-
-def _order_suffixes(size: int):
-    """Rows sorted by core: the intervals of open phrases whose suffixes have an equal one in the core."""
-
-    def matched(rows: list[tuple]) -> list[tuple]:
-        whose: list[int] = []
-        back: list[int] = []  # distance of the suffix to the trigger: equal strings have equal ones
-        hashes: list[int] = []
-        for k, (_, _, run, _, phrase) in enumerate(rows):
-            _, lead, _ = unpacked(run)
-            own = _suffix_hashes(phrase, size)
-            whose += [k] * len(own)
-            back += range(lead, lead - len(own), -1)
-            hashes += own
-        h, b, w = np.array(hashes, np.uint64), np.array(back), np.array(whose)
-        order = np.lexsort((h, b))
-        same = (h[order][1:] == h[order][:-1]) & (b[order][1:] == b[order][:-1])
-        twin = np.zeros(len(h), bool)
-        twin[order[1:][same]] = True
-        twin[order[:-1][same]] = True
-        out = []
-        first = np.searchsorted(w, np.arange(len(rows) + 1))
-        for k, (doc, mark, run, state, _) in enumerate(rows):
-            if state == OPEN:
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], twin[first[k] : first[k + 1]], [0])).astype(np.int8))).reshape(-1, 2)
-                start = unpacked(run)[0]
-                out += [(doc, mark, start + a, start + z - 1 + size) for a, z in edge.tolist()]
-        return out
+def in_order(core: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `parts` by core and bytes, and the bytes that each place has in common with the one before (-1: another core)."""
+    table = np.zeros((len(parts), 8 + width), np.uint8)
+    table[:, :8] = (core.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    row = np.repeat(np.arange(len(parts)), lengths)
+    table[row, 8 + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.frombuffer(b"".join(parts), np.uint8)
+    order = np.argsort(table.view(f"S{8 + width}").ravel(), kind="stable")
+    ordered = table[order]
+    unlike = ordered[1:] != ordered[:-1]
+    common = np.where(unlike.any(1), unlike.argmax(1), 8 + width) - 8
+    return order, np.concatenate(([-1], np.maximum(common, -1)))
+
+
+def combined(core: np.ndarray, phrases: list[bytes], lead: np.ndarray, more: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of these phrases as (phrase, start in it, rank before the trigger, rank from the trigger on).
+
+    A string is `back` bytes before its trigger and size - back from it on.  The
+    dictionary's suffixes up to the trigger are ordered backwards from there,
+    what follows in the parse forwards; both orders give, for every length, the
+    ranks of all phrases by as many bytes.  Strings of one core with equal back
+    are in corpus order by the two ranks, and equal where both are.
+    """
+    widest = int(lead.max())
+    counts = more + 1
+    whose = np.repeat(np.arange(len(phrases)), counts)
+    inside = np.arange(len(whose)) - np.repeat(np.cumsum(counts) - counts, counts)
+    back = lead[whose] - inside
+    ranks = []
+    for parts, width, length in (
+        ([p[:n][::-1] for p, n in zip(phrases, lead.tolist(), strict=True)], widest, back),
+        ([p[n:] for p, n in zip(phrases, lead.tolist(), strict=True)], size, size - back),
+    ):
+        order, common = in_order(core, parts, width)
+        lowest = int(length.min())
+        lengths = np.arange(lowest, int(length.max()) + 1)
+        by_length = np.empty((len(lengths), len(parts)), np.int32)
+        by_length[:, order] = np.cumsum(common < lengths[:, None], 1, dtype=np.int32)
+        ranks.append(by_length[length - lowest, whose].astype(np.int64))
+    return whose, inside, *ranks
+
+
+def equal_to_another(back: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which strings have an equal neighbour in corpus order."""
+    key = back.astype(np.uint64) << np.uint64(48) | left.astype(np.uint64) << np.uint64(24) | right.astype(np.uint64)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twin = np.zeros(len(key), bool)
+    twin[order[1:][same]] = twin[order[:-1][same]] = True
+    return twin
+
+
+#: Bytes of phrases that are put in order together, about.
+SHARD_BYTES = 2 << 20
+
+
+def _order_suffixes(size: int, shard: int = SHARD_BYTES):
+    """Rows sorted by core: the intervals of open phrases whose strings have an equal one in the shard's order."""
+
+    def matched(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole cores."""
+        held = pa.concat_batches(rows)
+        if held.num_rows < 2:
+            return
+        place = held.column("run").to_numpy()
+        lead, more = place >> 10 & 1023, place & 1023
+        whose, inside, left, right = combined(held.column("g").to_numpy(), held.column("bytes").to_pylist(), lead, more, size)
+        twin = equal_to_another(lead[whose] - inside, left, right)
+        twin &= (held.column("state").to_numpy() == OPEN)[whose]
+        fresh = np.flatnonzero(twin & ~np.concatenate(([False], twin[:-1] & (whose[1:] == whose[:-1]))))
+        ends = np.flatnonzero(twin & ~np.concatenate((twin[1:] & (whose[1:] == whose[:-1]), [False])))
+        if len(fresh):
+            own = pa.array(whose[fresh])
+            start = (place >> 20)[whose[fresh]]
+            columns = [held.column("doc_id").take(own), held.column("row_hash").take(own), pa.array(start + inside[fresh]), pa.array(start + inside[ends] + size)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, rows, out = None, [], []
-        for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "doc_id", "row_hash", "run", "state", "bytes")), strict=True):
-                if g != core:
-                    if len(rows) > 1:
-                        out += matched(rows)
-                    core, rows = g, []
-                rows.append(tuple(row))
-            if out:
-                yield _interval_batch(out)
-                out = []
-        if len(rows) > 1:
-            out += matched(rows)
-        if out:
-            yield _interval_batch(out)
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in slices(batches, "bytes", shard):
+            n += pa.compute.sum(pa.compute.binary_length(batch.column("bytes"))).as_py()
+            held.append(batch)
+            if n > shard:
+                rows = pa.concat_batches(held)
+                g = rows.column("g").to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))  # the last core may go on
+                if cut:
+                    yield from matched([rows.slice(0, cut)])
+                held = [rows.slice(cut)]
+                n = pa.compute.sum(pa.compute.binary_length(held[0].column("bytes"))).as_py()
+        if held:
+            yield from matched(held)
 
     return run
 
 
 def _hot_suffixes(phrases: DataFrame, size: int) -> DataFrame:
-    """Intervals for phrases of hot cores: every suffix is a row, equal ones are counted by a shuffle."""
+    """Intervals for phrases of hot cores: every suffix is a row named by core, distance and a hash, equal ones are counted by a shuffle."""
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for g, doc, mark, place, phrase in zip(*(batch.column(c).to_pylist() for c in ("g", "doc_id", "row_hash", "run", "bytes")), strict=True):
                 start, lead, _ = unpacked(place)
-                rows += [(g, lead - i, h - (1 << 63), doc, mark, start + i) for i, h in enumerate(_suffix_hashes(phrase, size))]
+                rows += [(g, lead - i, digest(phrase[i : i + size], 2) - (1 << 63), doc, mark, start + i) for i in range(len(phrase) - size + 1)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["g", "back", "h", "doc_id", "row_hash", "start"])
 
