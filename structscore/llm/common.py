@@ -69,6 +69,13 @@ def text_hash(name: str = "text") -> Column:
 
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have in any case, nor with an ending."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = "_" + name
+    return name
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about `most` bytes, one row at least."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_bytes, text_hash
+from .common import fresh, slices, stored, text_bytes, text_hash
 
 #: ASCII that is no letter or digit separates words; A-Z become a-z; bytes of
 #: other characters belong to words.
@@ -288,9 +288,7 @@ def remove_spans(
     """
     spark = documents.sparkSession
     schema = documents.schema
-    mark = "_hit"
-    while mark in schema.fieldNames():
-        mark = "_" + mark
+    mark = fresh(documents, "_hit")
     marked = T.StructType([*schema.fields, T.StructField(mark, T.BinaryType())])
     at = schema.fieldNames().index("text")
 

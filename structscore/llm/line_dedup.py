@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_bytes, text_hash
+from .common import fresh, slices, stored, text_bytes, text_hash
 
 #: ASCII white space, stripped at both ends of a line for its key.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -247,9 +247,7 @@ def line_report(documents: DataFrame, min_chars: int = 40, min_documents: int =
 def drop_lines(documents: DataFrame, min_chars: int = 40, min_documents: int = 5) -> DataFrame:
     """`documents` with the dropped lines gone from `text`; a null text stays null."""
     schema = documents.schema
-    mark = "_drops"
-    while mark in schema.fieldNames():
-        mark = "_" + mark
+    mark = fresh(documents, "_drops")
     both = with_drops(documents, dropped_lines(documents, min_chars, min_documents), mark)
     at = schema.fieldNames().index("text")
 

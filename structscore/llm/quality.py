@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 # Frequent function words of the languages that the corpus holds.
@@ -166,9 +168,7 @@ def quality_report(documents: DataFrame, rules: tuple[Rule, ...] = RULES, min_wo
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20) -> DataFrame:
     """The rows of `documents` whose verdict is kept, with the columns they came with."""
-    mark = "_measured"
-    while mark in documents.columns:
-        mark = "_" + mark
+    mark = fresh(documents, "_measured")
     df = _with_measures(documents, mark)
     _, _, kept = _judged(mark, rules, min_words)
     return df.filter(kept).drop(mark)

@@ -9,11 +9,13 @@ posting list with too many fingerprints is posted again under two of the five
 other positions (a linked pair shares two of them as well), after which a list
 has at most 2^24 fingerprints and is probed by flipping bits.
 
-Inside a list the shared positional bytes of each pair are tallied, pairs below
-five go, the rest are verified by their differing bits, and only a spanning
-forest leaves the task: connected fingerprints stay connected while a list of n
-fingerprints makes n links at most.  Components grow by alternating star
-contractions over tables; nothing is collected.
+A list's fingerprints share its positions.  Each of the other positions has
+sub-lists, a byte value each; the sub-lists that a pair is in together are
+tallied, pairs that come to fewer than five shared positions in all go, and only
+the rest are verified by their differing bits.  Only a spanning forest leaves the
+task: connected fingerprints stay connected while a list of n fingerprints makes
+n links at most.  Components grow by alternating star contractions over tables;
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_bytes, text_hash
+from .common import fresh, slices, stored, text_bytes, text_hash
 
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
 
 #: Fingerprints of a posting list above which it is posted again, two bytes deeper.
-LIST_LIMIT = 2048
+LIST_LIMIT = 512
 
 FINGERPRINTS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("row_hash", T.LongType()), T.StructField("fp", T.LongType())]
@@ -114,12 +116,50 @@ def postings(distinct: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return lists.join(long, "key", "left_anti").select("key", "fp").unionByName(again.select("key", "fp"))
 
 
-def _verified(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs that share the guaranteed positional bytes and differ in few bits."""
-    x = a ^ b
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    ok = np.flatnonzero(tally >= 8 - bits)
-    return ok[np.bitwise_count(x[ok]) <= bits]
+#: Positions that a list's fingerprints share, by the label at the top of its key.
+SHARED = dict(enumerate(TRIPLES)) | {
+    8 + 10 * i + j: (*t, *pair) for i, t in enumerate(TRIPLES) for j, pair in enumerate(combinations([p for p in range(8) if p not in t], 2))
+}
+
+
+def _label(key: int) -> int:
+    return key >> 40 if key >> 40 else key >> 24
+
+
+def pairs_by_steps(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs inside runs of equal values, as places, by their distance."""
+    end = np.searchsorted(group, group, "right")
+    at, step = np.arange(len(group)), 1
+    while len(at := at[at + step < end[at]]):
+        yield at, at + step
+        step += 1
+
+
+def tally(lists: np.ndarray, fps: np.ndarray, shared: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that are in a list and in a sub-list of it together, and how many positional bytes they share in all.
+
+    `lists` numbers the fingerprints' lists in ascending order.
+    """
+    found = []
+    for p in range(8):
+        if p not in shared:
+            keys = lists.astype(np.uint64) << np.uint64(8) | fps >> np.uint64(8 * p) & np.uint64(255)
+            order = np.argsort(keys, kind="stable").astype(np.uint64)
+            found += [order[a] << np.uint64(32) | order[b] for a, b in pairs_by_steps(keys[order.astype(np.int64)])]
+    pairs, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), times + len(shared)
+
+
+def _near(lists: np.ndarray, fps: np.ndarray, shared: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list within `bits` differing bits: by the tally where it can rule pairs out, else all are verified."""
+    if len(shared) >= 8 - bits:
+        found = list(pairs_by_steps(lists))
+    else:
+        a, b, times = tally(lists, fps, shared)
+        kept = times >= 8 - bits
+        found = [(a[kept], b[kept])]
+    ok = [np.bitwise_count(fps[a] ^ fps[b]) <= bits for a, b in found]
+    return tuple(np.concatenate([x[k][o] for x, o in zip(found, ok, strict=True)] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,14 +189,13 @@ def _linked(keys: np.ndarray, fps: np.ndarray, bits: int, limit: int) -> tuple[n
     sizes = np.diff(np.append(starts, len(keys)))
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    end = np.repeat(starts + sizes, sizes)
-    small = np.flatnonzero(np.repeat(sizes <= limit, sizes))
-    step = 1
-    while len(small := small[small + step < end[small]]):
-        ok = small[_verified(fps[small], fps[small + step], bits)]
-        left.append(ok)
-        right.append(ok + step)
-        step += 1
+    labels = np.array([_label(k) for k in keys[starts].tolist()])
+    for label in np.unique(labels):
+        own = np.flatnonzero(np.repeat((labels == label) & (sizes <= limit) & (sizes > 1), sizes))
+        if len(own):
+            a, b = _near(np.repeat(np.arange(len(starts)), sizes)[own], fps[own], SHARED[int(label)], bits)
+            left.append(own[a])
+            right.append(own[b])
     for s, n in zip(starts[sizes > limit], sizes[sizes > limit], strict=True):
         own = np.sort(fps[s : s + n])
         order = np.argsort(fps[s : s + n])
@@ -247,7 +286,7 @@ def near_duplicates(documents: DataFrame, bits: int = 3, words: int = 3, limit:
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
-    """doc_id, the fingerprint in hex and component_id."""
+    """doc_id, the fingerprint in hex and component_id, a row per row; texts without words and null texts have fingerprint zero."""
     found = near_duplicates(documents.select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -255,14 +294,17 @@ def simhash_report(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest doc_id, of equal ids the smallest text hash.
 
-    Columns are those of `documents`.  Of wholly repeated rows one stays.
+    Columns are those of `documents`.  Of wholly repeated rows one stays.  The
+    rows move once: they meet the chosen ids and lose repeats under the same key.
     """
     found = near_duplicates(documents)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("k"))
-    chosen = first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.row_hash").alias("_kept_hash"))
-    mark = "_row_hash"
-    while mark in documents.columns:
-        mark = "_" + mark
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(mark) == F.col("_kept_hash"))
-    left = documents.withColumn(mark, text_hash()).join(chosen, on, "left_semi")
-    return left.dropDuplicates(["doc_id", mark]).drop(mark)
+    mark = fresh(documents, "_row")
+    number, name = mark + "_id", mark + "_hash"
+
+    def key(doc_id: Column, row_hash: Column) -> list[Column]:
+        return [F.coalesce(doc_id, F.lit(0)).alias(number), F.xxhash64(row_hash, doc_id.isNull()).alias(name)]
+
+    chosen = first.select(*key(F.col("k.doc_id"), F.col("k.row_hash")))
+    rows = documents.select("*", *key(F.col("doc_id").cast("long"), text_hash()))
+    return rows.join(chosen, [number, name], "left_semi").dropDuplicates([number, name]).select(*documents.columns)
