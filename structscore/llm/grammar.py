@@ -2,7 +2,8 @@
 
 A shard is a run of documents.  Its ids are replaced pair by pair: the frequent
 pairs of adjacent symbols become nonterminals, again and again, until no pair is
-frequent or all two-byte symbols are used.  A shard stores its rules, the
+frequent or all two-byte symbols are used (four-byte ones where a vocabulary
+leaves no two-byte symbols).  A shard stores its rules, the
 expansion length of every rule, where each document's symbols start, and the
 symbols; a range of a document's ids is decoded by skipping over expansion
 lengths, without touching the rest.
@@ -34,13 +35,13 @@ HEADER = struct.Struct("<4sQIIIIIII")  # magic, frame bytes, documents, first no
 #: Ids in a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 21
 
+#: Shards in a file; a task rolls to its next file then, so a file is read whole in bounded memory.
+FILE_SHARDS = 16
+
 #: A pair is frequent from this count on: a rule costs eight bytes, a use saves two.
 FREQUENT = 6
 
-ROUNDS = 16
-
-
-MIX = np.uint32(2654435761)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _alternate(at: np.ndarray) -> np.ndarray:
@@ -52,23 +53,23 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return (at - first) % 2 == 0
 
 
-def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: (rules, symbols).  Rule r stands for the two symbols rules[r], as symbol first + r.
 
     No rule holds `end`, so documents can be decoded one by one.  In a round all
     frequent pairs are counted together and replaced left to right; a pair that
-    is left with fewer than two uses gets no rule.
+    is left with fewer than two uses gets no rule, and is not tried again.
     """
-    room = (1 << 16) - first
-    if room <= 0 or len(ids) < 2:
-        return np.zeros((0, 2), np.uint32), ids.astype(np.uint32)
-    s = ids.astype(np.uint16)
+    # symbols and pairs of them: two and four bytes, or four and eight
+    symbol, pair, bits = (np.uint16, np.uint32, 16) if first < 1 << 16 else (np.uint32, np.uint64, 32)
+    shift, room = pair(bits), (1 << bits) - first
+    s = ids.astype(symbol)
     rules: list[np.ndarray] = []
+    useless = np.zeros(0, pair)
+    mix, last = pair(MIX >> np.uint64(64 - 2 * bits)) | pair(1), pair(2 * bits - 16)
     used = 0
-    for _ in range(rounds):
-        if used == room or len(s) < 2:
-            break
-        keys = s[:-1].astype(np.uint32) << np.uint32(16) | s[1:]
+    while used < room and len(s) > 1:
+        keys = s[:-1].astype(pair) << shift | s[1:]
         inner = (s[:-1] != end) & (s[1:] != end)
         ordered = np.sort(keys[inner])
         if not len(ordered):
@@ -76,6 +77,7 @@ def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, ro
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edge, len(ordered)))
         good = np.flatnonzero(counts >= frequent)
+        good = good[~np.isin(ordered[edge[good]], useless)]
         if not len(good):
             break
         most = min(room - used, max(room // 4, (room - used) // 2))
@@ -84,8 +86,8 @@ def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, ro
         pairs = np.sort(ordered[edge[good]])
         # a small table of hashes finds most positions that hold none of the pairs
         table = np.zeros(1 << 16, bool)
-        table[pairs * MIX >> np.uint32(16)] = True
-        maybe = np.flatnonzero(table[keys * MIX >> np.uint32(16)] & inner)
+        table[pairs * mix >> last] = True
+        maybe = np.flatnonzero(table[keys * mix >> last] & inner)
         found = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
         hit = pairs[found] == keys[maybe]
         maybe, found = maybe[hit], found[hit]
@@ -93,17 +95,16 @@ def compress(ids: np.ndarray, first: int, end: int, frequent: int = FREQUENT, ro
         at, place = maybe[picked], found[picked]
         uses = np.bincount(place, minlength=len(pairs))
         kept = np.flatnonzero(uses >= 2)
-        if not len(kept):
-            break
+        useless = np.concatenate((useless, pairs[uses < 2]))
         number = np.full(len(pairs), -1, np.int64)
         number[kept] = np.arange(len(kept))
         name = number[place]
         at, name = at[name >= 0], name[name >= 0]
-        s[at] = (first + used + name).astype(np.uint16)
+        s[at] = (first + used + name).astype(symbol)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules.append(np.stack([pairs[kept] >> np.uint32(16), pairs[kept] & np.uint32(0xFFFF)], 1))
+        rules.append(np.stack([pairs[kept] >> shift, pairs[kept] & pair((1 << bits) - 1)], 1).astype(np.uint32))
         used += len(kept)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), s.astype(np.uint32)
 
@@ -215,10 +216,10 @@ def shards_of(content: bytes) -> Iterator[Shard]:
         at += size
 
 
-def write_ids(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = 2, shard_ids: int = SHARD_IDS) -> None:
+def write_ids(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = 2, shard_ids: int = SHARD_IDS, file_shards: int = FILE_SHARDS) -> None:
     """Encode every text, append `end`, and write shards in ascending doc_id order under `path`.
 
-    Files are in order of their names; null ids come first; rows with equal ids
+    Files are in order of their names (see `place_of_file`); null ids come first; rows with equal ids
     stand by the hash of their text; null texts are empty.
     """
     order = ["doc_id", "row_hash"]
@@ -247,7 +248,13 @@ def write_ids(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end
             yield frame()
 
     frames = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", "\0").text(path)
+    frames.select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_shards).text(path)
+
+
+def place_of_file(name: str) -> tuple[int, int]:
+    """A file's task and its number among the task's files."""
+    task, number = re.search(r"part-(\d+)-.*-c(\d+)", name).groups()
+    return int(task), int(number)
 
 
 READ = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "at", "n_tokens", "ids_crc32")] + [T.StructField("file", T.StringType())])
@@ -279,16 +286,20 @@ def read_ids(documents_path: str, spark) -> DataFrame:
     return spark.read.format("binaryFile").load(documents_path).select("path", "content").mapInArrow(run, READ)
 
 
-def ids_report(documents: DataFrame, vocabulary: str = VOCABULARY, end: int = 2) -> DataFrame:
-    """Write all ids, read the files back: doc_id, start (ids before it), n_tokens, ids_crc32."""
+def ids_report(documents: DataFrame, vocabulary: str = VOCABULARY, end: int = 2, shard_ids: int = SHARD_IDS, file_shards: int = FILE_SHARDS) -> DataFrame:
+    """Write all ids, read the files back: doc_id, start (ids before it), n_tokens, ids_crc32.
+
+    Null ids come first, rows with equal ids by the hash of their text; a null or
+    empty text is an end id alone; an empty table gives no row.
+    """
     spark = documents.sparkSession
     path = scratch(spark, "ids")
-    write_ids(documents, path, vocabulary, end)
+    write_ids(documents, path, vocabulary, end, shard_ids, file_shards)
     rows = stored(read_ids(path, spark), "ids-read")
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()  # a number a file
     before, n = [], 0
-    for file, size in sorted(((r.file, r.n) for r in sizes), key=lambda x: int(re.search(r"part-(\d+)", x[0])[1])):
+    for file, size in sorted(((r.file, r.n) for r in sizes), key=lambda x: place_of_file(x[0])):
         before.append((file, n))
         n += size
     base = spark.createDataFrame(before, "file string, base bigint")
-    return rows.join(F.broadcast(base), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -4,7 +4,8 @@ Payload digests are grouped first: of equal payloads that are long enough, the
 one with the largest page id is the response that the others revisit.  Members
 go through Spark's text sink, which commits files as it does any table's: a gzip
 member ends in the top byte of its length, which is zero below 16 MiB, so that
-byte is the sink's line end and the file is a plain series of members.
+byte is the sink's line end and the file is a plain series of members.  A row of
+that sink is a file, of a set size, however much a task writes.
 """
 
 from __future__ import annotations
@@ -28,14 +29,21 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 16
 
+#: A file's bytes, about: a task rolls to its next file then; a longer record is a file of its own.
+FILE_BYTES = 32 << 20
+
 
 def _member(data: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
+def _named(digest) -> str:
+    return "sha1:" + base64.b32encode(digest.digest()).decode()
+
+
 def _digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _named(hashlib.sha1(data))
 
 
 def record_id(page_id: int | None) -> str:
@@ -94,42 +102,71 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def _members(content: memoryview) -> Iterator[bytes]:
-    """The inflated data of each gzip member, fed in small pieces."""
+def _members(content: memoryview) -> Iterator[Iterator[bytes]]:
+    """Each gzip member's inflated data, piece by piece; a member is used up before the next one starts."""
     at = 0
-    while at < len(content):
-        z, out = zlib.decompressobj(31), []
+
+    def pieces() -> Iterator[bytes]:
+        nonlocal at
+        z = zlib.decompressobj(31)
         while not z.eof:
-            piece = content[at : at + READ_BYTES]
+            piece = z.unconsumed_tail or content[at : at + READ_BYTES]
             if not len(piece):
                 raise ValueError("a gzip member is cut off")
-            out.append(z.decompress(piece))
-            at += len(piece)
+            if not z.unconsumed_tail:
+                at += len(piece)
+            yield z.decompress(piece, READ_BYTES)
         at -= len(z.unused_data)
-        yield b"".join(out)
+
+    while at < len(content):
+        own = pieces()
+        yield own
+        for _ in own:
+            pass
+
+
+def _framed(pieces: Iterator[bytes]) -> Record | None:
+    """A record by its headers and Content-Length, digests kept up as pieces come; None for an empty member."""
+    start = b""
+    for piece in pieces:
+        start += piece
+        if b"\r\n\r\n" in start:
+            break
+    if not start:
+        return None  # the empty member after a record of 16 MiB or more
+    head, mark, rest = start.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    if not mark or lines[0] != b"WARC/1.1":
+        raise ValueError("not a WARC record")
+    headers = _fields(lines[1:])
+    left = int(headers["content-length"])
+    block, parts, end = hashlib.sha1(), [], b""
+    while True:
+        own, over = rest[:left], rest[left:]
+        block.update(own)
+        parts.append(own)
+        left -= len(own)
+        end += over
+        rest = next(pieces, None)
+        if rest is None:
+            break
+    if left or end != b"\r\n\r\n":
+        raise ValueError("a record's length is not its Content-Length")
+    if _named(block) != headers["warc-block-digest"]:
+        raise ValueError("a block does not match its digest")
+    top, _, payload = b"".join(parts).partition(b"\r\n\r\n")
+    http = _fields(top.split(b"\r\n")[1:])
+    if headers["warc-type"] == "response" and (_digest(payload) != headers["warc-payload-digest"] or len(payload) != int(http["content-length"])):
+        raise ValueError("a payload does not match its digest or length")
+    return Record(headers, http, payload)
 
 
 def read_records(content: bytes | memoryview) -> Iterator[Record]:
     """All records of an archive in order; lengths and digests must hold."""
-    for data in _members(memoryview(content)):
-        if not data:
-            continue  # the empty member after a record of 16 MiB or more
-        head, mark, rest = data.partition(b"\r\n\r\n")
-        lines = head.split(b"\r\n")
-        if not mark or lines[0] != b"WARC/1.1":
-            raise ValueError("not a WARC record")
-        headers = _fields(lines[1:])
-        n = int(headers["content-length"])
-        block = rest[:n]
-        if len(block) != n or rest[n:] != b"\r\n\r\n":
-            raise ValueError("a record's length is not its Content-Length")
-        if _digest(block) != headers["warc-block-digest"]:
-            raise ValueError("a block does not match its digest")
-        top, _, payload = block.partition(b"\r\n\r\n")
-        http = _fields(top.split(b"\r\n")[1:])
-        if headers["warc-type"] == "response" and (_digest(payload) != headers["warc-payload-digest"] or len(payload) != int(http["content-length"])):
-            raise ValueError("a payload does not match its digest or length")
-        yield Record(headers, http, payload)
+    for pieces in _members(memoryview(content)):
+        record = _framed(pieces)
+        if record:
+            yield record
 
 
 def with_targets(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -138,14 +175,15 @@ def with_targets(pages: DataFrame, least: int = 1000) -> DataFrame:
     Rows that repeat the largest id are responses too.  Null ids refer to the
     largest id if there is one.  The groups are aggregated before they meet the
     pages, so one payload on a third of all pages is a single row on that side,
-    and adaptive joins split the other.
+    and adaptive joins split the other.  Short payloads have keys of their own
+    that no group has, so that they are spread.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_bytes("html").alias("payload")).withColumn(
-        "key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256))
+        "key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)).otherwise(F.concat(F.lit("own "), F.xxhash64("page_id", "url", "payload")))
     )
     groups = (
-        rows.select("page_id", "key")
-        .filter("key IS NOT NULL")
+        rows.filter(~F.startswith("key", F.lit("own ")))
+        .select("page_id", "key")
         .groupBy("key")
         .agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
         .filter("n > 1")
@@ -155,21 +193,31 @@ def with_targets(pages: DataFrame, least: int = 1000) -> DataFrame:
     return rows.join(groups, F.col("key") == F.col("group"), "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
-    """A record per row of `pages` (null html: an empty payload) in files under `path`."""
+def write_archives(pages: DataFrame, path: str, least: int = 1000, file_bytes: int = FILE_BYTES) -> None:
+    """A record per row of `pages` (null html: an empty payload) in files of about `file_bytes` under `path`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            # the sink adds the last byte
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["members"])
+
         for batch in slices(batches, "payload"):
-            out = []
             for row in batch.to_pylist():
                 member = _member(write_record(**row))
                 if member[-1]:
                     member += _member(b"")
-                out.append(member[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                if held and size + len(member) > file_bytes:
+                    yield file()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield file()
 
-    members = with_targets(pages, least).mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string").alias("member")).write.option("lineSep", "\0").text(path)
+    files = with_targets(pages, least).mapInArrow(run, "members binary")
+    files.select(F.col("members").cast("string").alias("members")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 FOUND = T.StructType(
@@ -206,8 +254,12 @@ def read_archives(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FOUND)
 
 
-def archive_report(pages: DataFrame) -> DataFrame:
-    """Write all pages to archives and read them back."""
+def archive_report(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write all pages to archives and read them back, a row per page.
+
+    A null html is an empty payload, a null page_id an id like others; repeated
+    rows are records each; an empty table gives no row.
+    """
     path = scratch(pages.sparkSession, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, file_bytes=file_bytes)
     return read_archives(pages.sparkSession, path).drop("target_uri")
