@@ -282,11 +282,16 @@ def _first(owners: int, cells: np.ndarray):
         count = np.zeros(len(pairs), np.int64)
         for (part, b), k in zip(blobs, keys, strict=True):
             at = np.searchsorted(pairs, k)  # both are in order
-            np.add.at(count, at, b[3].astype(np.int64))
+            count[at] += b[3]
             v, w = words[k >> np.uint64(32)], words[k & np.uint64(0xFFFFFFFF)]
             yield shard, ANSWER, part, dump(narrow(np.diff(at, prepend=0)), np.array([np.bitwise_xor.reduce(mixed(mixed(v) + w))]))
-        context_w, context = np.unique(pairs >> np.uint64(32), return_inverse=True)
-        dish_w, dish = np.unique(pairs & np.uint64(0xFFFFFFFF), return_inverse=True)
+        context = pairs >> np.uint64(32)
+        fresh = np.concatenate(([True], context[1:] != context[:-1]))
+        context_w, context = context[fresh], np.cumsum(fresh) - 1
+        dish = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        met = np.zeros(len(words), bool)
+        met[dish] = True
+        dish_w, dish = np.flatnonzero(met), (np.cumsum(met) - 1)[dish]
         many = count > 1
         # dishes that can change stand first
         active = np.zeros(len(dish_w), bool)

@@ -153,6 +153,131 @@ def test_warc(spark, rows):
     assert warc.archive_report(df.limit(0)).count() == 0
 
 
+def test_repeats_by_bytes_in_corpus_order():
+    import numpy as np
+
+    rnd = random.Random(1)
+    for _ in range(10):
+        bases = [bytes(rnd.choice(b"a\0b") for _ in range(500)) for _ in range(3)]
+        core, phrases, lead, more = [], [], [], []
+        for _ in range(60):
+            k = rnd.randrange(3)
+            text = bytearray(bases[k])
+            for _ in range(rnd.choice([0, 1, 2])):
+                at = rnd.randrange(500)
+                if not 250 <= at < 311:
+                    text[at] = rnd.choice(b"a\0b")
+            n = rnd.randint(0, 139)
+            m = rnd.randint(0, n)
+            core.append(k - 1)
+            phrases.append(bytes(text[250 - n : 450 - n + m]))
+            lead.append(n)
+            more.append(m)
+        whose, inside, left, right = repeats.combined(np.array(core), phrases, np.array(lead), np.array(more), 200)
+        back = np.array(lead)[whose] - inside
+        strings = [(core[k], int(b), phrases[k][i : i + 200]) for k, i, b in zip(whose, inside, back, strict=True)]
+        times = Counter(strings)
+        assert repeats.equal_to_another(back, left, right).tolist() == [times[s] > 1 for s in strings]
+        naive = [(c, s[:b][::-1], s[b:]) for c, b, s in strings]
+        for b in set(back.tolist()):
+            own = [i for i in range(len(naive)) if back[i] == b]
+            assert sorted(own, key=lambda i: (naive[i], i)) == sorted(own, key=lambda i: (left[i], right[i], i))
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 1000])
+def test_runs_settle_over_batch_borders(cut):
+    import pyarrow as pa
+
+    rnd = random.Random(cut)
+    rows = sorted(((rnd.randrange(12) ** 2 // 9, rnd.randrange(3), k if k % 5 else None, k, k << 20, rnd.choice([0, 0, 1])) for k in range(90)), key=lambda r: r[:2])
+    kinds = (pa.int64(),) * 5 + (pa.int8(),)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + cut]), kinds)], names=repeats.RUNS.fieldNames()) for i in range(0, len(rows), cut)]
+    got = [tuple(r.values()) for b in repeats._settle(iter(batches)) for r in b.to_pylist()]
+    by_phrase = Counter(r[:2] for r in rows)
+    settled = {r[:2] for r in rows if r[5]} | {p for p, n in by_phrase.items() if n > 1}
+    phrases = Counter(g for g, _ in by_phrase)
+    assert Counter(r[1:6] for r in got if r[0] == 0) == Counter(r[:5] for r in rows if not r[5] and by_phrase[r[:2]] > 1)
+    assert {(r[1:3], r[6]) for r in got if r[0] == 1} == {(p, int(p in settled)) for p in by_phrase if phrases[p[0]] > 1}
+    assert sum(r[0] == 1 for r in got) == sum(n for n in phrases.values() if n > 1)
+    assert {(r[1], r[5]) for r in got if r[0] == 2} == {(g, n) for g, n in phrases.items() if n > 1}
+
+
+def test_tally_drops_pairs_before_they_are_verified():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    fps = rnd.integers(0, 1 << 63, 300).astype(np.uint64) & ~np.uint64(0xFFFFFF)  # all share positions 0, 1 and 2
+    fps[150:] = fps[:150] ^ np.uint64(1 << 40)
+    a, b, times = simhash.tally(np.zeros(300, np.int64), fps, (0, 1, 2))
+    assert ((fps[a] ^ fps[b]).view(np.uint8).reshape(-1, 8) == 0).sum(1).tolist() == times.tolist()
+    kept = times >= 5
+    assert kept.sum() >= 150 and (~kept).sum() > 100, "pairs go by the tally alone"
+    near = {(i, j) for i in range(300) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+    assert near <= {tuple(sorted(p, reverse=True)) for p in zip(a[kept].tolist(), b[kept].tolist())}
+
+
+def test_files_of_a_set_size(spark, rows):
+    import zlib
+
+    df = frame(spark, rows).coalesce(1)
+    out = grammar.ids_report(df, shard_ids=300, file_shards=2).collect()
+    want = Counter((i, len(plain.token_ids(t, 2)), zlib.crc32(plain.token_ids(t, 2).tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    pages = [(i, f"<p>{t}" * 3) for i, t in rows]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in pages], "page_id bigint, url string, html string").coalesce(1)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    same(warc.archive_report(df, file_bytes=2000), columns, plain.warc(pages))
+
+
+def test_rules_until_no_pair_is_frequent():
+    import numpy as np
+
+    ids = np.concatenate([np.tile(np.arange(3, 5), 1 << 20), [2]])  # some twenty rounds of doubling
+    for first in (100, 70_000):
+        rules, symbols = grammar.compress(ids, first, 2)
+        assert (grammar.expand(symbols, grammar.expansions(rules, first)) == ids).all()
+        pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+        assert max(pairs.values()) < grammar.FREQUENT and len(symbols) < 20
+        assert (grammar.expansion_lengths(rules, first) >= 2).all()
+
+
+def test_wide_symbols_on_disk():
+    import numpy as np
+
+    docs = [np.array([70_001, 5, 69_999, 5, 69_999, 5, 69_999, 5, 69_999] * 9 + [2]) for _ in range(3)]
+    shard = grammar.Shard(memoryview(grammar.write_shard([1, 2, None], docs, 70_010, 2)))
+    assert len(shard.rules) and all((shard.ids(k) == d).all() for k, d in enumerate(docs))
+
+
+def test_names_that_clash_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a b c " * 30, "x", "y", "z", 1), (2, None, "x", "y", "z", 2)], "doc_id bigint, text string, _MEASURED string, _Row_Hash string, _drops_ID string, _HIT int")
+    bench = spark.createDataFrame([(1, "q r s")], "item_id bigint, text string")
+    for out in (quality.keep_good(df), line_dedup.drop_lines(df), simhash.keep_one(df), decontaminate.remove_spans(df, bench)):
+        assert out.columns == df.columns
+        out.collect()
+
+
+def test_scratch_folder_is_shared_or_local(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from structscore.llm import common
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    away = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        common.shared_dir(away)
+    away.sparkContext.getCheckpointDir = lambda: "hdfs://x/y"
+    assert common.shared_dir(away) == "hdfs://x/y"
+    table = common.stored(spark.range(5).toDF("n"), "gone")
+    path = table.inputFiles()[0].removeprefix("file://")
+    common.dropped(table)
+    assert not Path(path).exists()
+
+
 def test_warc_reader_refuses_damage():
     record = warc.write_record(1, "http://x/", b"hello" * 100, None)
     member = warc._member(record)
@@ -250,15 +375,20 @@ def test_language_model(spark, rows):
 def test_language_model_is_a_distribution():
     import numpy as np
 
+    from structscore.llm.seating import Seats, Weights, sweep
+
     rnd = np.random.default_rng(3)
     count = rnd.integers(0, 9, (40, 25))
     count[:, 0] += 1
-    x = language_model.Numbers(int(count.sum()), 25, 0, 0, 30, 10, 1.0)
-    tables = np.where(count > 0, language_model.seat(np.maximum(count, 1).ravel(), np.full(count.size, 0.3), x.discount, rnd).reshape(count.shape), 0)
+    has = np.flatnonzero(count.ravel())
+    seats = Seats(count.ravel()[has])
+    sweep(seats, Weights(1.0, 0.6, np.full(len(has), 20.0), np.full(len(has), 5.0), np.full(len(has), 100.0)).of, rnd)
+    tables = np.zeros(count.size, int)
+    tables[has] = seats.tables
+    tables = tables.reshape(count.shape)
     root = tables.sum(0)
     root_t = np.where(root > 0, 1, 0)
-    x.root, x.tables = int(root.sum()), int(root_t.sum())
-    x.words = int((root > 0).sum())
+    x = language_model.Numbers(np.array([count.sum(), (root > 0).sum(), root.sum(), root_t.sum()]), (1.0, 0.6), (2.0, 0.7))
     p0 = np.append(x.root_probability(root, root_t)[root > 0], x.root_probability(np.zeros(1), np.zeros(1)))
     assert abs(p0.sum() - 1) < 1e-9
     above = (x.theta + x.discount * tables.sum(1, keepdims=True)) * x.root_probability(root, root_t)
@@ -268,6 +398,15 @@ def test_language_model_is_a_distribution():
     assert (tables <= count).all()
 
 
+def test_language_model_of_long_texts(spark, rows, monkeypatch):
+    """Texts longer than a block, many blocks and shards, frequent contexts dealt by dish."""
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 2000)
+    out = language_model.score_texts(frame(spark, rows), samples=1, burn_in=0)
+    same(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"], plain.base_scores(rows))
+    assert all(r.score < 0 for r in out.select("score").collect())
+
+
 def test_secrets(spark):
     model = secrets.train(secrets.labelled_findings(spark, 3000))
     held = model.transform(secrets.features(secrets.labelled_findings(spark, 1500, 10_000_000)))
