@@ -12,48 +12,68 @@ from pyspark.sql import functions as F
 from .graphs import EDGE, NODE, _edge, _first_of_each, _node, clean_label
 from .text import strip, strip_fence
 
-_IF = "(?i)^(?:else\\s*)?if\\s*\\((.*?)\\)\\s*(?:then)?\\s*(?:\\((.*?)\\))?\\s*$"
 _ARROW = "^(\\(\\*\\)|\\[[^\\]]+\\]|\"[^\"]+\"|[^\\s:\\-<>]+)\\s*-+(?:\\w+-+)?>\\s*(\\(\\*\\)|\\[[^\\]]+\\]|\"[^\"]+\"|[^\\s:]+)\\s*(?::\\s*(.*))?$"
 
-# Event kinds and the lines that make them, first match counts.
-_EVENTS = [
-    ("title", "(?i)^title\\s+(.+)$"),
-    ("start", "(?i)^start$"),
-    ("stop", "(?i)^(?:stop|end)$"),
-    ("elseif", "(?i)^else\\s*if\\b.*$"),
-    ("if", "(?i)^if\\b.*$"),
-    ("else", "(?i)^else\\s*(?:\\((.*?)\\))?\\s*$"),
-    ("endif", "(?i)^end\\s*if$"),
-    ("again", "(?i)^(?:fork|split)\\s+again$"),
-    ("fork", "(?i)^(?:fork|split)$"),
-    ("join", "(?i)^end\\s*(?:fork|split|merge)(?:\\s*\\{.*\\})?$"),
-    ("back", "(?i)^back\\s+to\\s+:?\\s*([^;]+?)\\s*;?$"),
-    ("label", "^-+>\\s*([^;]+?)\\s*;?$"),
-    ("label", "^\\|([^|]+)\\|$"),
-    ("node", "^:(.*);$"),
-    ("arrow", _ARROW),
-]
+# Keywords of activity charts, by the event they make.
+KEYWORDS = {
+    "title": ["title"],
+    "start": ["start"],
+    "stop": ["stop", "end"],
+    "if": ["if"],
+    "elseif": ["elseif", "else if"],
+    "else": ["else"],
+    "endif": ["endif", "end if"],
+    "fork": ["fork", "split"],
+    "again": ["fork again", "split again"],
+    "join": ["end fork", "end split", "end merge"],
+    "back": ["back to"],
+}
+
+#: Events whose keyword is all of the line, but for options in braces.
+ALONE = ["start", "stop", "endif", "fork", "again", "join"]
 
 
 def events(text: Column) -> Column:
-    """array<struct<kind, a, b, c>> of a chart's lines, comments, notes and partitions gone."""
+    """array<struct<kind, a, b, c>> of a chart's lines, comments, notes and partitions gone.
+
+    A line begins with a keyword, or its first character tells what it is: an
+    action between : and ;, words on the next arrow, a lane, or an arrow between
+    two names.
+    """
     t = F.regexp_replace(strip_fence(text), "(?is)/'.*?'/|\\bnote\\b[^\\n:]*\\n.*?\\bend\\s*note\\b", " ")
     t = F.regexp_replace(t, "(?im)^\\s*(?:@(?:start|end)\\w*.*|'.*|note\\b.*|partition\\b.*|[{}])\\s*$", "")
     listed = F.filter(F.transform(F.split(F.regexp_replace(t, ";\\s*-+>\\s*:", ";\n:"), "\n"), strip), lambda x: x != "")
+    kinds = F.create_map(*[F.lit(x) for kind, words in KEYWORDS.items() for w in words for x in (w, kind)])
+    every = sorted((w for words in KEYWORDS.values() for w in words), key=len, reverse=True)
+    keyword = f"(?iU)^({'|'.join(w.replace(' ', ' *') for w in every)})(?!\\w)\\s*"
 
     def event(x: Column) -> Column:
-        kind, a = F.lit("other"), F.lit("")
-        for name, pattern in reversed(_EVENTS):
-            has = x.rlike(pattern)
-            first = F.regexp_extract(x, pattern, 1) if "(" in pattern.replace("(?", "").replace("\\(", "") else F.lit("")
-            kind, a = F.when(has, name).otherwise(kind), F.when(has, first).otherwise(a)
+        word = F.regexp_replace(F.lower(F.regexp_extract(x, keyword, 1)), " +", " ")
+        word = F.when(word.isin("endfork", "endsplit", "endmerge"), F.regexp_replace(word, "^end", "end ")).otherwise(word)
+        rest = F.regexp_replace(x, keyword, "")
+        named = F.coalesce(kinds[word], F.lit("other"))
+        known = (named != "other") & (~named.isin(ALONE) | (rest == "") | rest.startswith("{")) & ((named != "title") | (rest != ""))
+        words_on = x.rlike("^-+>") & ~x.rlike(_ARROW)
+        kind = (
+            F.when(known, named)
+            .when(x.rlike("^:.*;$"), "node")
+            .when(words_on | x.rlike("^\\|[^|]+\\|$"), "label")
+            .when(x.rlike(_ARROW), "arrow")
+            .otherwise("other")
+        )
         branch = kind.isin("if", "elseif")
-        return F.struct(
-            kind.alias("kind"),
-            clean_label(F.when(branch, F.regexp_extract(x, _IF, 1)).otherwise(a)).alias("a"),
-            clean_label(F.when(branch, F.regexp_extract(x, _IF, 2)).when(kind == "arrow", F.regexp_extract(x, _ARROW, 2)).otherwise("")).alias("b"),
-            clean_label(F.when(kind == "arrow", F.regexp_extract(x, _ARROW, 3)).otherwise("")).alias("c"),
+        # if (a) then (b); else (a); anything else without the marks around it
+        asked = "^\\(((?:[^()]|\\([^()]*\\))*)\\)"
+        first = (
+            F.when(kind == "title", rest)
+            .when(branch | (kind == "else"), F.regexp_extract(rest, asked, 1))
+            .when(kind == "arrow", F.regexp_extract(x, _ARROW, 1))
+            .when(kind.isin("node", "label", "back"), F.regexp_replace(F.when(kind == "back", rest).otherwise(x), "^(?:-+>|[:|])\\s*|\\s*[;|]$", ""))
+            .otherwise("")
         )
+        second = F.when(branch, F.regexp_extract(F.regexp_replace(rest, asked, ""), "\\(([^()]*)\\)", 1)).when(kind == "arrow", F.regexp_extract(x, _ARROW, 2)).otherwise("")
+        third = F.when(kind == "arrow", F.regexp_extract(x, _ARROW, 3)).otherwise("")
+        return F.struct(kind.alias("kind"), clean_label(first).alias("a"), clean_label(second).alias("b"), clean_label(third).alias("c"))
 
     return F.transform(listed, event)
 

@@ -49,7 +49,7 @@ def _chain(line: Column, node_of) -> Column:
         parts,
         lambda p, i: F.struct(
             node_of(F.when(i == 0, p).otherwise(F.regexp_replace(p, f"(?s)^[^{_END}]*{_END}", ""))).alias("node"),
-            strip(F.when(i == 0, F.lit("")).otherwise(F.substring_index(p, _END, 1))).alias("label"),
+            _unquoted(F.when(i == 0, F.lit("")).otherwise(F.substring_index(p, _END, 1))).alias("label"),
         ),
     )
 
@@ -72,18 +72,20 @@ def _graph(chains: Column, alone: Column) -> Column:
     return F.struct(_first_of_each(nodes).alias("nodes"), F.filter(edges, lambda e: (e["src"] != "") & (e["dst"] != "")).alias("edges"))
 
 
-# Arrows of Mermaid, those with labels first.
-MERMAID_ARROWS = "|".join(
-    [
-        '(?:-->|==>|-\\.->)\\s*\\|\\s*"([^"]*)"\\s*\\|',
-        "(?:-->|==>|-\\.->)\\s*\\|([^|]*)\\|",
-        '==\\s*"([^"]*)"\\s*==>',
-        '--\\s*"([^"]*)"\\s*-->',
-        "--\\s*([^->\\s][^->]*?)\\s*-->",
-        "==\\s*([^=>\\s][^=>]*?)\\s*==>",
-        "==>|-->|-\\.->|---",
-    ]
-)
+# Mermaid's links, as (what opens one with words on it, what closes it, one without words).
+LINKS = [("--", "--+>|---+", "--+>|---+"), ("==", "==+>|===+", "==+>|===+"), ("-\\.", "\\.+->|\\.+-", "-\\.+->|-\\.+-")]
+
+#: Words on a link: in quotes anything, else neither strokes nor heads.
+ON_LINK = "\"[^\"]*\"|[^-=.>|\"\\s](?:[^-=>|\"]*[^-=.>|\"\\s])?"
+
+
+def _link(opened: str, closed: str, bare: str) -> str:
+    """One kind of link: words between its ends, or after it between pipes, or none."""
+    return f"<?{opened}\\s*({ON_LINK})\\s*(?:{closed})|<?(?:{bare})(?:\\s*\\|([^|]*)\\|)?"
+
+
+MERMAID_LINK = "|".join(_link(*kind) for kind in LINKS)
+_LABEL = "".join(f"${i}" for i in range(1, 2 * len(LINKS) + 1))  # one group of all holds the words
 
 
 def is_mermaid(text: Column) -> Column:
@@ -102,8 +104,8 @@ def _mermaid_node(token: Column) -> Column:
 def mermaid(text: Column) -> Column:
     skip = "(?i)^\\s*(?:$|%%|(?:flowchart|graph)\\s+(?:TD|TB|LR|RL|BT)\\b|(?:subgraph|end|style|classDef|class|click|linkStyle)\\b)"
     body = F.filter(lines(strip_fence(text)), lambda x: ~x.rlike(skip))
-    has = lambda x: x.rlike(MERMAID_ARROWS)
-    marked = F.transform(F.filter(body, has), lambda x: F.regexp_replace(x, MERMAID_ARROWS, f"{_MARK}$1$2$3$4$5$6{_END}"))
+    has = lambda x: x.rlike(MERMAID_LINK)
+    marked = F.transform(F.filter(body, has), lambda x: F.regexp_replace(x, MERMAID_LINK, f"{_MARK}{_LABEL}{_END}"))
     alone = F.transform(F.filter(body, lambda x: ~has(x)), _mermaid_node)
     return _graph(F.transform(marked, lambda x: _chain(x, _mermaid_node)), alone)
 

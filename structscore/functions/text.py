@@ -56,40 +56,50 @@ def _after(part: Column) -> Column:
     return F.regexp_replace(part, "(?s)^[^\u0002]*\u0002", "")
 
 
-# Names of box-plot statistics, first match counts, and their common ending.
-STATISTICS = [
-    ("[_\\-]?(?:下|第一)四分位数?\\s*(?:[\\(（]\\s*Q1\\s*[\\)）])?", "-Q1"),
-    ("[_\\-]?Q1\\b", "-Q1"),
-    ("[_\\-]?第二四分位数?\\s*(?:[\\(（]\\s*Q2\\s*[\\)）])?", "-中位数"),
-    ("[_\\-]?中位数\\s*(?:[\\(（]\\s*Q2\\s*[\\)）])?", "-中位数"),
-    ("[_\\-]?Q2\\b", "-中位数"),
-    ("[_\\-]?(?:上|第三)四分位数?\\s*(?:[\\(（]\\s*Q3\\s*[\\)）])?", "-Q3"),
-    ("[_\\-]?Q3\\b", "-Q3"),
-    ("[_\\-]?\\bMedian\\b", "-中位数"),
-    ("[_\\-]?最小值", "-最小值"),
-    ("[_\\-]?\\bMin\\b", "-最小值"),
-    ("[_\\-]?最大值", "-最大值"),
-    ("[_\\-]?\\bMax\\b", "-最大值"),
-]
+# What box-plot statistics are called, by the ending that stands for them; earlier ones count first.
+STATISTICS = {
+    "-Q1": "下四分位数 下四分位 第一四分位数 第一四分位 Q1",
+    "-中位数": "第二四分位数 第二四分位 中位数 中位 Q2 Median",
+    "-Q3": "上四分位数 上四分位 第三四分位数 第三四分位 Q3",
+    "-最小值": "最小值 Min",
+    "-最大值": "最大值 Max",
+}
+
+
+def statistic_pattern(names: str) -> str:
+    """Any of these names with a joining mark before it.
+
+    English words stand alone, quartile marks end a word, and a Chinese name may
+    be followed by its quartile mark in brackets.
+    """
+    each = sorted(names.split(), key=len, reverse=True)
+    marks = [n for n in each if n[-1].isdigit()]
+    in_brackets = f"(?:\\s*[(（]\\s*{marks[0]}\\s*[)）])?" if marks else ""
+    forms = []
+    for n in each:
+        if not n.isascii():
+            forms.append(n + in_brackets)
+        elif n.isalpha():
+            forms.append(f"\\b{n}\\b")
+        else:
+            forms.append(f"{n}\\b")
+    return f"[_-]?(?:{'|'.join(forms)})"
 
 
 def statistic_last(text: Column) -> Column:
     """Keys that name a statistic, written subject first: `Q1 of x` forms become `x-Q1`."""
-    out = text
-    for pattern, ending in reversed(STATISTICS):
+    named = text
+    for ending, names in reversed(STATISTICS.items()):
+        pattern = statistic_pattern(names)
         whole = f"(?iUs)^(.*?)(?:{pattern})(.*)$"
-        before = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, whole, 1), "[-_— ]+$", ""), "[(（]+$", "")
-        before = F.regexp_replace(before, " +$", "")
-        after = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, whole, 2), "^[-_— ]+", ""), "^[)）]+", "")
-        after = F.regexp_replace(after, "^ +", "")
-        named = (
-            F.when((before != "") & (after != ""), F.concat(before, F.lit(ending + "-"), after))
-            .when(before != "", F.concat(before, F.lit(ending)))
-            .otherwise(F.concat(after, F.lit(ending)))
-        )
-        out = F.when(text.rlike(f"(?iU){pattern}"), named).otherwise(out)
+        # brackets and joining marks that the statistic leaves open at its edges go
+        before = F.regexp_replace(F.regexp_extract(text, whole, 1), "[-_— ]*[(（]* *$", "")
+        after = F.regexp_replace(F.regexp_extract(text, whole, 2), "^[-_— ]*[)）]* *", "")
+        both = (before != "") & (after != "")
+        told = F.when(both, F.concat(before, F.lit(ending + "-"), after)).when(before != "", F.concat(before, F.lit(ending))).otherwise(F.concat(after, F.lit(ending)))
+        named = F.when(text.rlike(f"(?iU){pattern}"), told).otherwise(named)
     # most keys name none: one look decides
-    return F.when(text.rlike("(?i)四分位|Q[123]|中位数|最小值|最大值|median|min|max"), out).otherwise(text)
+    return F.when(text.rlike("(?i)四分位|中位|最小值|最大值|q[123]|median|min|max"), named).otherwise(text)
 
 
 def normal_key(text: Column) -> Column:
