@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines, strip, strip_fence
+from .text import let, lines, strip, strip_fence
 
 NODE = "struct<id:string,label:string>"
 EDGE = "struct<src:string,dst:string,label:string>"
@@ -195,6 +195,88 @@ def cytoscape(text: Column) -> Column:
 PARSERS = {"mermaid": mermaid, "graphviz": dot, "d2": d2, "cytoscape": cytoscape}
 
 
+#: Tags, list marks and what else a cell has around its words.
+_CELL_MARKS = "\\*\\*|<[^>]+>"
+# Cells that name nothing are numbers, and those of so many characters at most, by how lines are read.
+SHORT = {"cell": 2, "row": 1, "line": 1}
+
+
+def listed_nodes(text: Column, by: str = "cell") -> Column:
+    """Names in an answer that lists a flow chart's nodes, in order, each once whatever its case.
+
+    Piped lines (two in five at least) after a header: a node per `cell`, or per
+    `row`.  Other texts have a node per line.
+    """
+
+    def clean(c: Column) -> Column:
+        spaced = F.regexp_replace(strip(c), "<br\\s*/?>", " ")
+        bare = strip(F.regexp_replace(strip(F.regexp_replace(spaced, _CELL_MARKS, "")), "^[•·*-]\\s*", ""))
+        return F.when(bare.rlike("^[-+]?[0-9]+(?:[,\\s][0-9]{3})*(?:\\.[0-9]+)?%?$"), "").otherwise(bare)
+
+    def long(names: Column, how: str) -> Column:
+        return F.filter(names, lambda n: F.length(n) > SHORT[how])
+
+    def read(given: Column) -> Column:
+        piped = F.size(F.filter(given, lambda x: F.contains(x, F.lit("|"))))
+        data = F.slice(given, 2, F.greatest(F.size(given), F.lit(1)))
+        rows = F.transform(data, lambda x: long(F.transform(F.split(x, "\\|"), clean), by))
+        names = F.flatten(rows) if by == "cell" else F.filter(F.transform(rows, lambda r: F.array_join(r, " ")), lambda n: n != "")
+        told = F.when(piped * 10 >= F.size(given) * 4, names).otherwise(long(F.transform(given, clean), "line"))
+        once = let(told, lambda t: let(F.transform(t, F.lower), lambda low: F.filter(t, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)))
+        return F.when(F.size(given) >= 2, once).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(strip(F.coalesce(text, F.lit(""))), "\r?\n"), read)
+
+
+def in_a_row(names: Column) -> Column:
+    """The graph of nodes joined one after another; none of fewer than two names."""
+
+    def joined(n: Column) -> Column:
+        ends = F.when(F.size(n) > 1, F.transform(F.sequence(F.lit(1), F.size(n) - 1), lambda i: _edge((i - 1).cast("string"), i.cast("string"), F.lit("")))).otherwise(F.array().cast(f"array<{EDGE}>"))
+        nodes = F.transform(n, lambda x, i: _node(i.cast("string"), clean_label(F.replace(x, F.lit('"'), F.lit("'")))))
+        return F.struct(nodes.alias("nodes"), ends.alias("edges"))
+
+    return F.when(F.size(names) >= 2, joined(names))
+
+
+def is_plantuml(text: Column) -> Column:
+    return text.rlike("@(?:start|end)uml") | (text.rlike(":[^:\\n]{1,200};") & text.rlike("-+>|-+\\[#"))
+
+
+def is_diagrams(text: Column) -> Column:
+    return text.rlike("\\b(?:from|import)\\s+diagrams\\b") | (F.contains(text, F.lit("with Diagram(")) & text.rlike(">>|<<"))
+
+
+def is_cytoscape(text: Column) -> Column:
+    """JSON that holds an element with an id or a source."""
+    held = cytoscape(text)
+    return (F.size(held["nodes"]) > 0) | (F.size(held["edges"]) > 0)
+
+
+def is_d2(text: Column) -> Column:
+    other = text.rlike("(?i)digraph|strict graph|@startuml") | text.rlike("(?m)^\\s*(?:flowchart|graph)\\s+[A-Z]{2}\\b")
+    return ~other & (text.rlike("\\w\\s*->\\s*\\w") | (text.rlike("\\w\\s*--\\s*\\w") & text.rlike("(?m)^\\s*[\\w.-]+\\s*:\\s*\\S")))
+
+
+def notation(text: Column) -> Column:
+    """Which notation a text is in, by the first that it looks like; null if none."""
+    t = strip_fence(text)
+    return (
+        F.when(is_mermaid(t), "mermaid")
+        .when(is_dot(t) & F.contains(t, F.lit("}")), "graphviz")
+        .when(is_plantuml(t), "plantuml")
+        .when(is_diagrams(t), "diagrams")
+        .when(is_cytoscape(t), "cytoscape")
+        .when(is_d2(t), "d2")
+    )
+
+
+def told(graph: Column) -> Column:
+    """A graph as a report shows it: labels of nodes, and of edges their ends' labels and their own, as JSON."""
+    edges = F.transform(labelled_edges(graph), lambda e: F.array(e["src"], e["dst"], F.coalesce(e["label"], F.lit(""))))
+    return F.to_json(F.struct(F.transform(graph["nodes"], lambda n: n["label"]).alias("nodes"), edges.alias("edges")))
+
+
 def labelled_edges(graph: Column) -> Column:
     """Edges with the labels of their ends in place of ids."""
     label = lambda i: F.coalesce(F.get(F.filter(graph["nodes"], lambda n: n["id"] == i), F.lit(0))["label"], i)

@@ -136,6 +136,36 @@ def python_float(text: Column) -> Column:
     )
 
 
+# Signs that stand with amounts, and units that are left out (the number stays as it is written).
+CURRENCY, UNITS = "[$￥¥€£]", "(?:[万亿]元?|元)$"
+
+
+def written_number(text: Column) -> Column:
+    """The number in a label: currency, thousands, per cent and units go; brackets around it mean less than zero.
+
+    A bracketed whole number alone is a label, and a bracketed percentage keeps
+    its sign.  Null if no number is left.
+    """
+    def read(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t, CURRENCY + "|[, \u00a0]", ""), UNITS, "")
+        return F.when(~t.rlike("^[（(]\\s*[-+]?[0-9]+\\s*[)）]$"), let(bare, signed))
+
+    def signed(bare: Column) -> Column:
+        plain = F.regexp_replace(bare, "[%％‰]", "")
+        below = plain.rlike("^[(（].*[)）]$") & ~bare.rlike("[%％]")
+        return let(python_float(F.regexp_replace(plain, "^[(（](.*)[)）]$", "$1")), lambda n: F.when(below, -n).otherwise(n))
+
+    return let(F.regexp_replace(strip(text), "[、。，,.]+$", ""), read)
+
+
+def strictly_monotonic(values: Column) -> Column:
+    """Whether a list of numbers, or of texts that are numbers but for , and %, only rises or only falls; two at least."""
+    numbers = F.transform(values, lambda v: python_float(F.regexp_replace(v.cast("string"), "[,%]", "")))
+    steps = lambda up: F.forall(F.sequence(F.lit(1), F.size(numbers) - 1), lambda i: F.get(numbers, i) > F.get(numbers, i - 1) if up else F.get(numbers, i) < F.get(numbers, i - 1))
+    whole = (F.size(values) >= 2) & F.forall(numbers, lambda n: n.isNotNull())
+    return F.coalesce(F.when(whole, steps(True) | steps(False)), F.lit(False))
+
+
 def python_repr(number: Column) -> Column:
     """A double as Python's str() writes it, for sizes from 1e-4 to 1e16 and zero."""
     whole = F.concat(number.try_cast("bigint").cast("string"), F.lit(".0"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines, strip
+from .tables import csv_table
+from .text import let, lines, strip, strip_fence
 
 NODES = "array<struct<name:string,path:array<int>>>"
 
@@ -25,16 +26,20 @@ def is_outline(text: Column) -> Column:
     return F.size(F.filter(lines(text), lambda x: x.rlike("^\\s*- "))) >= 2
 
 
-def outline(text: Column) -> Column:
-    """Nodes of a Markdown list: two spaces or a tab are a level; a parent is the last line of a lower level."""
-    listed = F.filter(lines(text), lambda x: x.rlike("^\\s*(?:- |-\\S)") & ~x.rlike("^\\s*<[^>]+>") & x.rlike("^\\s*-\\s*[^\\s]"))
-    entry = F.transform(
-        listed,
-        lambda x: F.struct(
-            F.floor(F.length(F.replace(F.regexp_extract(x, "^([ \\t]*)", 1), F.lit("\t"), F.lit("  "))) / 2).cast("int").alias("level"),
-            strip(F.regexp_replace(x, "^\\s*-\\s*", "")).alias("name"),
-        ),
-    )
+ENTRIES = "array<struct<level:int,name:string>>"
+
+
+def _entry(level: Column, name: Column) -> Column:
+    return F.struct(level.cast("int").alias("level"), name.alias("name"))
+
+
+def _indent(line: Column) -> Column:
+    """Width of the space before a line; a tab is two."""
+    return F.length(F.replace(F.regexp_extract(line, "^([ \\t]*)", 1), F.lit("\t"), F.lit("  ")))
+
+
+def nested(entries: Column) -> Column:
+    """Nodes of entries in order; a parent is the last entry of a lower level."""
     start = F.struct(
         F.array().cast(NODES).alias("nodes"),
         F.array().cast("array<struct<level:int,at:int>>").alias("open"),
@@ -49,7 +54,140 @@ def outline(text: Column) -> Column:
             F.array_append(above, F.struct(e["level"].alias("level"), at.alias("at"))).alias("open"),
         )
 
-    return F.aggregate(entry, start, add)["nodes"]
+    return F.aggregate(F.coalesce(entries, F.array().cast(ENTRIES)), start, add)["nodes"]
+
+
+def list_entries(text: Column) -> Column:
+    """Entries of a Markdown list: two spaces or a tab are a level."""
+    listed = F.filter(lines(text), lambda x: x.rlike("^\\s*(?:- |-\\S)") & ~x.rlike("^\\s*<[^>]+>") & x.rlike("^\\s*-\\s*[^\\s]"))
+    return F.transform(listed, lambda x: _entry(F.floor(_indent(x) / 2), strip(F.regexp_replace(x, "^\\s*-\\s*", ""))))
+
+
+def outline(text: Column) -> Column:
+    """Nodes of a Markdown list."""
+    return nested(list_entries(text))
+
+
+def _ranked(entries: Column) -> Column:
+    """Levels by their place among the levels that occur."""
+    return let(
+        F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["level"]))),
+        lambda steps: F.transform(entries, lambda e: _entry(F.array_position(steps, e["level"]) - 1, e["name"])),
+    )
+
+
+# What stands before an item of a list that someone wrote by hand.
+ITEM_MARK = "^(?:[-*+]\\s+|(?:[0-9]+[.)、]|[一二三四五六七八九十]+[、.])\\s*)"
+
+
+def text_entries(text: Column) -> Column:
+    """Entries of plain or indented lines, with or without item marks; rules and tags are no items."""
+    told = F.filter(lines(text), lambda x: (strip(x) != "") & ~strip(x).rlike("^[-=_*~#]{2,}$") & ~x.rlike("^\\s*<[^>]+>"))
+    items = F.transform(told, lambda x: _entry(_indent(x), strip(F.regexp_replace(F.regexp_replace(x, "^[ \\t]+", ""), ITEM_MARK, ""))))
+    return let(F.filter(items, lambda e: e["name"] != ""), _ranked)
+
+
+#: A number as tables write it: it names nothing.
+NUMBER = "^[-+]?[0-9]+(?:[,\\s][0-9]{3})*(?:\\.[0-9]+)?%?$"
+
+
+def _once(entries: Column) -> Column:
+    """The first entry of each name, whatever its case."""
+    keys = lambda e: F.lower(e["name"])
+    return let(F.transform(entries, keys), lambda names: F.filter(entries, lambda e, i: F.array_position(names, keys(e)) == i + 1))
+
+
+def pipe_entries(text: Column) -> Column:
+    """Entries of an outline that was answered as a pipe table; none unless half of its lines are piped.
+
+    The first line is a header, or the root if it has no pipe.  A first cell that
+    has something beside it twice or more is a parent of what is beside it;
+    without such cells the indent tells the level.  Numbers are no nodes, and a
+    name counts once.
+    """
+    none = F.array().cast(ENTRIES)
+    row = "array<struct<indent:int,cells:array<string>>>"
+
+    def cells(x: Column) -> Column:
+        parts = F.transform(F.split(x, "\\|"), lambda c: strip(F.replace(strip(c), F.lit("**"), F.lit(""))))
+        return F.when(F.contains(x, F.lit("|")), F.transform(parts, lambda c: F.when(c.rlike(NUMBER), "").otherwise(c))).otherwise(F.array(strip(x)))
+
+    def read(given: Column) -> Column:
+        first = strip(F.get(given, F.lit(0)))
+        data = F.filter(F.slice(given, 2, F.greatest(F.size(given), F.lit(1))), lambda x: strip(x) != "")
+        rows = F.transform(data, lambda x: F.struct(_indent(x).cast("int").alias("indent"), cells(x).alias("cells")))
+        root = F.when(F.contains(first, F.lit("|")) | (first == ""), none).otherwise(F.array(_entry(F.lit(0), first)))
+        beside = lambda r: (F.get(r["cells"], F.lit(0)) != "") & (F.coalesce(F.get(r["cells"], F.lit(1)), F.lit("")) != "")
+        lefts = lambda rs: F.transform(F.filter(rs, beside), lambda r: F.lower(F.get(r["cells"], F.lit(0))))
+
+        def told(rs: Column) -> Column:
+            def with_parents(parents: Column) -> Column:
+                def of(r: Column) -> Column:
+                    parent = F.array_contains(parents, F.lower(F.get(r["cells"], F.lit(0))))
+                    return F.transform(r["cells"], lambda c, i: _entry(F.when(parent & (i > 0), 1).otherwise(0), c))
+
+                flat = F.transform(rs, lambda r: F.transform(r["cells"], lambda c: _entry(r["indent"], c)))
+                by_indent = let(F.filter(F.flatten(flat), lambda e: F.lit(True)), _ranked)
+                made = F.when(F.size(parents) > 0, F.flatten(F.transform(rs, of))).otherwise(by_indent)
+                return _once(F.concat(root, F.filter(made, lambda e: e["name"] != "")))
+
+            return let(lefts(rs), lambda ls: let(F.array_distinct(F.filter(ls, lambda x: F.size(F.filter(ls, lambda y: y == x)) >= 2)), with_parents))
+
+        piped = F.size(F.filter(given, lambda x: F.contains(x, F.lit("|"))))
+        return F.when((F.size(given) >= 2) & (2 * piped >= F.size(given)) & (F.size(rows) > 0), let(rows.cast(row), told)).otherwise(none)
+
+    return let(F.split(strip(F.coalesce(text, F.lit(""))), "\r?\n"), read)
+
+
+# Parents of roots.
+NO_PARENT = ["", "0", "-1", "None", "null"]
+
+
+def adjacency_entries(text: Column) -> Column:
+    """Entries of a comma-separated table id, parent_id, name, children in the order of their rows.
+
+    Columns are found by their names, else the first three count.  A row whose
+    parent isn't there is a root; of equal ids the first row tells the place and
+    the last the name; rows in a circle are left out.
+    """
+    none = F.array().cast(ENTRIES)
+    names = ("id", "parent_id", "name")
+
+    def read(rows: Column) -> Column:
+        head = F.transform(F.get(rows, F.lit(0)), lambda c: F.lower(c))
+        named = F.size(F.array_except(F.array(*map(F.lit, names)), head)) == 0
+        headed = F.exists(head, lambda c: c.isin(*names))
+        at = [F.when(named, F.array_position(head, n) - 1).otherwise(i).cast("int") for i, n in enumerate(names)]
+        body = F.when(headed, F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))).otherwise(rows)
+        full = F.filter(body, lambda r: F.size(r) >= 3)
+        made = F.transform(full, lambda r: F.struct(*[F.coalesce(strip(F.get(r, i)), F.lit("")).alias(n) for i, n in zip(at, names, strict=True)]))
+        return let(F.filter(made, lambda r: r["id"] != ""), placed)
+
+    def placed(rows: Column) -> Column:
+        ids = F.transform(rows, lambda r: r["id"])
+        own = F.filter(rows, lambda r, i: F.array_position(ids, r["id"]) == i + 1)
+
+        def climbed(kept: Column) -> Column:
+            ids_ = F.transform(kept, lambda r: r["id"])
+            # place of each row's parent, -1 for roots
+            parents = F.transform(kept, lambda r: F.when(r["parent_id"].isin(NO_PARENT), -1).otherwise(F.array_position(ids_, r["parent_id"]) - 1).cast("int"))
+            last = lambda r: F.element_at(F.filter(rows, lambda x: x["id"] == r["id"]), -1)["name"]
+
+            def with_paths(up: Column) -> Column:
+                def climb(i: Column) -> Column:
+                    start = F.array(i.cast("int"))
+                    step = lambda path, _: F.when(F.get(up, F.element_at(path, 1)) >= 0, F.array_prepend(path, F.get(up, F.element_at(path, 1)))).otherwise(path)
+                    return F.aggregate(F.sequence(F.lit(1), F.size(kept)), start, step)
+
+                listed = F.transform(kept, lambda r, i: F.struct(climb(i).alias("path"), last(r).alias("name")))
+                rooted = F.filter(listed, lambda x: F.get(up, F.element_at(x["path"], 1)) < 0)
+                return F.transform(F.array_sort(rooted), lambda x: _entry(F.size(x["path"]) - 1, x["name"]))
+
+            return let(parents, with_paths)
+
+        return F.when(F.size(own) > 0, let(own, climbed)).otherwise(none)
+
+    return let(csv_table(strip_fence(text)), lambda rows: F.when(F.size(rows) > 0, read(rows)).otherwise(none))
 
 
 def paths(nodes: Column) -> Column:
