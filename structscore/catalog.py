@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers, graphs, json_tables, matching, tables, text, trees
+from .functions import answers, axes, graphs, json_tables, matching, pies, tables, text, trees
 from .operators.assignment import graph_similarity, tree_similarity
 from .operators.code import code_table
-from .plans import judging, report, resume, scoring
+from .operators.walks import graph_levels, json_levels
+from .plans import judging, prompts, relations, report, resume, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -380,9 +381,7 @@ def q18_graph_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q19_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-dimensional clusters: a gap above the tolerance starts a new one."""
-    w = Window.partitionBy("user_id").orderBy("value")
-    gaps = table(spark, sf_dir, "events").select("user_id", "value", F.when(F.col("value") - F.lag("value").over(w) > 2, 1).otherwise(0).alias("new"))
-    named = gaps.withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    named = relations.gap_clusters(table(spark, sf_dir, "events").select("user_id", "value"), ["user_id"], "value", 2)
     return named.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
@@ -394,12 +393,8 @@ def q19_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q20_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piecewise-linear axis: values between ticks, and beyond the last ones by the end pieces."""
-    ticks = [(900.0, 0.0), (1000.0, 10.0), (1500.0, 40.0), (2000.0, 100.0)]
-    x, y = F.col("p_retailprice"), F.lit(None).cast("double")
-    for (x0, y0), (x1, y1) in reversed(list(zip(ticks, ticks[1:], strict=False))):
-        piece = F.lit(y0) + (x - x0) * (y1 - y0) / (x1 - x0)
-        y = piece if (x1, y1) == ticks[-1] else F.when(x < x1, piece).otherwise(y)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(y, 4).alias("y"))
+    ticks = F.array(*[F.struct(F.lit(x).alias("at"), F.lit(y).alias("value")) for x, y in ((1500.0, 40.0), (900.0, 0.0), (2000.0, 100.0), (1000.0, 10.0), (900.0, 7.0))])
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(axes.interpolated(F.col("p_retailprice"), ticks), 4).alias("y"))
 
 
 @query(
@@ -410,8 +405,7 @@ def q20_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q21_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label whose position is nearest."""
     labels = F.array(*[F.lit(x) for x in (-500.0, 2000.0, 6000.5, 9000.25)])
-    ranked = F.transform(labels, lambda x: F.struct(F.abs(x - F.col("s_acctbal")).alias("d"), x.alias("x")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_min(ranked)["x"].alias("nearest"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", axes.nearest(F.col("s_acctbal"), labels).alias("nearest"))
 
 
 @query(
@@ -422,20 +416,19 @@ def q21_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q22_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest value; the first seen wins ties."""
-    each = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("f"))
-    return each.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("f"))).alias("event_type"))
+    return relations.modes(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
 
 
 @query(
     r"""
-    SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::INTEGER AS n FROM (
-      SELECT page_id, regexp_replace(regexp_replace(html, '<\s*br\s*/?\s*>', ' ', 'gi'), '&[a-z#0-9]+;|\s', '', 'g') AS html FROM pages)
+    SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+      regexp_replace(regexp_replace(html, '<\s*br\s*/?\s*>', ' ', 'gi'), '<[^>]*>', '', 'g'),
+      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS text FROM pages
     """
 )
 def q23_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of HTML: tags go."""
-    plain = F.regexp_replace(F.regexp_replace("html", "(?i)<\\s*br\\s*/?\\s*>", " "), "&[a-z#0-9]+;|[ \\t\\n\\r\\f]", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace(plain, "<[^>]*>", "")).alias("n"))
+    """Text of HTML fragments: breaks, tags, entities and space."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tables.html_text(F.col("html"))).alias("text"))
 
 
 @query("SELECT c_custkey, c_name AS inside, CASE WHEN c_custkey % 2 = 0 THEN 'why ' || c_custkey ELSE '' END AS thinking FROM customer")
@@ -542,15 +535,7 @@ def q32_failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q33_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of every row of an id and parent table; parents stand four to one."""
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") >= 4, F.floor(F.col("n_nationkey") / 4).cast("int")).alias("parent"))
-    rows.createOrReplaceTempView("structscore_adjacency")
-    return spark.sql(
-        """
-        WITH RECURSIVE t(id, depth) AS (
-          SELECT id, 0 FROM structscore_adjacency WHERE parent IS NULL
-          UNION ALL SELECT a.id, t.depth + 1 FROM structscore_adjacency a JOIN t ON a.parent = t.id)
-        SELECT id, depth FROM t
-        """
-    )
+    return relations.depths(rows)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'no_infer' WHEN event_id % 5 = 1 THEN 'no_extract' WHEN event_id % 5 = 2 THEN 'no_reference' END AS error FROM events")
@@ -620,6 +605,240 @@ def q37_code_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", F.col("r")[0].alias("line"), F.col("r")[1].cast("double").alias("quantity"), F.col("r")[2].cast("double").alias("discount"))
 
 
+@query(
+    """
+    SELECT c_custkey, CASE c_custkey % 9 WHEN 7 THEN 'no_extract' WHEN 8 THEN 'unknown_task' END AS error,
+           CASE c_custkey % 9 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.0 WHEN 5 THEN 1.0 WHEN 6 THEN 0.0 END::DOUBLE AS em,
+           CASE c_custkey % 9 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.2 WHEN 5 THEN 1.0 WHEN 6 THEN 0.1 END::DOUBLE AS map_high
+    FROM customer
+    """
+)
+def q38_judge_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables, outlines, flow charts and pies in one judgement: right, partly right, in another form, missing."""
+    k, name = F.col("c_custkey") % 9, F.col("c_name")
+    md = lambda a, b: F.concat(F.lit("|  | n |\n|---|---|\n| "), name, F.lit(f" | {a} |\n| all of them | {b} |"))
+    listed = F.concat(F.lit("- "), name, F.lit("\n  - left side\n  - right side"))
+    flow = lambda *steps: F.concat(F.lit("flowchart TD\n n0[\""), name, F.lit("\"]"), *[F.lit(f'\n n{i} --> n{i + 1}["{x}"]') for i, x in enumerate(steps)])
+    shares = F.concat(F.lit("|  |  |\n|---|---|\n| "), name, F.lit(" | 28% |\n| rest | 72% |"))
+    forms = [
+        ("SE_MD", md(10, 20), md(10, 20)),
+        # one of two values is right: a third of the union
+        ("SE_MD", md(10, 35), md(10, 20)),
+        ("SE_CSV", F.concat(F.lit("id,parent_id,name\n7,0,"), name, F.lit("\n8,7,left side\n9,7,right side")), listed),
+        ("SE_JSON", F.concat(F.lit('{"name":"'), name, F.lit('","children":[{"name":"left side"},{"name":"right side"}]}')), listed),
+        # two of three nodes and one of two edges: 0.6 / 2 + 0.4 * 2 / 3 passes two of ten thresholds
+        ("SE_MERMAID", flow("check the order"), flow("check the order", "0123456789")),
+        ("SE_MERMAID", F.concat(F.lit("step | n\n"), name, F.lit(" | 12\npack the goods | 3")), flow("pack the goods")),
+        # two of three triples: 2 / 4
+        ("SE_MD", F.concat(F.lit("pie\n\""), name, F.lit('\" : 28\n"rest" : 7\n"more" : 9')), F.concat(shares, F.lit("\n| more | 9% |"))),
+        ("SE_MD", F.lit(""), md(1, 2)),
+        ("SE_NONE", md(1, 2), md(1, 2)),
+    ]
+    pick = lambda i: F.get(F.array(*[F.lit(f[i]) if isinstance(f[i], str) else f[i] for f in forms]), k.cast("int"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", pick(0).alias("task"), pick(1).alias("prediction"), pick(2).alias("reference"), F.when(k == 6, "饼图").otherwise("柱状图").alias("chart_type")
+    )
+    return judging.judge(rows).select("c_custkey", "error", "score.em", F.round("score.map_high", 6).alias("map_high"))
+
+
+def _outline_text(entries) -> object:
+    """Entries as lines that show their levels."""
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.repeat(F.lit(">"), e["level"]), e["name"])), "/")
+
+
+@query(
+    """
+    SELECT o_orderkey, 'order ' || o_orderkey || '/' || string_agg((CASE WHEN n > 1 THEN '>' ELSE '' END) || 'line ' || l_linenumber, '/' ORDER BY l_linenumber) AS entries
+    FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
+    GROUP BY o_orderkey
+    """
+)
+def q39_pipe_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines answered as pipe tables: repeated first cells are parents, numbers are no nodes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    each = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    rows = F.transform("n", lambda n: F.concat(F.lit("order "), F.col("l_orderkey"), F.lit(" | line "), n, F.lit(" | 12.5%")))
+    made = scoring.settled(each, {"t": F.concat(F.lit("Category | Item | Value\n"), F.array_join(rows, "\n"))})
+    made = scoring.settled(made, {"e": trees.pipe_entries(F.col("t"))})
+    return made.select(F.col("l_orderkey").alias("o_orderkey"), _outline_text(F.col("e")).alias("entries"))
+
+
+@query(
+    """
+    WITH RECURSIVE t(id, path, depth) AS (
+      SELECT n_nationkey, [n_nationkey], 0 FROM nation WHERE n_nationkey < 4
+      UNION ALL SELECT n.n_nationkey, list_append(t.path, n.n_nationkey), t.depth + 1 FROM nation n JOIN t ON n.n_nationkey >= 4 AND n.n_nationkey // 4 = t.id)
+    SELECT string_agg(repeat('>', depth) || n_name, '/' ORDER BY path) AS entries FROM t JOIN nation ON n_nationkey = id
+    """
+)
+def q40_adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree in a comma-separated text, children in the order of their rows."""
+    line = F.concat_ws(",", F.col("n_nationkey") + 1, F.when(F.col("n_nationkey") >= 4, F.floor(F.col("n_nationkey") / 4) + 1).otherwise(0), "n_name")
+    rows = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))).alias("r"))
+    made = scoring.settled(rows, {"t": F.concat(F.lit("id,parent_id,name\n"), F.array_join(F.transform("r", lambda x: x["l"]), "\n"))})
+    return scoring.settled(made, {"e": trees.adjacency_entries(F.col("t"))}).select(_outline_text(F.col("e")).alias("entries"))
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey WHEN 2 THEN -(o_custkey + 0.5) WHEN 3 THEN o_custkey + 0.25 WHEN 4 THEN NULL WHEN 5 THEN 1000000 + o_custkey % 1000
+      ELSE NULL END::DOUBLE AS num FROM orders
+    """
+)
+def q41_written_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts with currency, units, thousands, per cent and brackets."""
+    n = F.col("o_custkey").cast("string")
+    said = [
+        F.concat(F.lit("$"), n), F.concat(n, F.lit("万元")), F.concat(F.lit("("), n, F.lit(".5)")), F.concat(F.lit("("), n, F.lit(".25%)、")), F.concat(F.lit("("), n, F.lit(")")),
+        F.concat(F.lit("￥1,000,"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0")), F.concat(F.lit("no "), n),
+    ]
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.written_number(F.get(F.array(*said), (F.col("o_orderkey") % 7).cast("int"))).alias("num"))
+
+
+@query("SELECT c_custkey, c_name || '=' || (c_custkey % 100) || '%;rest=' || (100 - c_custkey % 100) || '%' AS shares FROM customer")
+def q42_pies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pies in four forms: a table, Mermaid, a grid of pairs, a column of pairs."""
+    a, n = F.col("c_name"), F.col("c_custkey") % 100
+    b = 100 - n
+    md = lambda *rows: F.concat_ws("\n", F.lit("| x | y |\n|---|---|"), *rows)
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    pct = lambda x: F.concat(x.cast("string"), F.lit("%"))
+    forms = [
+        md(row(a, pct(n)), row(F.lit("rest"), pct(b))),
+        F.concat(F.lit("```mermaid\npie showData\ntitle all\n\""), a, F.lit('\" : '), n.cast("string"), F.lit('\n"rest" : '), b.cast("string"), F.lit("\n```")),
+        md(row(F.concat(a, F.lit(" "), pct(n)), F.concat(F.lit("rest("), pct(b), F.lit(")")))),
+        md(row(F.concat(a, F.lit(", "), pct(n))), row(F.concat(F.lit("rest （"), pct(b), F.lit("）")))),
+    ]
+    made = scoring.settled(table(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*forms), (F.col("c_custkey") % 4).cast("int")).alias("t")), {"rows": tables.any_table(F.col("t"))})
+    made = scoring.settled(made, {"rows": pies.pie_rows(F.col("t"), F.col("rows"))})
+    told = F.transform(F.slice("rows", 2, F.size("rows")), lambda r: F.concat_ws("=", r))
+    return made.select("c_custkey", F.array_join(told, ";").alias("shares"))
+
+
+@query(
+    """
+    SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name || '>ship the goods>pay at once' WHEN 1 THEN s_name || ' ship the goods>pay at once 12 days' ELSE s_name || '>ship the goods' END AS steps,
+           CASE s_suppkey % 3 WHEN 0 THEN 2 ELSE 1 END AS edges FROM supplier
+    """
+)
+def q43_listed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow charts answered as lists of nodes: a node per cell, per row, per line; repeated and numeric cells go."""
+    name = F.col("s_name")
+    rows = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey") % 3)
+    cells = F.concat(F.lit("Step | What\n"), name, F.lit(" | ship the goods | 12\n**pay<br>at once** | Ship the Goods | ok"))
+    by_row = F.concat(F.lit("Step | What\n"), name, F.lit(" | ship the goods | 5%\npay at once | 12 days"))
+    by_line = F.concat(F.lit("- "), name, F.lit("\n• ship the goods\n7"))
+    read = F.when(F.col("k") == 0, graphs.listed_nodes(cells)).when(F.col("k") == 1, graphs.listed_nodes(by_row, "row")).otherwise(graphs.listed_nodes(by_line))
+    made = scoring.settled(rows.select("s_suppkey", read.alias("names")), {"g": graphs.in_a_row(F.col("names"))})
+    return made.select("s_suppkey", F.array_join(F.transform("g.nodes", lambda n: n["label"]), ">").alias("steps"), F.size("g.edges").alias("edges"))
+
+
+@query("SELECT r_name AS root, dsl FROM region, (VALUES ('mermaid'), ('graphviz'), ('d2'), ('cytoscape')) v(dsl) WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def q44_notation_by_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which notation a text is in, told by its looks alone."""
+    made = _regions_as_graphs(spark, sf_dir)
+    each = made.select(F.col("r_name").alias("root"), F.explode(F.array(*[F.col(n) for n in graphs.PARSERS])).alias("text"))
+    return each.select("root", graphs.notation(F.col("text")).alias("dsl"))
+
+
+@query(
+    """
+    SELECT r_name AS root, r_name || '/' || string_agg('>' || n_name || '/>>key ' || n_nationkey, '/' ORDER BY n_name) AS entries, r_name || '/' || string_agg('>' || n_name, '/' ORDER BY n_name) AS walked
+    FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name
+    """
+)
+def q45_json_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees in JSON, and flow charts walked as outlines."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    each = n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("n"))
+    under = F.transform("n", lambda x: F.struct(x["n_name"].alias("name"), F.array(F.concat(F.lit("key "), x["n_nationkey"])).alias("children")))
+    arrows = F.transform("n", lambda x: F.concat(F.lit('r["'), F.col("r_name"), F.lit('"] --> n'), x["n_nationkey"], F.lit('["'), x["n_name"], F.lit('"]')))
+    made = scoring.settled(each, {"t": F.to_json(F.struct(F.col("r_name").alias("name"), under.alias("children"))), "m": F.concat(F.lit("flowchart TD\n"), F.array_join(arrows, "\n"))})
+    made = scoring.settled(made, {"g": graphs.mermaid(F.col("m"))}).withColumns({"e": json_levels(F.col("t")), "w": graph_levels(F.col("g"))})
+    return made.select(F.col("r_name").alias("root"), _outline_text(F.col("e")).alias("entries"), _outline_text(F.col("w")).alias("walked"))
+
+
+@query(
+    """
+    SELECT l_orderkey, count(*) >= 2 AND (bool_and(coalesce(q > p, true)) OR bool_and(coalesce(q < p, true))) AS monotonic FROM (
+      SELECT l_orderkey, l_quantity AS q, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS p FROM lineitem) GROUP BY l_orderkey
+    """
+)
+def q46_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an order's quantities only rise or only fall."""
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("l"))
+    said = F.transform("l", lambda x: F.concat(x["l_quantity"].cast("string"), F.lit("%")))
+    return each.select("l_orderkey", text.strictly_monotonic(said).alias("monotonic"))
+
+
+@query(
+    """
+    SELECT c_custkey, task, category FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'flowchart' WHEN 1 THEN 'logic' ELSE 'data' END AS category FROM customer),
+      (VALUES ('SE_MD'), ('SE_JSON'), ('SE_MERMAID'), ('SE_D2')) v(task) WHERE (category = 'flowchart') = (task IN ('SE_MERMAID', 'SE_D2'))
+    """
+)
+def q47_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sample is asked; pairs of task and category that can't be drop out."""
+    kind = F.when(F.col("c_custkey") % 3 == 0, answers.FLOW_CHART).when(F.col("c_custkey") % 3 == 1, answers.MIND_MAP).otherwise("柱状图")
+    samples = table(spark, sf_dir, "customer").select("c_custkey", kind.alias("chart_type"))
+    asked = prompts.asked(samples, ["SE_MD", "SE_JSON", "SE_MERMAID", "SE_D2"])
+    return asked.filter(F.length("prompt") > 20).select("c_custkey", "task", "category")
+
+
+@query("SELECT DISTINCT event_type AS task FROM events")
+def q48_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task once."""
+    return relations.tasks_in(table(spark, sf_dir, "events").select(F.col("event_type").alias("task")))
+
+
+@query(
+    """
+    SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN '<svg id="' || c_name || '"></svg>' WHEN 1 THEN 'flowchart TD' || chr(10) || ' a --> ' || c_name WHEN 2 THEN 'digraph { a -> ' || c_custkey || ' }'
+      WHEN 3 THEN '@startuml' || chr(10) || ':' || c_name || ';' || chr(10) || '@enduml' WHEN 4 THEN 'a -> ' || c_name WHEN 5 THEN '{"elements": [' || c_custkey || ']}' WHEN 6 THEN 'x = ' || c_custkey
+      WHEN 7 THEN '| ' || c_name || ' |' END AS found FROM customer
+    """
+)
+def q49_extraction_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece each task asks for, out of fences, of a fence in another language, or bare; nothing in an empty answer."""
+    name, key = F.col("c_name"), F.col("c_custkey").cast("string")
+    fence = lambda lang, body: F.concat(F.lit(f"So:\n```{lang}\n"), body, F.lit("\n```\nDone."))
+    forms = [
+        ("SE_SVG", F.concat(F.lit('Here <svg id="'), name, F.lit('"></svg> it is'))),
+        ("SE_MERMAID", fence("mermaid", F.concat(F.lit("flowchart TD\n a --> "), name))),
+        ("SE_GRAPHVIZ", fence("text", F.concat(F.lit("digraph { a -> "), key, F.lit(" }")))),
+        ("SE_PLANTUML", F.concat(F.lit("see @startuml\n:"), name, F.lit(";\n@enduml there"))),
+        ("SE_D2", fence("d2", F.concat(F.lit("a -> "), name))),
+        ("SE_CYTOSCAPE", F.concat(F.lit('It is {"elements": ['), key, F.lit("]} as asked"))),
+        ("SE_CODE", fence("py", F.concat(F.lit("x = "), key))),
+        ("SE_MD", F.concat(F.lit("  | "), name, F.lit(" |\n"))),
+        ("SE_JSON", F.lit("  ")),
+    ]
+    pick = lambda i: F.get(F.array(*[F.lit(f[i]) if isinstance(f[i], str) else f[i] for f in forms]), (F.col("c_custkey") % 9).cast("int"))
+    made = scoring.settled(table(spark, sf_dir, "customer"), {"task": pick(0), "answer": pick(1)})
+    return made.select("c_custkey", answers.extracted(F.col("answer"), F.col("task")).alias("found"))
+
+
+@query(
+    """
+    SELECT s_suppkey, round(CASE s_suppkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 / 3.0 ELSE 0 END::DOUBLE, 6) AS strict,
+           round(CASE s_suppkey % 4 WHEN 0 THEN ((n - 1) / n + 2 * (n + 15) / (n + 16)) / 3 WHEN 1 THEN 1 WHEN 2 THEN 2 / 3.0 ELSE 0 END::DOUBLE, 6) AS high
+    FROM (SELECT s_suppkey, length(s_name)::DOUBLE AS n FROM supplier)
+    """
+)
+def q50_tree_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines scored at their likeness: a name off by a letter, equal ones, two of three paths, none."""
+    root = F.concat(F.lit("- "), F.col("s_name"))
+    ref = F.concat(root, F.lit("\n  - alpha branch\n  - gamma branch"))
+    off = F.concat(F.lit("- "), F.regexp_replace("s_name", "^.", "x"), F.lit("\n  - alpha branch\n  - gamma branch"))
+    k = F.col("s_suppkey") % 4
+    pred = F.when(k == 0, off).when(k == 1, F.concat(root, F.lit("\n  - gamma branch\n  - alpha branch"))).when(k == 2, F.concat(root, F.lit("\n  - alpha branch"))).otherwise(F.lit(""))
+    made = scoring.settled(table(spark, sf_dir, "supplier"), {"p": trees.outline(pred), "r": trees.outline(ref)})
+    made = made.select("s_suppkey", tree_similarity(trees.paths(F.col("p")), trees.paths(F.col("r"))).alias("s"))
+    return made.select("s_suppkey", F.round("s.strict", 6).alias("strict"), F.round("s.high", 6).alias("high"))
+
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

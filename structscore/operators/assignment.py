@@ -118,19 +118,20 @@ def _arrow(sims, limits: tuple[float, ...]):
     @F.arrow_udf(SIMS)
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            rows = [sims(a, b, limits) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)]
+            pairs = zip(left.to_pylist(), right.to_pylist(), strict=True)
+            rows = [(None,) * 3 if a is None or b is None else sims(a, b, limits) for a, b in pairs]
             columns = [pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))]
-            yield pa.StructArray.from_arrays(columns, names=["strict", "slight", "high"])
+            absent = pa.array([r[0] is None for r in rows], pa.bool_())
+            yield pa.StructArray.from_arrays(columns, names=["strict", "slight", "high"], mask=absent)
 
     return score
 
 
 def tree_similarity(pred_paths: Column, ref_paths: Column, loose: bool = False) -> Column:
-    """struct<strict, slight, high> of two lists of paths; the pairing is made once for all three."""
-    empty = F.array().cast("array<array<string>>")
-    return _arrow(_tree_sims, LOOSE_LIKENESS if loose else LIKENESS)(F.coalesce(pred_paths, empty), F.coalesce(ref_paths, empty))
+    """struct<strict, slight, high> of two lists of paths, null where one is; the pairing is made once for all three."""
+    return _arrow(_tree_sims, LOOSE_LIKENESS if loose else LIKENESS)(pred_paths, ref_paths)
 
 
 def graph_similarity(pred: Column, ref: Column, loose: bool = False) -> Column:
-    """struct<strict, slight, high> of two struct<nodes: labels, edges: labelled edges>."""
+    """struct<strict, slight, high> of two struct<nodes: labels, edges: labelled edges>, null where one is."""
     return _arrow(_graph_sims, LOOSE_LIKENESS if loose else LIKENESS)(pred, ref)

@@ -28,6 +28,15 @@ ROWS = [
     ("SE_JSON", '{"x":{"r":1,"s":3},"y":{"r":2,"s":4}}', TABLE, 1.0, None),
     ("SE_CODE", 'n=["r","s"]\nd={"x":[1,3],"y":[2,4]}', TABLE, 1.0, None),
     ("SE_CSV", ",r,s\nx,1,3\ny,2,4", TABLE, 1.0, None),
+    ("SE_JSON", '{"name":"a","children":[{"name":"b"},{"name":"c"}]}', "- a\n  - b\n  - c", 1.0, None),
+    ("SE_CSV", "id,parent_id,name\n1,0,a\n2,1,b\n3,1,c", "- a\n  - b\n  - c", 1.0, None),
+    ("SE_MD", "flowchart TD\n x[a] --> y[b]\n x --> z[c]", "- a\n  - b\n  - c", 1.0, None),
+    ("SE_MD", "a\n\tb\n\tc", "- a\n  - b\n  - c", 1.0, None),
+    ("SE_MD", "x | y\na | b\na | c", "- a\n  - b\n  - c", 1.0, None),
+    ("SE_MERMAID", "Step | Value\nstart | 12\nending | 3", 'flowchart TD\n a["start"] --> b["ending"]', 1.0, None),
+    ("SE_MERMAID", "Step | Value\nstart | now\nending | then", 'flowchart TD\n a["start now"] --> b["ending then"]', 1.0, None),
+    ("SE_SVG", "|  | p | q |\n|---|---|---|\n| r | 1 | 2 |\n| s | 3 | 4 |", TABLE, 1.0, None),
+    ("SE_SVG", "|  | r | s |\n|---|---|---|\n| x | 1 | 3 |\n| y | 2 | 4 |", TABLE, 0.0, None),
     ("SE_MD", None, TABLE, None, "no_extract"),
     ("SE_MD", "x", "", 0.0, "no_reference"),
     ("OTHER", "x", "y", None, "unknown_task"),
@@ -72,3 +81,26 @@ def test_code():
     assert code.table_of('d={"k":["p","q"],"v":[1,2]}') == [["k", "v"], ["p", "1"], ["q", "2"]]
     assert code.table_of("x = [") == code.table_of(None) == code.table_of("open('x')") == []
     assert code.diagram_of("x = [") == {"nodes": [], "edges": []}
+
+
+def test_pies(spark):
+    whole = "|  |  |\n|---|---|\n| a | 28% |\n| b | 16% |\n| c | 56% |"
+    said = ['pie title x\n"a" : 28\n"b" : 16\n"c" : 56', "| x | y |\n|---|---|\n| a 28% | b(16%) |\n| c, 56% |  |", whole]
+    df = spark.createDataFrame([(i, "SE_MD", p, whole, t) for i, p in enumerate(said) for t in ("饼图", "柱状图")], "i int, task string, prediction string, reference string, chart_type string")
+    got = {(r.i, r.chart_type): r.score.em for r in judge(df).collect()}
+    assert [got[i, "饼图"] for i in range(3)] == [1.0, 1.0, 1.0]
+    assert [got[i, "柱状图"] for i in range(3)] == [0.0, 0.0, 1.0]
+
+
+def test_loose_limits_hold_for_every_form(spark):
+    flow = 'flowchart TD\n a["start of it"] --> b["the end"]'
+    said = 'flowchart TD\n a["start of that"] --> b["the ends"]'
+    df = spark.createDataFrame([(t, said, flow) for t in ("SE_MERMAID", "SE_MD")], "task string, prediction string, reference string")
+    for loose in (False, True):
+        assert len({r.score for r in judge(df, loose).select("score").collect()}) == 1
+
+
+def test_source_is_read_once(spark, tmp_path):
+    spark.createDataFrame([("SE_MD", "x", "y")], "task string, prediction string, reference string").write.parquet(str(tmp_path / "t"))
+    plan = judge(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 or plan.count("FileScan parquet") == 1
