@@ -100,8 +100,9 @@ def _read(df: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<array<string>>")
     rows = F.when(~table, none).when((task == "SE_CODE") & (F.size("_code") > 0), F.col("_code"))
-    rows = rows.when((task == "SE_JSON") & (F.col("_values") != ""), json_tables.json_table(F.col("_values"))).otherwise(tables.any_table(F.col("_given")))
-    reference = F.when(~table, none).otherwise(tables.any_table(F.col("reference")))
+    rows = rows.when((task == "SE_JSON") & (F.col("_values") != ""), json_tables.json_table(F.col("_values"))).otherwise(F.get("_read", F.lit(0)))
+    reference = F.when(~table, none).otherwise(F.get("_read", F.lit(1)))
+    df = settled(df, {"_read": F.when(table, F.transform(F.array("_given", "reference"), tables.any_table))})
     df = settled(
         df,
         {

@@ -20,21 +20,21 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def parsed(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
-    """`df` with both texts as tables, in columns pred_rows and ref_rows."""
-    return settled(df, {"pred_rows": tables.any_table(F.col(prediction)), "ref_rows": tables.any_table(F.col(reference))})
+    """`df` with both texts as tables, in columns pred_rows and ref_rows; one expression reads either."""
+    keep = df.columns
+    df = settled(df, {"_read": F.transform(F.array(prediction, reference), tables.any_table)})
+    return df.select(*keep, F.get("_read", F.lit(0)).alias("pred_rows"), F.get("_read", F.lit(1)).alias("ref_rows"))
 
 
 def with_triples(df: DataFrame) -> DataFrame:
     """pred and ref triples of aligned tables, from columns pred_rows and ref_rows."""
     keep = df.columns
     df = settled(df, {"_t": tables.aligned(F.col("pred_rows"), F.col("ref_rows"))})
-    df = df.select(*keep, F.col("_t.pred").alias("_p"), F.col("_t.ref").alias("_r"))
-    keys = {}
-    for side in "pr":
-        rows = F.col(f"_{side}")
-        keys |= {f"_{side}c": tables.header_keys(rows), f"_{side}n": tables.row_keys(rows)}
-    df = settled(df, keys)
-    df = settled(df, {f"_t{side}": tables.triples(F.col(f"_{side}"), F.col(f"_{side}c"), F.col(f"_{side}n")) for side in "pr"})
+    # one expression for both sides: it is planned once
+    df = df.select(*keep, F.array("_t.pred", "_t.ref").alias("_both"))
+    df = settled(df, {"_keys": F.transform("_both", lambda rows: F.struct(tables.header_keys(rows).alias("columns"), tables.row_keys(rows).alias("names")))})
+    df = settled(df, {"_listed": F.zip_with("_both", "_keys", lambda rows, k: tables.triples(rows, k["columns"], k["names"]))})
+    df = df.select(*keep, F.get("_listed", F.lit(0)).alias("_tp"), F.get("_listed", F.lit(1)).alias("_tr"))
     df = settled(df, {"_names": tables.names_of(F.col("_tr")), "_subjects": tables.box_subjects(F.col("_tr"))})
     df = settled(
         df,
