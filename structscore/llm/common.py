@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; the tables there cut lineage."""
-    return f"{shared_dir(spark).rstrip('/')}/structscore-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/structscore-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -49,13 +52,22 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables from `stored` that nothing will read again."""
     for df in tables:
-        paths = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = paths(name)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables that this process made; call it when their results are written."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 def text_bytes(name: str = "text") -> Column:

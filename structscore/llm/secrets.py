@@ -96,10 +96,10 @@ def _candidates(words_: Column, i: Column) -> Column:
 
 
 def findings(documents: DataFrame, path: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, word_at, nth, candidate, word, before, before2, after, path.
+    """One row per candidate: doc_id, word_at, nth, again, candidate, word, before, before2, after, path.
 
     word_at counts white-space-delimited words from 0, nth the candidates of a
-    word.  `path` names the column that says where a row is from (none: empty).
+    word, `again` from 1 those of them that are alike.  `path` names the column that says where a row is from (none: empty).
     Null texts have no candidates; repeated rows repeat theirs.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in documents.columns else F.lit("")
@@ -130,14 +130,17 @@ def findings(documents: DataFrame, path: str | None = "source") -> DataFrame:
         lambda x: x.isNotNull() & (F.size(x["candidates"]) > 0),
     )
     each = rows.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*")
-    return each.select("*", F.posexplode("candidates").alias("nth", "candidate")).drop("candidates")
+    each = each.select("*", F.posexplode("candidates").alias("nth", "candidate"))
+    again = F.size(F.filter(F.slice("candidates", F.lit(1), F.col("nth") + 1), lambda c: c == F.col("candidate")))
+    return each.withColumn("again", again).drop("candidates")
 
 
 def features(rows: DataFrame) -> DataFrame:
     """`rows` with the forest's inputs, all doubles."""
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.length(c).cast("double")
-    front = F.call_function("substring_index", F.col("word"), F.substring_index(c, " ", 1), F.lit(1))
+    again = F.col("again") if "again" in rows.columns else F.lit(1)
+    front = F.call_function("substring_index", F.col("word"), F.substring_index(c, " ", 1), again)
     near = F.lower(F.concat_ws(" ", "before2", "before", front))
     lead = F.concat_ws(" ", "before", front)
 
@@ -287,7 +290,11 @@ def scan(documents: DataFrame, model: PipelineModel | None = None, path: str | N
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
-    """doc_id, word_at, nth, length and digest of each candidate, score and is_secret."""
+    """doc_id, word_at, nth, length and digest of each candidate, score and is_secret.
+
+    Null and empty texts have no candidate and no row; repeated rows repeat
+    theirs; a text may have any number of them.
+    """
     return scan(documents).select(
         "doc_id", "word_at", "nth", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret"
     )

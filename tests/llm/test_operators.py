@@ -276,6 +276,9 @@ def test_scratch_folder_is_shared_or_local(spark, monkeypatch):
     path = table.inputFiles()[0].removeprefix("file://")
     common.dropped(table)
     assert not Path(path).exists()
+    path = common.stored(spark.range(5).toDF("n"), "left").inputFiles()[0].removeprefix("file://")
+    common.remove_scratch(spark)
+    assert not Path(path).exists()
 
 
 def test_warc_reader_refuses_damage():
