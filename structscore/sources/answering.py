@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,32 +18,41 @@ from ..functions.answers import extracted, thinking_and_answer
 Factory = Callable[[], Callable[[str, str], str]]
 
 
-def ask(rows: DataFrame, factory: Factory, tries: int = 3, wait: float = 2.0, longest: float = 10.0) -> DataFrame:
+def ask(rows: DataFrame, factory: Factory, tries: int = 3, wait: float = 2.0, longest: float = 10.0, at_once: int = 64) -> DataFrame:
     """`rows` (with prompt and image) plus reply and error; one of these is null.
 
-    A failed call is tried again after wait * attempt seconds.  Each row stands
-    alone, so a lost executor's rows are asked again by the retried task.
+    A task keeps up to `at_once` calls of its one client under way.  A failed
+    call is tried again after wait * attempt seconds.  Each row stands alone, so
+    a lost executor's rows are asked again by the retried task.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = None
-        for batch in batches:
-            replies, errors = [], []
-            for prompt, image in zip(batch.column("prompt").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                reply = error = None
-                for attempt in range(1, tries + 1):
-                    try:
-                        client = client or factory()
-                        reply, error = client(prompt, image), None
-                        break
-                    except Exception as e:  # whatever a client raises is the row's outcome
-                        error = f"{type(e).__name__}: {e}"
-                        if attempt < tries:
-                            time.sleep(min(wait * attempt, longest))
-                replies.append(reply)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=schema.fieldNames())
+        made: list[Callable[[str, str], str]] = []
+        one = threading.Lock()
+
+        def client() -> Callable[[str, str], str]:
+            with one:  # made by the first call that needs it, again if that failed
+                if not made:
+                    made.append(factory())
+                return made[0]
+
+        def call(prompt: str, image: str) -> tuple[str | None, str | None]:
+            error = None
+            for attempt in range(1, tries + 1):
+                try:
+                    return client()(prompt, image), None
+                except Exception as e:  # whatever a client raises is the row's outcome
+                    error = f"{type(e).__name__}: {e}"
+                    if attempt < tries:
+                        time.sleep(min(wait * attempt, longest))
+            return None, error
+
+        with ThreadPoolExecutor(at_once) as calls:
+            for batch in batches:
+                got = list(calls.map(call, batch.column("prompt").to_pylist(), batch.column("image").to_pylist()))
+                replies, errors = ([x[k] for x in got] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 

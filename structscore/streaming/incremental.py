@@ -30,5 +30,5 @@ def judge_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    """One row per model, image and task: that of the last batch that had it."""
-    return last_per_key(spark.read.parquet(target), ["model", "img_path", "task"], ["batch"])
+    """One row per model, image and task: that of the last batch that had it, in a batch the last by its texts."""
+    return last_per_key(spark.read.parquet(target), ["model", "img_path", "task"], ["batch", "prediction", "reference"])
