@@ -42,7 +42,7 @@ from .seating import Seats, Weights, discount_sum, draw_parameters, sweep, theta
 #: The end of a text, as a word's hash; also the context of a first word.
 END = np.uint64(0)
 
-BLOCK_TOKENS, SHARD_TOKENS, OWNER_SHARDS = 1 << 21, 1 << 22, 8
+BLOCK_TOKENS, SHARD_TOKENS, OWNER_SHARDS = 3 << 19, 3 << 20, 8
 SKETCH = 1 << 14
 
 (PAIRS, TEXTS, STATE, FULL, ANSWER, ASK, INDEX, REST, ROOT, REPLY, TABLES, LAST, CONSTANT, NUMBERS) = range(14)
@@ -141,7 +141,7 @@ def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(SKETCH, np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 16 << 20):
         seen: dict[bytes, int] = {}
         get = seen.get
         for text in batch.column("text").to_pylist():
@@ -246,6 +246,8 @@ def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: li
 
 def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value and where it stands."""
+    if len(group) and group.max() < 1 << 16:
+        group = group.astype(np.uint16)  # sorted by digits
     order = np.argsort(group, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))) if len(group) else order
     for a, b in zip(edge, np.append(edge[1:], len(group)), strict=True):
