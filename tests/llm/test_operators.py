@@ -314,30 +314,58 @@ def test_token_ids(rows):
     assert [len(x) for x in encoder().encode(pa.array([b"a\xff b", None]), 1)] == [4, 1]
 
 
-def test_packing(spark, rows):
+def unpacked(pieces, length: int):
+    """(doc_id, ids) of every document, from pieces in their sequences; all checks on the way."""
     import zlib
 
+    import numpy as np
+
+    pieces = sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
+    place, docs, ids = 0, [], []
+    for r in pieces:
+        assert r.sequence_id * length + r.offset == place, "no gap, no overlap"
+        own = np.frombuffer(r.ids, f"<u{len(r.ids) // r.length}").astype("<u4")
+        assert len(own) == r.length and r.offset + r.length <= length
+        assert zlib.crc32(own.tobytes()) == r.ids_crc32
+        assert r.start == sum(map(len, ids))
+        place += r.length
+        ids.append(own)
+        if r.start + r.length == r.doc_tokens:
+            docs.append((r.doc_id, tuple(np.concatenate(ids).tolist())))
+            ids = []
+    assert not ids
+    return docs
+
+
+def test_packing(spark, rows):
     out = packing.pack(frame(spark, rows), length=64).collect()
-    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out)
-    by_sequence: dict[int, list] = {}
-    for r in out:
-        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for s, parts in by_sequence.items():
-        at = 0
-        for offset, n in sorted(parts):
-            assert offset == at
-            at += n
-        assert at == 64 or s == max(by_sequence)
-    assert sorted(by_sequence) == list(range(len(by_sequence)))
-    for i, t in rows:
-        ids = plain.token_ids(t, 1)
-        mine = [p for p in pieces if p[0] == i and p[4] == len(ids)]
-        starts = {p[1]: p for p in mine if p[3] == zlib.crc32(ids[p[1] : p[1] + p[2]].tobytes())}
-        assert 0 in starts
-    assert sum(n * p[2] for p, n in pieces.items()) == sum(len(plain.token_ids(t, 1)) for _, t in rows)
+    assert Counter(unpacked(out, 64)) == Counter((i, tuple(plain.token_ids(t, 1).tolist())) for i, t in rows)
+    short = packing.pack(frame(spark, rows), length=64, with_ids=False)
+    assert Counter(short.collect()) == Counter(tuple(r)[:-1] for r in out)
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("dimensions, bits", [(2, 4), (3, 3)])
+def test_neighbours_on_the_curve_are_neighbouring_cells(dimensions, bits):
+    import numpy as np
+
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dimensions, indexing="ij"), -1).reshape(-1, dimensions)
+    keys = packing.hilbert_index(cells, bits)
+    assert sorted(keys.tolist()) == list(range(len(cells)))
+    assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_like_documents_are_near_on_the_curve():
+    import numpy as np
+
+    rnd = np.random.default_rng(0)
+    base = rnd.integers(5, 40_000, 600)
+    like = [np.concatenate((base, rnd.integers(5, 40_000, 3))) for _ in range(20)]
+    other = [rnd.integers(5, 40_000, 600) for _ in range(200)]
+    keys = packing.curve_keys([*like, *other]).astype(float)
+    assert np.median(np.abs(keys[:20, None] - keys[:20])) < np.median(np.abs(keys[:20, None] - keys[20:])) / 4
+
+
 def test_grammar_file(spark, rows):
     import zlib
 
