@@ -839,6 +839,54 @@ def q50_tree_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query(
+    """
+    SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'SE_MERMAID' WHEN 1 THEN 'SE_MD' ELSE 'SE_JSON,SE_MD' END AS asked,
+           CASE c_custkey % 3 WHEN 0 THEN 'SE_MERMAID' WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'SE_MD' END ELSE CASE WHEN c_custkey % 2 = 0 THEN 'SE_JSON' ELSE 'SE_JSON,SE_MD' END END AS pending,
+           CASE c_custkey % 3 WHEN 0 THEN 'SE_D2' ELSE 'SE_CSV' END AS applicable FROM customer
+    """
+)
+def q51_tasks_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks of a sample by its chart, those of them not done yet, and those of a list that its chart allows."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, answers.FLOW_CHART).when(k % 3 == 1, answers.MIND_MAP).otherwise("折线图")
+    done = F.when(k % 2 == 0, F.create_map(F.lit("SE_MD"), F.lit("x"), F.lit("SE_SVG"), F.lit("y")))
+    made = scoring.settled(table(spark, sf_dir, "customer"), {"kind": kind, "asked": answers.tasks_of(kind, ["SE_JSON", "SE_MD"], ["SE_MD"], ["SE_MERMAID"]), "done": done})
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    allowed = answers.applicable(F.array(F.lit("SE_CSV"), F.lit("SE_D2")), F.col("kind"))
+    return made.select("c_custkey", listed(F.col("asked")).alias("asked"), listed(answers.pending(F.col("asked"), F.col("done"))).alias("pending"), listed(allowed).alias("applicable"))
+
+
+@query(
+    """
+    SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN '||' WHEN 1 THEN '||' WHEN 2 THEN '|a|b' WHEN 3 THEN '|a|b' WHEN 4 THEN '|' ELSE 'x|a|b' END AS pred_header,
+           CASE n_nationkey % 6 WHEN 0 THEN '||' WHEN 1 THEN '||' WHEN 4 THEN '|' WHEN 5 THEN 'y|a|b' ELSE '|a|b' END AS ref_header,
+           n_name || CASE n_nationkey % 6 WHEN 4 THEN '|1' ELSE '|1|2' END AS pred_row FROM nation
+    """
+)
+def q52_aligned_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers blanked on either side, a column too many at the front, headers of two columns, and tables left alone."""
+    name = F.col("n_name")
+    md = lambda header, *rows: F.concat(F.lit(f"{header}\n|{'---|' * (header.count('|') - 1)}\n"), F.concat_ws("\n", *rows))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.lit(c) if isinstance(c, str) else c for c in cells]), F.lit(" |"))
+    three = (row(name, "1", "2"), row("total", "3", "4"))
+    two = (row(name, "1"), row("total", "3"))
+    pairs = [
+        (md("| x | a | b |", *three), md("|  |  |  |", *three)),
+        (md("|  |  |  |", *three), md("| x | a | b |", *three)),
+        (md("| kind |  | a | b |", row("k", *[name, "1", "2"]), row("k", "total", "3", "4")), md("|  | a | b |", *three)),
+        (md("|  |  | a | b |", row("1", *[name, "1", "2"]), row("2", "total", "3", "4")), md("|  | a | b |", *three)),
+        (md("| x | a |", *two), md("| y | b |", *two)),
+        (md("| x | a | b |", *three), md("| y | a | b |", *three)),
+    ]
+    pick = lambda i: F.get(F.array(*[p[i] for p in pairs]), (F.col("n_nationkey") % 6).cast("int"))
+    made = scoring.parsed(table(spark, sf_dir, "nation").select("n_nationkey", pick(0).alias("p"), pick(1).alias("r")), "p", "r")
+    made = scoring.settled(made, {"t": tables.aligned(F.col("pred_rows"), F.col("ref_rows"))})
+    line = lambda side, i: F.array_join(F.get(F.col(f"t.{side}"), F.lit(i)), "|")
+    return made.select("n_nationkey", line("pred", 0).alias("pred_header"), line("ref", 0).alias("ref_header"), line("pred", 1).alias("pred_row"))
+
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
