@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, grammar, language_model, line_dedup, packing, quality, repeats, secrets, simhash, warc
+from . import decontaminate, grammar, language_model, line_dedup, mixing, packing, quality, repeats, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pitman_yor": op1_pitman_yor,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_repeated_bytes": op9_repeated_bytes,
         "op10_secret_scan": op10_secret_scan,
+        "op13_source_mix": op13_source_mix,
     }
 
 
@@ -148,5 +153,26 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS pos FROM d GROUP BY source),
+w AS (SELECT *, CASE pos % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+r AS (
+  SELECT *, sum(source_size) OVER () - 3 * (sum(source_size) OVER o - source_size) AS rest, sum(weight) OVER () - (sum(weight) OVER o - weight) AS rest_weight
+  FROM w WINDOW o AS (ORDER BY source_size / weight, pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, rest * weight >= 3 * source_size * rest_weight AS stops FROM r),
+level AS (SELECT rest::DOUBLE / rest_weight::DOUBLE AS per_weight FROM m WHERE NOT stops ORDER BY source_size / weight, pos LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN stops THEN (3 * source_size)::DOUBLE ELSE weight * (SELECT per_weight FROM level) END AS target FROM m),
+lined AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix ' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d)
+SELECT doc_id, size, source_size, target, lined.source,
+       CASE WHEN size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size * size
+            + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END::BIGINT AS taken
+FROM lined JOIN t ON lined.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op13_source_mix": OP13_SQL, "op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
