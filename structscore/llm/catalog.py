@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, grammar, language_model, line_dedup, mixing, packing, quality, repeats, secrets, simhash, warc
+from . import codes, decontaminate, grammar, language_model, line_dedup, mixing, packing, phrases, quality, repeats, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -69,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_repeated_bytes": op9_repeated_bytes,
         "op10_secret_scan": op10_secret_scan,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_phrases": op12_phrases,
         "op13_source_mix": op13_source_mix,
     }
 
@@ -174,5 +184,54 @@ FROM lined JOIN t ON lined.source IS NOT DISTINCT FROM t.source
 """
 
 
+def _op11_sql(rounds: int = codes.ROUNDS) -> str:
+    """Lloyd's rounds one after another, every part against every entry."""
+
+    def given(k: int) -> str:
+        distance = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+        return f"a{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (SELECT r, p, x, e, {distance} AS d FROM parts JOIN c{k} USING (p)) GROUP BY r, p)"
+
+    def after(k: int) -> str:
+        moved = f"SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(y) / count(*)) AS m FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e"
+        return f"c{k + 1} AS MATERIALIZED (SELECT c{k}.p, c{k}.e, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN ({moved}) m USING (p, e))"
+
+    steps = ", ".join(f"{given(k)}, {after(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+c0 AS MATERIALIZED (SELECT p, r AS e, x AS c FROM parts WHERE r < 256),
+{steps}, {given(rounds)},
+book AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS y, unnest(range(len(c))) AS i FROM c{rounds})),
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r), book
+"""
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+  FROM documents),
+grams AS (SELECT lang, k, list_slice(ws, i, i + k - 1) AS g FROM (
+  SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 100),
+langs AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+cuts AS (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score, j
+  FROM cuts c JOIN langs USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = b.lang AND f.a >= b.a AND f.phrase <> b.phrase AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_source_mix": OP13_SQL, "op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op12_phrases": OP12_SQL, "op11_vector_codes": _op11_sql(), "op13_source_mix": OP13_SQL, "op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
