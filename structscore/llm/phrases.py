@@ -4,9 +4,10 @@
    and its words by number, 0 between pieces.  Blocks are stored once.
 2. Every block adds its words and phrases of two to five words into a sketch, a
    row of counters whose number grows with the corpus.  The counters are dealt
-   out in shards of 65,536 by the hash's high bits; a block sends each shard the
-   counters that it touches, and the shard answers, a bit each, whose sums reach
-   the threshold.  A counter holds all phrases that fall on it, so its sum is an
+   out in shards by the hash's high bits; a block sends each shard the counters
+   that it touches, and the shard answers, a bit each, whose sums reach the
+   threshold.  Shards grow as the square root of the corpus, and so does their
+   number, so that a block's rows stay few and hold many counters each.  A counter holds all phrases that fall on it, so its sum is an
    upper bound: nothing frequent is lost.
 3. A block compiles its own phrases under counters that reach the threshold into
    an Aho-Corasick automaton and runs it over its words.  Words are written as
@@ -39,9 +40,9 @@ FIRST = 2000
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
-#: Counters of a shard, and words and phrases for each counter.
-SHARD = 1 << 16
+#: Words and phrases for each counter; bits that number a shard's counters, fewest and most (a byte each).
 LOAD = 4
+SHARD_BITS = (16, 28)
 
 # What ends a piece, what stands between words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -129,13 +130,27 @@ class Block:
         return np.unique(np.concatenate(found), return_counts=True)
 
 
-def _by_shard(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shard_bits(n_cells: int) -> int:
+    """Bits of a counter's number in its shard: about half of all, and eight more."""
+    low, high = SHARD_BITS
+    return min(max((n_cells.bit_length() - 1) // 2 + 8, low), high)
+
+
+def _by_shard(cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Shards that ascending counters fall into, and where each begins, with the end."""
-    shards = (cells >> np.uint64(16)).astype(np.int64)
+    shards = (cells >> np.uint64(bits)).astype(np.int64)
     first = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(cells) else np.zeros(0, np.int64)
     return shards[first], np.append(first, len(cells))
 
 
+def _steps(cells: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    """Counters as steps from the one before, in each shard from its first; in 16 bits where all fit."""
+    low = (cells & np.uint64((1 << bits) - 1)).astype(np.int64)
+    steps = np.diff(low, prepend=0)
+    steps[bounds[:-1]] = low[bounds[:-1]]
+    return steps.astype("<u2" if not len(steps) or steps.max() < 1 << 16 else "<u4")
+
+
 def _binary(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Runs of an array as binary values."""
     return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
@@ -143,29 +158,32 @@ def _binary(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 def sketched(blocks: DataFrame, n_cells: int, least: int = LEAST) -> DataFrame:
     """Which counters of each block reach `least`: a row per block and shard with one that does, a bit per counter touched."""
-    kind = np.dtype("u1" if least < 256 else "<u4")  # more than `least` need not be told apart
+    kind = np.dtype("u1" if least < 256 else "<u4")  # counters stop at `least`: more need not be told apart
+    width = shard_bits(n_cells)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 cells, counts = Block(row["lang"], row["words"], row["ids"]).touched(n_cells)
-                shards, bounds = _by_shard(cells)
-                low, many = (cells & np.uint64(SHARD - 1)).astype("<u2"), np.minimum(counts, least).astype(kind)
-                columns = [pa.array(shards), pa.array(np.full(len(shards), row["block"])), _binary(low, bounds), _binary(many, bounds)]
+                shards, bounds = _by_shard(cells, width)
+                many = np.minimum(counts, least).astype(kind)
+                columns = [pa.array(shards), pa.array(np.full(len(shards), row["block"])), _binary(_steps(cells, bounds, width), bounds), _binary(many, bounds)]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "cells", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
-        total = np.zeros(SHARD, np.int64)
+        held: list[tuple[int, bytes, int]] = []
+        total = np.zeros(1 << width, kind)
         shard = None
 
+        def places(cells: bytes, n: int) -> np.ndarray:
+            return np.cumsum(np.frombuffer(cells, f"<u{len(cells) // n}"), dtype=np.int64)
+
         def done() -> Iterator[pa.RecordBatch]:
-            heavy = total >= least
-            bits = [(block, heavy[cells]) for block, cells in held]
-            rows = [(block, np.packbits(b).tobytes()) for block, b in bits if b.any()]
-            if rows:
-                number, raw = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array(number, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "block", "bits"])
+            for block, cells, n in held:
+                bits = total[places(cells, n)] >= least
+                if bits.any():
+                    row = (shard, block, np.packbits(bits).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "block", "bits"])
 
         for batch in batches:
             for now, block, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -173,9 +191,10 @@ def sketched(blocks: DataFrame, n_cells: int, least: int = LEAST) -> DataFrame:
                     yield from done()
                     held, shard = [], now
                     total[:] = 0
-                at = np.frombuffer(cells, "<u2")
-                total[at] += np.frombuffer(counts, kind)  # a row's counters differ
-                held.append((block, at))
+                many = np.frombuffer(counts, kind)
+                at = places(cells, len(many))
+                total[at] = np.minimum(total[at].astype(np.int64) + many, least)  # a row's counters differ
+                held.append((block, cells, len(many)))
         yield from done()
 
     entries = blocks.select("block", "lang", "words", "ids").mapInArrow(send, ENTRIES)
@@ -185,7 +204,7 @@ def sketched(blocks: DataFrame, n_cells: int, least: int = LEAST) -> DataFrame:
 def _heavy(block: Block, n_cells: int, answers: list[dict]) -> np.ndarray:
     """The block's counters that reach the threshold, ascending."""
     cells, _ = block.touched(n_cells)
-    shards, bounds = _by_shard(cells)
+    shards, bounds = _by_shard(cells, shard_bits(n_cells))
     flags = np.zeros(len(cells), bool)
     at = {int(s): k for k, s in enumerate(shards)}
     for x in answers:
@@ -246,7 +265,7 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, block_bytes: int = B
     """(lang, size, phrase, a) of all words and phrases found `least` times or more, exactly, and (lang, n) words in all."""
     blocks = stored(text_blocks(documents, block_bytes), "blocks")
     words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_cells = SHARD
+    n_cells = 1 << SHARD_BITS[0]
     while n_cells * LOAD < words * MOST_WORDS:
         n_cells *= 2
     answers = sketched(blocks, n_cells, least).groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))

@@ -71,14 +71,14 @@ def test_sketch_is_an_upper_bound(spark):
     blocks = phrases.stored(phrases.text_blocks(df, 500), "blocks")
     sums = Counter()
     for row in blocks.collect():
-        cells, counts = phrases.Block(row.lang, row.words, row.ids).touched(phrases.SHARD)
+        cells, counts = phrases.Block(row.lang, row.words, row.ids).touched(1 << 16)
         sums.update(dict(zip(cells.tolist(), counts.tolist(), strict=True)))
     want = Counter({r.block: 0 for r in blocks.select("block").collect()})
     for row in blocks.collect():
-        cells, _ = phrases.Block(row.lang, row.words, row.ids).touched(phrases.SHARD)
+        cells, _ = phrases.Block(row.lang, row.words, row.ids).touched(1 << 16)
         want[row.block] = sum(sums[c] >= 5 for c in cells.tolist())
     got = Counter()
-    for row in phrases.sketched(blocks, phrases.SHARD, 5).collect():
+    for row in phrases.sketched(blocks, 1 << 16, 5).collect():
         got[row.block] += sum(b.bit_count() for b in row.bits)
     assert +want == got
 
