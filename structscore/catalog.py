@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import answers, axes, graphs, json_tables, matching, pies, tables, text, trees
+from .operators import ordered
 from .operators.assignment import graph_similarity, tree_similarity
 from .operators.code import code_table
 from .operators.walks import graph_levels, json_levels
@@ -381,7 +382,7 @@ def q18_graph_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q19_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-dimensional clusters: a gap above the tolerance starts a new one."""
-    named = relations.gap_clusters(table(spark, sf_dir, "events").select("user_id", "value"), ["user_id"], "value", 2)
+    named = ordered.gap_clusters(table(spark, sf_dir, "events").select("user_id", "value"), ["user_id"], "value", 2)
     return named.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 

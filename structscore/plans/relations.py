@@ -1,16 +1,11 @@
-"""Small dataflows that several reports share: clusters, modes, trees in tables, tasks."""
+"""Small dataflows that several reports share: modes, trees in tables, tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def gap_clusters(rows: DataFrame, keys: list[str], value: str, tolerance: float, name: str = "cluster") -> DataFrame:
-    """`rows` with the number of their cluster: values in order, a gap above the tolerance starts a new one."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    gap = F.when(F.col(value) - F.lag(value).over(w) > tolerance, 1).otherwise(0)
-    return rows.withColumn(name, gap).withColumn(name, F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+from structscore.operators import forest
 
 
 def modes(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -19,24 +14,9 @@ def modes(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame
     return each.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(value))
 
 
-def depths(rows: DataFrame, most_levels: int = 1000) -> DataFrame:
-    """(id, depth) of an (id, parent) table, roots without a parent at 0; rows in circles are left out.
-
-    A recursive query of the session, over a view that goes when it is planned.
-    """
-    spark, view = rows.sparkSession, f"_adjacency_{id(rows)}"
-    rows.select("id", "parent").createOrReplaceTempView(view)
-    try:
-        return spark.sql(
-            f"""
-            WITH RECURSIVE t(id, depth) MAX RECURSION LEVEL {most_levels} AS (
-              SELECT id, 0 FROM {view} WHERE parent IS NULL
-              UNION ALL SELECT a.id, t.depth + 1 FROM {view} a JOIN t ON a.parent = t.id)
-            SELECT id, depth FROM t
-            """
-        )
-    finally:
-        spark.catalog.dropTempView(view)
+def depths(rows: DataFrame) -> DataFrame:
+    """(id, depth) of an (id, parent) table, roots at 0; as `forest.rooted`, whose rules for odd rows hold."""
+    return forest.rooted(rows).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def tasks_in(rows: DataFrame) -> DataFrame:
