@@ -13,8 +13,9 @@
    an Aho-Corasick automaton and runs it over its words.  Words are written as
    codes of a fixed width that begin with a delimiter found nowhere else, so that
    matches begin and end at words, and a piece's end is a code of its own.
-   Overlapping matches all count.  Sums over blocks are exact; the threshold
-   then drops what only shared a counter.
+   Overlapping matches all count.  A task adds up its blocks' counts and deals
+   them by phrase into buckets, whose number grows like the shards'; a bucket's
+   sums are exact, and the threshold drops what only shared a counter.
 4. Scores, dropped parts and each language's first phrases are joins, and a
    window whose rows are limited before the shuffle.
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -51,8 +53,12 @@ _TABLE = bytes(ord(".") if c in PIECE_ENDS else 32 if c == 9 else c + 32 if 65 <
 BLOCKS = "block bigint, lang string, n bigint, words binary, ids binary"
 ENTRIES = "shard bigint, block bigint, cells binary, counts binary"
 ANSWERS = "shard bigint, block bigint, bits binary"
+TALLIES = "bucket bigint, lang string, phrases binary, counts binary"
 COUNTS = "lang string, size int, phrase binary, a bigint"
 
+#: Phrases that a task counts together before it sends them on.
+HELD = 1_000_000
+
 
 def _block(number: int, lang: str, texts: list[bytes]) -> tuple:
     """Texts of one language as words by number."""
@@ -226,8 +232,8 @@ def _codes(n_words: int, ids: np.ndarray) -> tuple[str, int]:
     return out.tobytes().decode("latin-1"), digits + 1
 
 
-def counted(block: Block, heavy: np.ndarray, n_cells: int) -> Iterator[tuple[int, bytes, int]]:
-    """(words, phrase, times) of the block's words and phrases whose counters reach the threshold."""
+def counted(block: Block, heavy: np.ndarray, n_cells: int) -> Iterator[tuple[bytes, int]]:
+    """(phrase, times) of the block's words and phrases whose counters reach the threshold."""
     import ahocorasick
 
     ids = block.ids
@@ -244,7 +250,7 @@ def counted(block: Block, heavy: np.ndarray, n_cells: int) -> Iterator[tuple[int
             rank = ids.astype(np.int64)
             times = np.bincount(ids[ok], minlength=len(block.words) + 1)
             for i in np.flatnonzero(times).tolist():
-                yield 1, block.words[i - 1], int(times[i])
+                yield block.words[i - 1], int(times[i])
         else:
             # both its parts, a word shorter, must reach it, too
             ok &= reaches[:n] & reaches[1 : n + 1]
@@ -258,7 +264,75 @@ def counted(block: Block, heavy: np.ndarray, n_cells: int) -> Iterator[tuple[int
         automaton.make_automaton()
         times = np.bincount(np.fromiter((v for _, v in automaton.iter(text)), np.int64), minlength=len(found))
         for (size, i), a in zip(found, times.tolist(), strict=True):
-            yield size, b" ".join(block.words[w - 1] for w in ids[i : i + size].tolist()), a
+            yield b" ".join(block.words[w - 1] for w in ids[i : i + size].tolist()), a
+
+
+def _dealt(lang: str, phrases: list[bytes], counts: list[int], n_buckets: int) -> pa.RecordBatch:
+    """Counts of a language's phrases, equal phrases added up, as a row for each bucket."""
+    summed = pa.table({"p": pa.array(phrases, pa.binary()), "a": pa.array(counts, pa.int64())}).group_by("p").aggregate([("a", "sum")])
+    names = summed.column("p").to_pylist()
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(p) % n_buckets for p in names), np.int64, len(names))
+    order = np.argsort(bucket, kind="stable")
+    bucket, many = bucket[order], summed.column("a_sum").to_numpy()[order].astype("<i8")
+    bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    places = order.tolist()
+    # a phrase holds no line end
+    lists = [b"\n".join([names[i] for i in places[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    columns = [pa.array(bucket[bounds[:-1]]), pa.array([lang] * len(lists)), pa.array(lists, pa.binary()), _binary(many, bounds)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "phrases", "counts"])
+
+
+def _tallies(n_cells: int, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list[bytes], list[int]]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            while held:
+                lang, (phrases, counts) = held.popitem()
+                yield _dealt(lang, phrases, counts, n_buckets)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = Block(row["lang"], row["words"], row["ids"])
+                phrases, counts = held.setdefault(row["lang"], ([], []))
+                for phrase, a in counted(block, _heavy(block, n_cells, row["answers"]), n_cells):
+                    phrases.append(phrase)
+                    counts.append(a)
+                if not phrases:
+                    held.pop(row["lang"])
+                if sum(len(p) for p, _ in held.values()) > HELD:
+                    yield from flushed()
+        yield from flushed()
+
+    return run
+
+
+def _added_up(least: int):
+    """Rows sorted by bucket and language: sums of phrases that reach `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        key = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                total = pa.concat_tables(held).group_by("p").aggregate([("a", "sum")])
+                total = total.filter(pc.greater_equal(total.column("a_sum"), least)).combine_chunks()
+                phrases = total.column("p")
+                size = pc.add(pc.count_substring(phrases, b" "), 1).cast(pa.int32())
+                named = pa.table({"lang": pa.array([key[1]] * len(total), pa.string()), "size": size, "phrase": phrases, "a": total.column("a_sum")})
+                yield from named.to_batches()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if key != (row["bucket"], row["lang"]):
+                    yield from done()
+                    held, key = [], (row["bucket"], row["lang"])
+                held.append(pa.table({"p": pa.array(row["phrases"].split(b"\n"), pa.binary()), "a": np.frombuffer(row["counts"], "<i8")}))
+        yield from done()
+
+    return run
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -269,21 +343,12 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, block_bytes: int = B
     while n_cells * LOAD < words * MOST_WORDS:
         n_cells *= 2
     answers = sketched(blocks, n_cells, least).groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                block = Block(row["lang"], row["words"], row["ids"])
-                rows = list(counted(block, _heavy(block, n_cells, row["answers"]), n_cells))
-                if rows:
-                    size, phrase, a = zip(*rows, strict=True)
-                    columns = [pa.array([row["lang"]] * len(rows)), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()), pa.array(a, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "a"])
-
     asked = blocks.join(answers, "block").select("lang", "words", "ids", "answers")
-    sums = asked.mapInArrow(run, COUNTS).groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
-    return stored(sums.where(F.col("a") >= least), "counts"), stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
+    n_buckets = 16 * (n_cells >> shard_bits(n_cells))
+    dealt = asked.mapInArrow(_tallies(n_cells, n_buckets), TALLIES)
+    sums = dealt.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_added_up(least), COUNTS)
+    named = sums.withColumn("phrase", F.col("phrase").cast("string"))
+    return stored(named, "counts"), stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
 
 
 def scored(counts: DataFrame, langs: DataFrame) -> DataFrame:
