@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, lines, strip, strip_fence
+from .tables import html_text
+from .text import is_quantity, let, lines, strip, strip_fence, without_mark
 
 NODE = "struct<id:string,label:string>"
 EDGE = "struct<src:string,dst:string,label:string>"
@@ -195,9 +196,7 @@ def cytoscape(text: Column) -> Column:
 PARSERS = {"mermaid": mermaid, "graphviz": dot, "d2": d2, "cytoscape": cytoscape}
 
 
-#: Tags, list marks and what else a cell has around its words.
-_CELL_MARKS = "\\*\\*|<[^>]+>"
-# Cells that name nothing are numbers, and those of so many characters at most, by how lines are read.
+# Names of so many characters at most say nothing, by how lines are read.
 SHORT = {"cell": 2, "row": 1, "line": 1}
 
 
@@ -205,27 +204,24 @@ def listed_nodes(text: Column, by: str = "cell") -> Column:
     """Names in an answer that lists a flow chart's nodes, in order, each once whatever its case.
 
     Piped lines (two in five at least) after a header: a node per `cell`, or per
-    `row`.  Other texts have a node per line.
+    `row`.  Other texts have a node per line.  Cells are read as cells of HTML
+    are; a number names nothing.
     """
 
-    def clean(c: Column) -> Column:
-        spaced = F.regexp_replace(strip(c), "<br\\s*/?>", " ")
-        bare = strip(F.regexp_replace(strip(F.regexp_replace(spaced, _CELL_MARKS, "")), "^[•·*-]\\s*", ""))
-        return F.when(bare.rlike("^[-+]?[0-9]+(?:[,\\s][0-9]{3})*(?:\\.[0-9]+)?%?$"), "").otherwise(bare)
-
-    def long(names: Column, how: str) -> Column:
-        return F.filter(names, lambda n: F.length(n) > SHORT[how])
+    def names(cells: Column, how: str) -> Column:
+        plain = F.transform(cells, lambda c: without_mark(F.replace(html_text(c), F.lit("**"), F.lit(""))))
+        return F.filter(plain, lambda n: ~is_quantity(n) & (F.length(n) > SHORT[how]))
 
     def read(given: Column) -> Column:
-        piped = F.size(F.filter(given, lambda x: F.contains(x, F.lit("|"))))
-        data = F.slice(given, 2, F.greatest(F.size(given), F.lit(1)))
-        rows = F.transform(data, lambda x: long(F.transform(F.split(x, "\\|"), clean), by))
-        names = F.flatten(rows) if by == "cell" else F.filter(F.transform(rows, lambda r: F.array_join(r, " ")), lambda n: n != "")
-        told = F.when(piped * 10 >= F.size(given) * 4, names).otherwise(long(F.transform(given, clean), "line"))
+        piped = F.filter(given, lambda x: F.contains(x, F.lit("|")))
+        body = F.slice(given, 2, F.greatest(F.size(given), F.lit(1)))
+        rows = F.transform(body, lambda x: names(F.split(x, "\\|"), by))
+        of_rows = F.flatten(rows) if by == "cell" else F.filter(F.transform(rows, lambda r: F.array_join(r, " ")), lambda n: n != "")
+        told = F.when(5 * F.size(piped) >= 2 * F.size(given), of_rows).otherwise(names(given, "line"))
         once = let(told, lambda t: let(F.transform(t, F.lower), lambda low: F.filter(t, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)))
         return F.when(F.size(given) >= 2, once).otherwise(F.array().cast("array<string>"))
 
-    return let(F.split(strip(F.coalesce(text, F.lit(""))), "\r?\n"), read)
+    return let(lines(strip(F.coalesce(text, F.lit("")))), read)
 
 
 def in_a_row(names: Column) -> Column:
@@ -239,36 +235,51 @@ def in_a_row(names: Column) -> Column:
     return F.when(F.size(names) >= 2, joined(names))
 
 
-def is_plantuml(text: Column) -> Column:
-    return text.rlike("@(?:start|end)uml") | (text.rlike(":[^:\\n]{1,200};") & text.rlike("-+>|-+\\[#"))
+# The word that opens a text of a notation, and the directions behind Mermaid's older one.
+OPENINGS = {"flowchart": "mermaid", "digraph": "graphviz", "strict": "graphviz", "graph": "graphviz", "@startuml": "plantuml"}
+DIRECTIONS = ["TD", "TB", "LR", "RL", "BT"]
+#: Marks of lines that are comments somewhere.
+COMMENTS = ["%%", "//", "#", "'"]
 
 
-def is_diagrams(text: Column) -> Column:
-    return text.rlike("\\b(?:from|import)\\s+diagrams\\b") | (F.contains(text, F.lit("with Diagram(")) & text.rlike(">>|<<"))
+def notation(text: Column) -> Column:
+    """Which notation a text is in; null if none.
 
+    The word that opens it tells, or the module that its code takes in, or a
+    JSON value's elements; a text without any of these is what more of its lines
+    are read as, PlantUML's actions or D2's edges and labels.
+    """
 
-def is_cytoscape(text: Column) -> Column:
-    """JSON that holds an element with an id or a source."""
-    held = cytoscape(text)
-    return (F.size(held["nodes"]) > 0) | (F.size(held["edges"]) > 0)
+    def opened(told: Column) -> Column:
+        words = F.split(strip(F.replace(F.coalesce(F.get(told, F.lit(0)), F.lit("")), F.lit("{"), F.lit(" {"))), "\\s+")
+        word, second = F.lower(F.get(words, F.lit(0))), F.upper(F.coalesce(F.get(words, F.lit(1)), F.lit("")))
+        kinds = F.create_map(*[F.lit(x) for pair in OPENINGS.items() for x in pair])
+        code = lambda x: F.split(x, "[\\s(.]+")
+        taken = F.exists(told, lambda x: F.get(code(x), F.lit(0)).isin("from", "import") & (F.get(code(x), F.lit(1)) == "diagrams"))
+        drawn = F.exists(told, lambda x: (F.get(code(x), F.lit(0)) == "with") & (F.get(code(x), F.lit(1)) == "Diagram"))
+        actions = F.size(F.filter(told, lambda x: x.startswith(":") & x.endswith(";")))
+        return (
+            F.when((word == "graph") & second.isin(DIRECTIONS), "mermaid")
+            .when(taken | drawn, "diagrams")
+            .when(kinds[word].isNotNull(), kinds[word])
+            .when(word.startswith("{") | word.startswith("["), F.when(_elements(text) > 0, "cytoscape"))
+            .otherwise(let(F.struct(actions.alias("uml"), _read_by_d2(told).alias("d2")), lambda n: F.when((n["uml"] > 0) & (n["uml"] >= n["d2"]), "plantuml").when(n["d2"] > 0, "d2")))
+        )
 
+    told = F.filter(F.transform(lines(strip_fence(text)), strip), lambda x: (x != "") & ~F.array_contains(F.transform(F.array(*map(F.lit, COMMENTS)), lambda c: x.startswith(c)), True))
+    return let(told, opened)
 
-def is_d2(text: Column) -> Column:
-    other = text.rlike("(?i)digraph|strict graph|@startuml") | text.rlike("(?m)^\\s*(?:flowchart|graph)\\s+[A-Z]{2}\\b")
-    return ~other & (text.rlike("\\w\\s*->\\s*\\w") | (text.rlike("\\w\\s*--\\s*\\w") & text.rlike("(?m)^\\s*[\\w.-]+\\s*:\\s*\\S")))
 
+def _elements(text: Column) -> Column:
+    held = cytoscape(text)
+    return F.size(held["nodes"]) + F.size(held["edges"])
 
-def notation(text: Column) -> Column:
-    """Which notation a text is in, by the first that it looks like; null if none."""
-    t = strip_fence(text)
-    return (
-        F.when(is_mermaid(t), "mermaid")
-        .when(is_dot(t) & F.contains(t, F.lit("}")), "graphviz")
-        .when(is_plantuml(t), "plantuml")
-        .when(is_diagrams(t), "diagrams")
-        .when(is_cytoscape(t), "cytoscape")
-        .when(is_d2(t), "d2")
-    )
+
+def _read_by_d2(told: Column) -> Column:
+    """How many edges D2's parser finds whose ends are plain names, in texts that have an arrow at all."""
+    graph = d2(F.array_join(told, "\n"))
+    plain = lambda name: (F.translate(name, "[](){}<>|;=@", "") == name) & (name != "")
+    return F.size(F.filter(graph["edges"], lambda e: plain(e["src"]) & plain(e["dst"])))
 
 
 def told(graph: Column) -> Column:

@@ -136,6 +136,38 @@ def python_float(text: Column) -> Column:
     )
 
 
+def is_quantity(text: Column) -> Column:
+    """Whether a text is nothing but a number: it names nothing.  Signs, digits grouped by threes, a point and per cent may stand in it."""
+
+    def read(t: Column) -> Column:
+        bare = F.translate(t, ", ", "")
+        groups = F.split(F.translate(F.substring_index(t, ".", 1), " ", ","), ",")
+        whole = F.forall(F.slice(groups, 2, F.size(groups)), lambda g: F.length(g) == 3)
+        return bare.try_cast("double").isNotNull() & (F.lower(bare) == F.upper(bare)) & F.right(bare, F.lit(1)).between("0", "9") & whole
+
+    return F.coalesce(let(F.rtrim(strip(text), F.lit("%")), read), F.lit(False))
+
+
+# Marks before items of a list, what ends an item's number, digits that number items.
+BULLETS, AFTER_NUMBER, NUMERALS = "-*+•·", ".)、", "0123456789一二三四五六七八九十"
+
+
+def without_mark(line: Column) -> Column:
+    """A list's line without what marks it as an item: a bullet and a space, or a number and what ends it."""
+
+    def read(t: Column) -> Column:
+        number = F.substring_index(F.translate(t, AFTER_NUMBER, "." * len(AFTER_NUMBER)), ".", 1)
+        numbered = (number != "") & (F.length(number) < F.length(t)) & (F.translate(number, NUMERALS, "") == "")
+        # a number needs a space behind its point, else it may be a decimal
+        spaced = F.substring(t, F.length(number) + 2, F.lit(1))
+        cut = F.substring(t, F.length(number) + 2, F.length(t))
+        decimal = numbered & spaced.between("0", "9")
+        bullet = F.translate(F.substring(t, 1, 1), BULLETS, "") == ""
+        return F.when(bullet & (F.substring(t, 2, 1) == " "), strip(F.substring(t, F.lit(2), F.length(t)))).when(numbered & ~decimal, strip(cut)).otherwise(t)
+
+    return let(F.translate(strip(line), "\t", " "), read)
+
+
 # Signs that stand with amounts, and units that are left out (the number stays as it is written).
 CURRENCY, UNITS = "[$￥¥€£]", "(?:[万亿]元?|元)$"
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .tables import csv_table
-from .text import let, lines, strip, strip_fence
+from .text import is_quantity, let, lines, strip, strip_fence, without_mark
 
 NODES = "array<struct<name:string,path:array<int>>>"
 
@@ -76,19 +76,20 @@ def _ranked(entries: Column) -> Column:
     )
 
 
-# What stands before an item of a list that someone wrote by hand.
-ITEM_MARK = "^(?:[-*+]\\s+|(?:[0-9]+[.)、]|[一二三四五六七八九十]+[、.])\\s*)"
+# Lines of nothing else are drawn, not written.
+RULING = "-=_*~#"
 
 
 def text_entries(text: Column) -> Column:
     """Entries of plain or indented lines, with or without item marks; rules and tags are no items."""
-    told = F.filter(lines(text), lambda x: (strip(x) != "") & ~strip(x).rlike("^[-=_*~#]{2,}$") & ~x.rlike("^\\s*<[^>]+>"))
-    items = F.transform(told, lambda x: _entry(_indent(x), strip(F.regexp_replace(F.regexp_replace(x, "^[ \\t]+", ""), ITEM_MARK, ""))))
-    return let(F.filter(items, lambda e: e["name"] != ""), _ranked)
 
+    def item(line: Column) -> Column:
+        told = strip(line)
+        drawn = (F.length(told) > 1) & (F.translate(told, RULING, "") == "")
+        tag = told.startswith("<") & (F.instr(told, ">") > 2)
+        return F.when(~drawn & ~tag, _entry(_indent(line), without_mark(told)))
 
-#: A number as tables write it: it names nothing.
-NUMBER = "^[-+]?[0-9]+(?:[,\\s][0-9]{3})*(?:\\.[0-9]+)?%?$"
+    return let(F.filter(F.transform(lines(text), item), lambda e: F.coalesce(e["name"] != "", F.lit(False))), _ranked)
 
 
 def _once(entries: Column) -> Column:
@@ -97,6 +98,18 @@ def _once(entries: Column) -> Column:
     return let(F.transform(entries, keys), lambda names: F.filter(entries, lambda e, i: F.array_position(names, keys(e)) == i + 1))
 
 
+def _piped(line: Column) -> Column:
+    """struct<indent, cells> of a line: its names between pipes, without emphasis; numbers are blank."""
+    bare = F.transform(F.split(F.replace(line, F.lit("**"), F.lit("")), "\\|"), strip)
+    names = F.when(F.contains(line, F.lit("|")), F.transform(bare, lambda c: F.when(is_quantity(c), "").otherwise(c))).otherwise(F.array(strip(line)))
+    return F.struct(_indent(line).cast("int").alias("indent"), names.alias("cells"))
+
+
+def _said_again(names: Column) -> Column:
+    """Names that a list holds more than once."""
+    return let(names, lambda n: F.array_distinct(F.filter(n, lambda x, i: F.array_position(n, x) <= i)))
+
+
 def pipe_entries(text: Column) -> Column:
     """Entries of an outline that was answered as a pipe table; none unless half of its lines are piped.
 
@@ -106,37 +119,31 @@ def pipe_entries(text: Column) -> Column:
     name counts once.
     """
     none = F.array().cast(ENTRIES)
-    row = "array<struct<indent:int,cells:array<string>>>"
+    first_of, second_of = (lambda r, i=i: F.coalesce(F.get(r["cells"], F.lit(i)), F.lit("")) for i in (0, 1))
+    key = lambda r: F.lower(first_of(r))
+
+    def leveled(rows: Column) -> Column:
+        beside = F.filter(rows, lambda r: (first_of(r) != "") & (second_of(r) != ""))
+
+        def with_parents(parents: Column) -> Column:
+            any_, under = F.size(parents) > 0, lambda r: F.array_contains(parents, key(r)).cast("int")
+            level = lambda r, i: F.when(any_, F.least(i, under(r))).otherwise(r["indent"])
+            made = F.flatten(F.transform(rows, lambda r: F.transform(r["cells"], lambda c, i: _entry(level(r, i), c))))
+            # levels of indents are counted over all cells, named or not
+            return let(made, lambda m: F.when(any_, m).otherwise(_ranked(m)))
 
-    def cells(x: Column) -> Column:
-        parts = F.transform(F.split(x, "\\|"), lambda c: strip(F.replace(strip(c), F.lit("**"), F.lit(""))))
-        return F.when(F.contains(x, F.lit("|")), F.transform(parts, lambda c: F.when(c.rlike(NUMBER), "").otherwise(c))).otherwise(F.array(strip(x)))
+        return let(_said_again(F.transform(beside, key)), with_parents)
 
     def read(given: Column) -> Column:
-        first = strip(F.get(given, F.lit(0)))
-        data = F.filter(F.slice(given, 2, F.greatest(F.size(given), F.lit(1))), lambda x: strip(x) != "")
-        rows = F.transform(data, lambda x: F.struct(_indent(x).cast("int").alias("indent"), cells(x).alias("cells")))
-        root = F.when(F.contains(first, F.lit("|")) | (first == ""), none).otherwise(F.array(_entry(F.lit(0), first)))
-        beside = lambda r: (F.get(r["cells"], F.lit(0)) != "") & (F.coalesce(F.get(r["cells"], F.lit(1)), F.lit("")) != "")
-        lefts = lambda rs: F.transform(F.filter(rs, beside), lambda r: F.lower(F.get(r["cells"], F.lit(0))))
-
-        def told(rs: Column) -> Column:
-            def with_parents(parents: Column) -> Column:
-                def of(r: Column) -> Column:
-                    parent = F.array_contains(parents, F.lower(F.get(r["cells"], F.lit(0))))
-                    return F.transform(r["cells"], lambda c, i: _entry(F.when(parent & (i > 0), 1).otherwise(0), c))
-
-                flat = F.transform(rs, lambda r: F.transform(r["cells"], lambda c: _entry(r["indent"], c)))
-                by_indent = let(F.filter(F.flatten(flat), lambda e: F.lit(True)), _ranked)
-                made = F.when(F.size(parents) > 0, F.flatten(F.transform(rs, of))).otherwise(by_indent)
-                return _once(F.concat(root, F.filter(made, lambda e: e["name"] != "")))
-
-            return let(lefts(rs), lambda ls: let(F.array_distinct(F.filter(ls, lambda x: F.size(F.filter(ls, lambda y: y == x)) >= 2)), with_parents))
-
-        piped = F.size(F.filter(given, lambda x: F.contains(x, F.lit("|"))))
-        return F.when((F.size(given) >= 2) & (2 * piped >= F.size(given)) & (F.size(rows) > 0), let(rows.cast(row), told)).otherwise(none)
-
-    return let(F.split(strip(F.coalesce(text, F.lit(""))), "\r?\n"), read)
+        head = strip(F.get(given, F.lit(0)))
+        root = F.when(F.contains(head, F.lit("|")) | (head == ""), none).otherwise(F.array(_entry(F.lit(0), head)))
+        told = F.filter(F.slice(given, 2, F.greatest(F.size(given), F.lit(1))), lambda x: strip(x) != "")
+        piped = F.filter(given, lambda x: F.contains(x, F.lit("|")))
+        fits = (F.size(given) >= 2) & (2 * F.size(piped) >= F.size(given)) & (F.size(told) > 0)
+        named = let(F.transform(told, _piped), lambda rows: F.filter(leveled(rows), lambda e: e["name"] != ""))
+        return F.when(fits, _once(F.concat(root, named))).otherwise(none)
+
+    return let(lines(strip(F.coalesce(text, F.lit("")))), read)
 
 
 # Parents of roots.
