@@ -19,7 +19,8 @@ runs of a phrase side by side.
    parse) by bytes, with the lengths that neighbours have in common, and combines
    both into the order of all strings; equal neighbours repeat.  Phrases alone
    with their core have nothing to be compared with and are not fetched.  The
-   strings of a core with very many phrases are rows of a shuffle instead.
+   strings of a core with very many phrases are put in order by a range sort of
+   their bytes instead.  Rows that repeat (doc_id and text) are fetched once.
 
 Intervals meet their documents at the end.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,12 +207,16 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(size: int):
-    """The bytes of each phrase that a document was asked for."""
+    """The bytes of each phrase that a document was asked for; a row that repeats gives them once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # of rows that repeat one is enough
         for batch in slices(batches, "text", 2 << 20):
             rows: list[tuple] = []
             for text, doc, mark, asked in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "row_hash", "asked")), strict=True):
+                if (doc, mark) in seen:
+                    continue
+                seen.add((doc, mark))
                 for x in asked:
                     start, _, more = unpacked(x["run"])
                     rows.append((x["g"], doc, mark, x["run"], x["state"], text[start : start + more + size]))
@@ -289,6 +294,14 @@ def equal_to_another(back: np.ndarray, left: np.ndarray, right: np.ndarray) -> n
     return twin
 
 
+def _distinct(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows sorted by core and place without those that several tasks fetched."""
+    names = ["g", "doc_id", "row_hash", "run"]
+    table = np.stack([pc.fill_null(rows.column(c), -1).to_numpy(zero_copy_only=False) for c in names] + [rows.column("doc_id").is_null().to_numpy(zero_copy_only=False)])
+    fresh = np.append(True, (table[:, 1:] != table[:, :-1]).any(0))[: rows.num_rows]
+    return rows if fresh.all() else rows.filter(pa.array(fresh))
+
+
 #: Bytes of phrases that are put in order together, about.
 SHARD_BYTES = 2 << 20
 
@@ -298,7 +311,7 @@ def _order_suffixes(size: int, shard: int = SHARD_BYTES):
 
     def matched(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole cores."""
-        held = pa.concat_batches(rows)
+        held = _distinct(pa.concat_batches(rows))
         if held.num_rows < 2:
             return
         place = held.column("run").to_numpy()
@@ -318,7 +331,7 @@ def _order_suffixes(size: int, shard: int = SHARD_BYTES):
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in slices(batches, "bytes", shard):
-            n += pa.compute.sum(pa.compute.binary_length(batch.column("bytes"))).as_py()
+            n += pc.sum(pc.binary_length(batch.column("bytes"))).as_py()
             held.append(batch)
             if n > shard:
                 rows = pa.concat_batches(held)
@@ -327,29 +340,68 @@ def _order_suffixes(size: int, shard: int = SHARD_BYTES):
                 if cut:
                     yield from matched([rows.slice(0, cut)])
                 held = [rows.slice(cut)]
-                n = pa.compute.sum(pa.compute.binary_length(held[0].column("bytes"))).as_py()
+                n = pc.sum(pc.binary_length(held[0].column("bytes"))).as_py()
         if held:
             yield from matched(held)
 
     return run
 
 
-def _hot_suffixes(phrases: DataFrame, size: int) -> DataFrame:
-    """Intervals for phrases of hot cores: every suffix is a row named by core, distance and a hash, equal ones are counted by a shuffle."""
-    digest = xxhash.xxh3_64_intdigest
+SUFFIXES = "g bigint, back bigint, suffix binary, doc_id bigint, row_hash bigint, start bigint"
+SUFFIX_NAMES = ["g", "back", "suffix", "doc_id", "row_hash", "start"]
+
+
+def _suffixes(size: int):
+    """Every string of a phrase as a row, with its core and how far before the trigger it starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "bytes", 1 << 14):
             rows: list[tuple] = []
             for g, doc, mark, place, phrase in zip(*(batch.column(c).to_pylist() for c in ("g", "doc_id", "row_hash", "run", "bytes")), strict=True):
                 start, lead, _ = unpacked(place)
-                rows += [(g, lead - i, digest(phrase[i : i + size], 2) - (1 << 63), doc, mark, start + i) for i in range(len(phrase) - size + 1)]
+                rows += [(g, lead - i, phrase[i : i + size], doc, mark, start + i) for i in range(len(phrase) - size + 1)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["g", "back", "h", "doc_id", "row_hash", "start"])
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=SUFFIX_NAMES)
+
+    return run
+
+
+def _equal_neighbours(size: int):
+    """Strings in corpus order: the intervals of those that equal the one before or behind."""
 
-    suffixes = stored(phrases.mapInArrow(run, "g bigint, back bigint, h bigint, doc_id bigint, row_hash bigint, start bigint"), "hot-suffixes")
-    equal = suffixes.groupBy("g", "back", "h").count().filter("count > 1").drop("count")
-    return suffixes.join(equal, ["g", "back", "h"], "left_semi").select("doc_id", "row_hash", "start", (F.col("start") + size).alias("stop"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row before this batch, not told yet whether it repeats
+        told = False  # it did, by its own neighbour before
+
+        def emitted(rows: pa.RecordBatch, twin: np.ndarray) -> Iterator[pa.RecordBatch]:
+            some = rows.filter(pa.array(twin))
+            if some.num_rows:
+                start = some.column("start")
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("row_hash"), start, pc.add(start, size)], names=["doc_id", "row_hash", "start", "stop"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if last is None else pa.concat_batches([last, batch])
+            same = np.ones(rows.num_rows - 1, bool)
+            for c in ("g", "back", "suffix"):
+                same &= pc.equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            twin = np.append(told, same) | np.append(same, False)
+            yield from emitted(rows.slice(0, rows.num_rows - 1), twin[:-1])
+            last, told = rows.slice(rows.num_rows - 1), bool(twin[-1])
+        if last is not None and told:
+            yield from emitted(last, np.array([True]))
+
+    return run
+
+
+def _hot_suffixes(phrases: DataFrame, size: int) -> DataFrame:
+    """Intervals for phrases of hot cores: their strings are range-sorted by core, distance to the trigger and bytes."""
+    once = phrases.dropDuplicates(["g", "doc_id", "row_hash", "run"])
+    order = ["g", "back", "suffix"]
+    suffixes = stored(once.mapInArrow(_suffixes(size), SUFFIXES), "hot-suffixes")
+    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(SUFFIX_NAMES).mapInArrow(_equal_neighbours(size), INTERVALS)
 
 
 def repeated_intervals(documents: DataFrame, size: int = 200, hot: int = HOT_CORE) -> DataFrame:
@@ -366,7 +418,7 @@ def repeated_intervals(documents: DataFrame, size: int = 200, hot: int = HOT_COR
     asked = asked.withColumnsRenamed({"doc_id": "d", "row_hash": "h"})
     unique = docs.join(asked, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["row_hash"] == F.col("h")))
     phrases = stored(unique.select("text", "doc_id", "row_hash", "asked").mapInArrow(_fetch(size), PHRASES), "phrases")
-    few = phrases.join(crowded, "g", "left_anti").select(*phrases.columns).repartition("g").sortWithinPartitions("g").mapInArrow(_order_suffixes(size), INTERVALS)
+    few = phrases.join(crowded, "g", "left_anti").select(*phrases.columns).repartition("g").sortWithinPartitions("g", "doc_id", "row_hash", "run").mapInArrow(_order_suffixes(size), INTERVALS)
     many = _hot_suffixes(phrases.join(crowded, "g", "left_semi").select(*phrases.columns), size)
     start, more = F.shiftright("run", 20), F.col("run").bitwiseAND(1023)
     whole = runs.filter(F.col("state") != OPEN).select("doc_id", "row_hash", "run").unionByName(settled.filter("kind = 0").select("doc_id", "row_hash", "run"))
@@ -392,8 +444,8 @@ def cut(text: bytes, intervals: list[dict] | None) -> tuple[bytes, int]:
 
 
 def with_intervals(documents: DataFrame, intervals: DataFrame, mark: str = "gone") -> DataFrame:
-    """`documents` with the list of their intervals as column `mark` (null where there is none)."""
-    lists = intervals.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop")).alias(mark))
+    """`documents` with the list of their intervals as column `mark` (null where there is none); copies of a row share one list."""
+    lists = intervals.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "stop")).alias(mark))
     lists = lists.withColumnsRenamed({"doc_id": mark + "_id", "row_hash": mark + "_hash"})
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(mark + "_id")) & (text_hash() == F.col(mark + "_hash"))
     return documents.join(lists, on, "left").drop(mark + "_id", mark + "_hash")

@@ -153,6 +153,25 @@ def test_warc(spark, rows):
     assert warc.archive_report(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_very_often_share_one_list(spark):
+    """5,000 equal rows cost as much a row as two do, and other texts that hold their passages are told from one of them."""
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdef ") for _ in range(3000))
+    other = text[:1500] + "".join(rnd.choice("xyz ") for _ in range(400))
+    rows = [(1, text)] * 5000 + [(2, other), (3, "z" + text[700:1100] + "q" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    intervals = repeats.stored(repeats.repeated_intervals(docs), "intervals")
+    lists = {r.doc_id: len(r.gone) for r in repeats.with_intervals(docs.dropDuplicates(), intervals).collect()}
+    two = spark.createDataFrame(rows[:2] + rows[5000:], "doc_id bigint, text string")
+    alike = {r.doc_id: len(r.gone) for r in repeats.with_intervals(two.dropDuplicates(), repeats.repeated_intervals(two)).collect()}
+    assert lists[1] <= alike[1] + 2 and lists[1] < 100
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = plain.repeats(rows[:2] + rows[5000:])
+    for hot in (repeats.HOT_CORE, 1):
+        got = {tuple(r) for r in repeats.repeat_report(docs, hot=hot).select(columns).collect()}
+        assert got == set(map(tuple, want))
+
+
 def test_repeats_by_bytes_in_corpus_order():
     import numpy as np
 
