@@ -422,9 +422,9 @@ def q22_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-    SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+    SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
       regexp_replace(regexp_replace(html, '<\s*br\s*/?\s*>', ' ', 'gi'), '<[^>]*>', '', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS text FROM pages
+      '&copy;', chr(169)), '&middot;', chr(183)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS text FROM pages
     """
 )
 def q23_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ a prediction and its reference stay in one row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,17 +105,54 @@ def is_csv(text: Column) -> Column:
     return let(full, lambda x: (F.size(x) >= 2) & (F.size(F.filter(x, lambda y: F.contains(y, F.lit(",")))) * 2 >= F.size(x)))
 
 
-# The entities that cells of generated tables hold.
-ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+def _entity_names() -> dict[str, str]:
+    """HTML's entity names, as Python's library has them; those that end in a semicolon."""
+    return {name[:-1]: mark for name, mark in html5.items() if name.endswith(";")}
+
+
+#: JSON of the names, which Spark reads into a literal map once.
+_NAMES = json.dumps(_entity_names(), ensure_ascii=False)
+
+
+def _number_marks() -> dict[int, str]:
+    """Numbers from 128 to 159 stand for what Windows-1252 has there, where it has anything."""
+    marks = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    return {n: mark for n, mark in marks.items() if mark}
+
+
+def _numbered(number: Column) -> Column:
+    """The character of a code point; what is none is U+FFFD."""
+    bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    windows = F.create_map(*[F.lit(x) for n, mark in _number_marks().items() for x in (n, mark)])
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(bad, "\ufffd").when(number.between(128, 159), F.coalesce(windows[number.cast("int")], char)).otherwise(char)
+
+
+def decoded_entities(text: Column) -> Column:
+    """Text with entities as their characters: names with their semicolon, decimal and hexadecimal numbers; unknown ones stay."""
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")
+
+    def mark(part: Column) -> Column:
+        body = F.substring_index(part, ";", 1)
+        rest = F.substring(part, F.length(body) + 2, F.length(part))
+        hexadecimal = F.lower(F.left(body, F.lit(2))) == "#x"
+        digits = F.when(hexadecimal, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body)))
+        valid = F.when(hexadecimal, F.translate(F.lower(digits), "0123456789abcdef", "") == "").otherwise(F.translate(digits, "0123456789", "") == "")
+        number = F.when(F.length(digits) > 15, F.lit(1 << 40)).otherwise(F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
+        char = F.when(body.startswith("#"), F.when(valid & (digits != ""), _numbered(number))).otherwise(names[body])
+        known = F.when(F.length(body) < F.length(part), char)
+        return F.coalesce(F.concat(known, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    decoded = let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, 2, F.size(p)), mark), "")))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def html_text(cell: Column) -> Column:
-    """Text of an HTML fragment: breaks are spaces, tags go, common entities decode, space squeezes."""
+    """Text of an HTML fragment: breaks are spaces, tags go, entities decode, space squeezes."""
     t = F.regexp_replace(cell, "(?i)<\\s*br\\s*/?\\s*>", " ")
     t = F.regexp_replace(t, "(?s)<[^>]*>", "")
-    for name, mark in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(mark))
-    return strip(F.regexp_replace(t, "(?U)\\s+", " "))
+    return strip(F.regexp_replace(decoded_entities(t), "(?U)\\s+", " "))
 
 
 def is_html_table(text: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import query, table
+from .functions import tables
 from .operators import forest, ordered
+from .plans import distinct, results
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
@@ -103,3 +105,63 @@ def q59_longest_progressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's longest run of values with nearly equal steps."""
     runs = ordered.longest_runs(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 4)
     return runs.withColumn("step", F.round("step", 9))
+
+
+@query(
+    """
+    WITH o AS (SELECT o_orderkey, o_orderpriority AS p, o_orderkey % 8 AS k FROM orders)
+    SELECT o_orderkey, CASE WHEN k IN (5, 6) THEN NULL ELSE 'SE_MD' END AS task,
+           CASE k WHEN 0 THEN '| ' || p || ' |' WHEN 1 THEN p WHEN 2 THEN '' WHEN 3 THEN 'said ' || p WHEN 4 THEN '' WHEN 7 THEN p END AS prediction,
+           CASE k WHEN 2 THEN 'no_extract' WHEN 4 THEN 'no_extract' WHEN 5 THEN 'bad_results' WHEN 6 THEN 'bad_results' WHEN 7 THEN 'late' END AS error FROM o
+    UNION ALL SELECT o_orderkey, 'SE_CSV', 'a,b', NULL FROM o WHERE k = 0
+    """
+)
+def q60_variant_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as VARIANT: extracts that are objects, texts, lists, missing or null, with an error, and texts that are no results."""
+    p = F.col("o_orderpriority")
+
+    def said(extract: str, more: str = "") -> Column:
+        return F.replace(F.lit('{"SE_MD": {"answer": "said P"' + extract + "}" + more + "}"), F.lit("P"), p)
+
+    shapes = [
+        said(', "extract": {"extracted_table": "| P |"}', ', "SE_CSV": {"answer": "x", "extract": "a,b"}'), said(', "extract": "P"'), said(', "extract": ["P"]'),
+        said(', "extract": null'), F.lit('{"SE_MD": {"extract": {"other": 1}}}'), F.lit('{"SE_MD": '), F.lit('["SE_MD"]'), said(', "extract": {"extracted_table": "P"}, "error": "late"'),
+    ]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*shapes), (F.col("o_orderkey") % 8).cast("int")).alias("infer_results"))
+    return results.task_results(rows).select("o_orderkey", "task", "prediction", "error")
+
+
+_VIEWS = [["event_type", "day"], ["event_type"], ["day"], []]
+
+
+@query(
+    """
+    SELECT event_type, day, GROUPING(event_type, day)::BIGINT AS view, count(*) AS count, count(DISTINCT user_id) AS exact, true AS near
+    FROM (SELECT *, strftime(ts, '%d') AS day FROM events) GROUP BY GROUPING SETS ((event_type, day), (event_type), (day), ())
+    """
+)
+def q61_distinct_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in every view of a report: exactly, and whether merged sketches come within five per cent or one."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.date_format("ts", "dd").alias("day"), "user_id")
+    exact = distinct.exact_views(rows, _VIEWS, "user_id")
+    about = distinct.estimated_views(distinct.sketched_buckets(rows, ["event_type", "day"], "user_id"), _VIEWS)
+    about = about.select("view", *[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("event_type", "day")], "about").withColumnRenamed("view", "_view")
+    same = (F.col("view") == F.col("_view")) & (F.coalesce("event_type", F.lit("")) == F.col("_event_type")) & (F.coalesce("day", F.lit("")) == F.col("_day"))
+    near = F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return exact.join(about, same, "left").select("event_type", "day", "view", "count", "exact", F.coalesce(near, F.lit(False)).alias("near"))
+
+
+@query(
+    """
+    SELECT p_partkey, 'caf' || chr(233) || ' ' || p_name || ' ' || chr(8211) || ' ' || chr(165) || p_size || ' &unknown; & ' || chr(8364) || ' ' || chr(97 + p_size % 26) || chr(128512) || chr(65533) || ' a&b' AS cell,
+           chr(233) || p_size AS other FROM part
+    """
+)
+def q62_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of an HTML table with entities by name, in decimal and hexadecimal, by Windows numbers, and unknown ones."""
+    part = table(spark, sf_dir, "part")
+    letter = F.concat(F.lit("&#"), 97 + F.col("p_size") % 26, F.lit(";"))
+    cell = F.concat(F.lit("caf&eacute; "), "p_name", F.lit(" &#8211; &yen;"), "p_size", F.lit(" &unknown; &amp; &#128; "), letter, F.lit("&#x1F600;&#xD800; a&b"))
+    html = F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr><tr><td>"), cell, F.lit("</td><td>&#XE9;"), "p_size", F.lit("</td></tr></table>"))
+    row = F.get(tables.html_table(html), F.lit(1))
+    return part.select("p_partkey", row.alias("r")).select("p_partkey", F.get("r", F.lit(0)).alias("cell"), F.get("r", F.lit(1)).alias("other"))
