@@ -548,14 +548,8 @@ def q34_judgement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """
-    SELECT r_name AS root, task, 1.0::DOUBLE AS em, NULL::VARCHAR AS error FROM region, (VALUES ('SE_MERMAID'), ('SE_GRAPHVIZ'), ('SE_D2'), ('SE_CYTOSCAPE'), ('SE_DIAGRAMS'), ('SE_PLANTUML')) v(task)
-    WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
-    """
-)
-def q35_judged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six notations of one graph judged against its Mermaid reference."""
+def in_six_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, reference, task, prediction): each region's graph in the notation of each graph task, with the Mermaid one."""
     made = _regions_as_graphs(spark, sf_dir)
     node = lambda i: F.concat(F.lit("n"), i)
     nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("ns"))
@@ -571,7 +565,18 @@ def q35_judged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = made.join(listed, F.col("r_name") == F.col("root")).withColumns({"diagrams": diagrams, "plantuml": plantuml})
     forms = {"SE_MERMAID": "mermaid", "SE_GRAPHVIZ": "graphviz", "SE_D2": "d2", "SE_CYTOSCAPE": "cytoscape", "SE_DIAGRAMS": "diagrams", "SE_PLANTUML": "plantuml"}
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(c).alias("prediction")) for t, c in forms.items()]))
-    rows = made.select("root", F.col("mermaid").alias("reference"), each.alias("x")).select("root", "reference", "x.*")
+    return made.select("root", F.col("mermaid").alias("reference"), each.alias("x")).select("root", "reference", "x.*")
+
+
+@query(
+    """
+    SELECT r_name AS root, task, 1.0::DOUBLE AS em, NULL::VARCHAR AS error FROM region, (VALUES ('SE_MERMAID'), ('SE_GRAPHVIZ'), ('SE_D2'), ('SE_CYTOSCAPE'), ('SE_DIAGRAMS'), ('SE_PLANTUML')) v(task)
+    WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+    """
+)
+def q35_judged_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six notations of one graph judged against its Mermaid reference."""
+    rows = in_six_notations(spark, sf_dir)
     return judging.score_graphs(rows).select("root", "task", "score.em", F.lit(None).cast("string").alias("error"))
 
 

@@ -257,10 +257,11 @@ def notation(text: Column) -> Column:
         code = lambda x: F.split(x, "[\\s(.]+")
         taken = F.exists(told, lambda x: F.get(code(x), F.lit(0)).isin("from", "import") & (F.get(code(x), F.lit(1)) == "diagrams"))
         drawn = F.exists(told, lambda x: (F.get(code(x), F.lit(0)) == "with") & (F.get(code(x), F.lit(1)) == "Diagram"))
+        joined = F.exists(told, lambda x: F.exists(F.split(x, "\\s+"), lambda w: w.isin(">>", "<<")))
         actions = F.size(F.filter(told, lambda x: x.startswith(":") & x.endswith(";")))
         return (
             F.when((word == "graph") & second.isin(DIRECTIONS), "mermaid")
-            .when(taken | drawn, "diagrams")
+            .when(taken | drawn | joined, "diagrams")
             .when(kinds[word].isNotNull(), kinds[word])
             .when(word.startswith("{") | word.startswith("["), F.when(_elements(text) > 0, "cytoscape"))
             .otherwise(let(F.struct(actions.alias("uml"), _read_by_d2(told).alias("d2")), lambda n: F.when((n["uml"] > 0) & (n["uml"] >= n["d2"]), "plantuml").when(n["d2"] > 0, "d2")))

@@ -1,6 +1,6 @@
 """Charts written as Python: literal tables, and graphs in the diagrams notation.
 
-Only the standard library's syntax tree is read; nothing is run.  These two
+Only the standard library's syntax tree is read; nothing is run.  These
 helpers have no expression in Spark and go through Arrow batches.
 """
 
@@ -13,17 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folding import parsed, values_of
+
 TABLE = "array<array<string>>"
 GRAPH = "struct<nodes:array<struct<id:string,label:string>>,edges:array<struct<src:string,dst:string,label:string>>>"
 
 
-def _tree(code: str | None) -> ast.Module | None:
-    try:
-        return ast.parse(code or "")
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-
-
 def _text(value: object) -> str:
     return f"{value:g}" if isinstance(value, float) and value == int(value) and abs(value) < 1e15 else str(value)
 
@@ -32,19 +27,15 @@ def table_of(code: str | None) -> list[list[str]]:
     """A dict of equal lists, or lists of labels and numbers of one length; else no rows.
 
     Column names are the dict's keys, or the labels of plot calls in order.
+    Values may be computed (see `folding`), and the code may be cut off.
     """
-    tree = _tree(code)
+    tree = parsed(code)
     if tree is None:
         return []
-    found: dict[str, object] = {}
+    found = values_of(tree)
     shown: list[str] = []
     for node in ast.walk(tree):
-        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            try:
-                found[node.targets[0].id] = ast.literal_eval(node.value)
-            except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
-                continue
-        elif isinstance(node, ast.Call):
+        if isinstance(node, ast.Call):
             shown += [k.value.value for k in node.keywords if k.arg == "label" and isinstance(k.value, ast.Constant) and isinstance(k.value.value, str)]
     number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
     for value in found.values():
@@ -68,7 +59,7 @@ def diagram_of(code: str | None) -> dict:
     """Nodes are names bound to calls with a text; `>>`, `<<` and `-` join them, Edge(label=...) names the join."""
     nodes: dict[str, str] = {}
     edges: list[dict] = []
-    tree = _tree(code)
+    tree = parsed(code)
 
     def label_of(call: ast.Call) -> str:
         given = [a for a in call.args if isinstance(a, ast.Constant)] + [k.value for k in call.keywords if k.arg == "label" and isinstance(k.value, ast.Constant)]
@@ -111,6 +102,40 @@ def diagram_of(code: str | None) -> dict:
     return {"nodes": [{"id": k, "label": v} for k, v in nodes.items()], "edges": edges}
 
 
+def _edge_of(x: object) -> tuple[str, str, str] | None:
+    """(from, to, label) of a pair or triple of texts or numbers."""
+    fits = isinstance(x, (list, tuple)) and len(x) in (2, 3) and all(isinstance(v, (str, int, float)) for v in x)
+    return (str(x[0]), str(x[1]), str(x[2]) if len(x) == 3 else "") if fits else None
+
+
+def edge_list_of(code: str | None) -> dict:
+    """The graph in code that holds a list of its edges: pairs, or triples with a label, of names.
+
+    The longest such list counts, a variable with edge in its name before others.
+    A dict of texts or a list of pairs (name, text) beside it that names all ends
+    tells the nodes' labels.
+    """
+    tree = parsed(code)
+    found = values_of(tree) if tree else {}
+    lists = {}
+    for name, value in found.items():
+        edges = [_edge_of(x) for x in value] if isinstance(value, (list, tuple)) else []
+        if edges and all(edges):
+            lists[name] = edges
+    if not lists:
+        return {"nodes": [], "edges": []}
+    chosen = max(lists, key=lambda n: ("edge" in n.lower(), len(lists[n])))
+    ends = list(dict.fromkeys(v for a, b, _ in lists[chosen] for v in (a, b)))
+    labels: dict[str, str] = {}
+    for name, value in found.items():
+        pairs = list(value.items()) if isinstance(value, dict) else value if isinstance(value, (list, tuple)) else []
+        if name != chosen and pairs and all(isinstance(p, (list, tuple)) and len(p) == 2 and isinstance(p[1], str) for p in pairs):
+            told = {str(a): b for a, b in pairs}
+            if set(ends) <= set(told):
+                labels = told
+    return {"nodes": [{"id": v, "label": labels.get(v, v)} for v in ends], "edges": [{"src": a, "dst": b, "label": c} for a, b, c in lists[chosen]]}
+
+
 def _arrow(kind: str, of, type_: pa.DataType):
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -130,3 +155,7 @@ def code_table(code: Column) -> Column:
 
 def code_graph(code: Column) -> Column:
     return _arrow(GRAPH, diagram_of, pa.struct([("nodes", pa.list_(_NODE)), ("edges", pa.list_(_EDGE))]))(code)
+
+
+def code_edges(code: Column) -> Column:
+    return _arrow(GRAPH, edge_list_of, pa.struct([("nodes", pa.list_(_NODE)), ("edges", pa.list_(_EDGE))]))(code)

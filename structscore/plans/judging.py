@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import activity, answers, graphs, json_tables, matching, pies, tables, trees
 from ..functions.text import let, strip, strip_fence
 from ..operators.assignment import graph_similarity, tree_similarity
-from ..operators.code import code_graph, code_table
+from ..operators.code import code_edges, code_graph, code_table
 from ..operators.walks import graph_levels, json_levels
 from .resume import judgement_error
 from .scoring import settled, with_scores, with_triples
@@ -43,10 +43,11 @@ def _better(first: Column, other: Column) -> Column:
 
 def _form(task: Column, text: Column, branch: Column) -> Column:
     """How the prediction of a graph or tree row is read."""
-    graph = F.when(~task.isin(answers.GRAPH_TASKS) | graphs.is_mermaid(text), "mermaid").when(task == "SE_MERMAID", "listed").otherwise(task)
+    graph = F.when((task == "SE_CODE") & ~graphs.is_mermaid(text), "code").when(~task.isin(answers.GRAPH_TASKS) | graphs.is_mermaid(text), "mermaid").when(task == "SE_MERMAID", "listed").otherwise(task)
     tree = (
         F.when(task == "SE_JSON", "json")
         .when(task == "SE_CSV", "adjacency")
+        .when((task == "SE_CODE") & ~trees.is_outline(text), "code")
         .when(task.isin("SE_CODE", "SE_SVG") | trees.is_outline(text), "list")
         .when(graphs.is_mermaid(text), "walk")
         .otherwise("lines")
@@ -64,7 +65,7 @@ def _read(df: DataFrame) -> DataFrame:
         df,
         {
             "_events": F.when(form == "SE_PLANTUML", activity.events(text)),
-            "_mermaid": F.when(form.isin("mermaid", "walk"), graphs.mermaid(text)),
+            "_mermaid": F.when(form.isin("mermaid", "walk", "code"), graphs.mermaid(text)),
             "_values": F.when(table & (task == "SE_JSON"), json_tables.values(text)),
             "_given": F.when(table, F.when(task.isin("SE_CSV", "SE_JSON"), strip_fence(text)).otherwise(text)),
         },
@@ -75,11 +76,14 @@ def _read(df: DataFrame) -> DataFrame:
             "_diagram": code_graph(F.when(form == "SE_DIAGRAMS", text)),
             "_code": code_table(F.when(table & (task == "SE_CODE"), text)),
             "_json": json_levels(F.when(form == "json", strip_fence(text))),
-            "_walk": graph_levels(F.when(form == "walk", F.col("_mermaid"))),
+            "_edges": code_edges(F.when(form == "code", text)),
         }
     )
+    walked = F.when(form == "walk", F.col("_mermaid")).when((form == "code") & (branch == "tree"), F.col("_edges"))
+    df = df.withColumns({"_walk": graph_levels(walked)})
     graph = (
         F.when(form == "mermaid", F.col("_mermaid"))
+        .when(form == "code", F.when(F.size("_edges.edges") > 0, F.col("_edges")).otherwise(F.col("_mermaid")))
         .when(form == "listed", F.coalesce(graphs.in_a_row(graphs.listed_nodes(text)), graphs.mermaid(text)))
         .when(form == "SE_GRAPHVIZ", graphs.dot(text))
         .when(form == "SE_PLANTUML", activity.plantuml(F.col("_events")))
@@ -95,6 +99,7 @@ def _read(df: DataFrame) -> DataFrame:
         F.when(form == "json", else_list(F.col("_json"), 1))
         .when(form == "adjacency", else_list(trees.adjacency_entries(text), 1))
         .when(form == "walk", F.col("_walk"))
+        .when(form == "code", else_list(F.col("_walk"), 1))
         .when(form == "lines", else_list(trees.text_entries(text), 2))
         .when(form == "list", trees.list_entries(text))
     )
@@ -190,3 +195,18 @@ def judge(rows: DataFrame, loose: bool = False) -> DataFrame:
     score = F.when(F.col("_branch").isin("graph", "tree"), F.col("_structure")).when(F.col("_branch") == "table", F.col("_table"))
     score = score.when(F.col("error") == "no_reference", matching.zero_scores())
     return made.select(*rows.columns, score.alias("score"), "error")
+
+
+def read_graphs(df: DataFrame, text: str = "text") -> DataFrame:
+    """`df` with `notation` and `graph` of texts that come without a task: what a text looks like says how it is read.
+
+    Both are null where a text is in no notation; `graph` is empty where its
+    notation's parser finds nothing.
+    """
+    df = settled(df, {"notation": graphs.notation(F.col(text))})
+    of = lambda kind: F.col("notation") == kind
+    df = settled(df, {"_events": F.when(of("plantuml"), activity.events(F.col(text)))}).withColumn("_diagram", code_graph(F.when(of("diagrams"), F.col(text))))
+    graph = F.when(of("plantuml"), activity.plantuml(F.col("_events"))).when(of("diagrams"), F.col("_diagram"))
+    for kind, parse in graphs.PARSERS.items():
+        graph = graph.when(of(kind), parse(F.col(text)))
+    return settled(df, {"graph": graph}).drop("_events", "_diagram")

@@ -1,14 +1,15 @@
-"""Queries for work along an order, trees of any depth, and results kept as VARIANT; they register with the catalog."""
+"""Queries for work along an order, trees of any depth, results kept as VARIANT, code and notations; they register with the catalog."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import query, table
+from .catalog import in_six_notations, query, table
 from .functions import tables
 from .operators import forest, ordered
-from .plans import distinct, results
+from .operators.code import code_table
+from .plans import distinct, judging, results
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
@@ -165,3 +166,54 @@ def q62_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr><tr><td>"), cell, F.lit("</td><td>&#XE9;"), "p_size", F.lit("</td></tr></table>"))
     row = F.get(tables.html_table(html), F.lit(1))
     return part.select("p_partkey", row.alias("r")).select("p_partkey", F.get("r", F.lit(0)).alias("cell"), F.get("r", F.lit(1)).alias("other"))
+
+
+@query(
+    """
+    SELECT p_partkey, 'row ' || i AS line, (i * p_size + 0.5)::DOUBLE AS value, ((i * p_size + 0.5) * 2)::DOUBLE AS twice FROM (SELECT p_partkey, p_size, unnest(range(1, 2 + p_size % 4)) AS i FROM part)
+    """
+)
+def q63_computed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plotting code whose lists are computed: ranges, arithmetic, comprehensions with a condition, names in texts; some of it cut off."""
+    size = F.col("p_size").cast("string")
+    n = (F.col("p_size") % 4 + 2).cast("string")
+    code = F.concat(
+        F.lit("import numpy as np\nstep = "), size, F.lit("\nnames = [f'row {i}' for i in range(1, "), n, F.lit(")]\nvalue = [i * step + 0.5 for i in list(range("), n, F.lit(")) if i > 0]\n"),
+        F.when(F.col("p_partkey") % 2 == 0, "twice = [v * 4 / 2 for v in value]\nplt.bar(names, value)").otherwise("twice = [v + v for v in value"),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", code_table(code).alias("t"))
+    each = rows.select("p_partkey", F.explode(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1)))).alias("r"))
+    return each.select("p_partkey", F.col("r")[0].alias("line"), F.col("r")[1].cast("double").alias("value"), F.col("r")[2].cast("double").alias("twice"))
+
+
+@query("SELECT r_name AS root, k::BIGINT AS k, CASE k WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS em FROM region, range(3) v(k) WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def q64_code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow charts answered as code with a list of edges: with labels beside it, with names as ends, and with other ends."""
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("ns"))
+    rows = table(spark, sf_dir, "region").join(nations, "r_regionkey").select(F.col("r_name").alias("root"), "ns")
+    quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
+    listed = lambda head, item: F.concat(F.lit(head), F.array_join(F.transform("ns", item), ", "))
+    id_ = lambda i: F.concat(F.lit("'n"), i, F.lit("'"))
+    flow = F.concat(F.lit("flowchart TD\n"), F.array_join(F.transform("ns", lambda n, i: F.concat(F.lit("r["), F.col("root"), F.lit("] -->|has| n"), i, F.lit("["), n, F.lit("]"))), "\n"))
+    said = [
+        F.concat(listed("edges = [", lambda n, i: F.concat(F.lit("('r', "), id_(i), F.lit(", 'has')"))), F.lit("]\n"), F.lit("labels = {'r': '"), F.col("root"), F.lit("', "), listed("", lambda n, i: F.concat(id_(i), F.lit(": "), quoted(n))), F.lit("}")),
+        F.concat(F.lit("root = "), quoted(F.col("root")), listed("\nlinks = [(root, n, 'has') for n in [", lambda n, i: quoted(n)), F.lit("]]")),
+        F.lit("edges = [('a', 'b')]"),
+    ]
+    each = rows.select("root", flow.alias("reference"), F.posexplode(F.array(*said)).alias("k", "prediction"))
+    judged = judging.score_graphs(each.withColumn("task", F.lit("SE_CODE")))
+    return judged.select("root", F.col("k").cast("long").alias("k"), "score.em")
+
+
+@query(
+    """
+    SELECT r_name AS root, notation, string_agg(n_name, ',' ORDER BY n_name) AS targets, count(*) AS edges
+    FROM region JOIN nation ON n_regionkey = r_regionkey, (VALUES ('mermaid'), ('graphviz'), ('d2'), ('cytoscape'), ('diagrams'), ('plantuml')) v(notation) GROUP BY ALL
+    """
+)
+def q65_graphs_without_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six notations of one graph without a task: each is told by its looks and read to the same graph."""
+    rows = judging.read_graphs(in_six_notations(spark, sf_dir).select("root", "prediction"), "prediction")
+    labels = F.transform("graph.nodes", lambda n: n["label"])
+    targets = F.array_join(F.array_sort(F.array_except(labels, F.array("root"))), ",")
+    return rows.select("root", "notation", targets.alias("targets"), F.size("graph.edges").cast("long").alias("edges"))
