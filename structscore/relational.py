@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .catalog import in_six_notations, query, table
 from .functions import tables
 from .operators import forest, ordered
 from .operators.code import code_table
 from .plans import distinct, judging, results
+from .sessions import install
+from .shared import scratch
+from .sources import jsonl, versioned
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
@@ -217,3 +221,52 @@ def q65_graphs_without_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.transform("graph.nodes", lambda n: n["label"])
     targets = F.array_join(F.array_sort(F.array_except(labels, F.array("root"))), ",")
     return rows.select("root", "notation", targets.alias("targets"), F.size("graph.edges").cast("long").alias("edges"))
+
+
+@query(
+    """
+    SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS map_strict,
+           round(CASE WHEN o_orderkey % 3 IN (0, 1) THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS map_slight, 1.0::DOUBLE AS map_high FROM orders
+    """
+)
+def q66_sql_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of q03 in SQL alone, by the session's functions and its table of tolerances."""
+    install(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_q66_orders")
+    return spark.sql(
+        """
+        WITH said AS (
+          SELECT o_orderkey, concat('total', 'x', o_orderkey) AS name, o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 1.0D WHEN 1 THEN 1.04D ELSE 1.08D END AS value, o_totalprice AS meant FROM _q66_orders),
+        found AS (
+          SELECT s.o_orderkey, t.name, CAST(near_name(s.name, s.name, t.edits) AND near_number(s.value, s.meant, t.error) AS BIGINT) AS found,
+                 CAST(s.value = s.meant AS BIGINT) AS exact, CASE WHEN s.value = s.meant THEN 1L ELSE 2L END AS both
+          FROM (SELECT *, explode(array('strict', 'slight', 'high')) AS tolerance FROM said) s JOIN tolerances t ON t.name = s.tolerance)
+        SELECT o_orderkey, round(max(averaged(overlap(found, exact * found, both))) FILTER (WHERE name = 'strict'), 6) AS map_strict,
+               round(max(averaged(overlap(found, exact * found, both))) FILTER (WHERE name = 'slight'), 6) AS map_slight,
+               round(max(averaged(overlap(found, exact * found, both))) FILTER (WHERE name = 'high'), 6) AS map_high
+        FROM found GROUP BY o_orderkey
+        """
+    )
+
+
+@query("SELECT 'model-' || (c_custkey % 3) AS model, c_custkey::VARCHAR AS img_path, CASE c_mktsegment WHEN 'BUILDING' THEN '打印' ELSE c_mktsegment END AS img_type FROM customer WHERE c_custkey % 7 <> 0")
+def q67_folders_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines in a folder for each model, read tolerantly: broken lines and report folders are left out, scenes renamed."""
+    said = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("img_path"), F.when(F.col("c_mktsegment") == "BUILDING", "电子印刷").otherwise(F.col("c_mktsegment")).alias("img_type")))
+    lines = table(spark, sf_dir, "customer").select(F.concat(F.lit("model-"), F.col("c_custkey") % 3).alias("folder"), F.when(F.col("c_custkey") % 7 == 0, F.substring(said, 1, 20)).otherwise(said).alias("value"))
+    path = scratch(spark, "models")
+    lines.unionByName(lines.where("folder = 'model-0'").withColumn("folder", F.lit("_reports"))).write.partitionBy("folder").text(path)
+    # partition folders are named folder=...; the readers look one folder deep for *.jsonl
+    read = jsonl.tolerant(spark, f"{path}/folder=*/*.txt", T.StructType([T.StructField(c, T.StringType()) for c in ("img_path", "img_type")]))
+    named = read.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), "folder=([^/]+)/", 1)).replace(jsonl.SCENES, subset=["img_type"])
+    return named.where(~F.col("model").rlike("^[._]")).select("model", "img_path", "img_type")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'again' WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders")
+def q68_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table after three commits, each of which replaces what it names."""
+    path = scratch(spark, "versions")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    for rows in (orders, orders.where("o_orderkey % 3 = 0").withColumn("status", F.lit("new")), orders.where("o_orderkey % 5 = 0").withColumn("status", F.lit("again"))):
+        versioned.upsert(rows, path, ["o_orderkey"], ["status"], 8)
+    return versioned.read(spark, path)
