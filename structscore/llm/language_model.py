@@ -18,8 +18,9 @@ root holds; the totals of frequent contexts go the same way.  At the end a shard
 answers the blocks with one probability a pair, and the blocks, read once more,
 sum them over their texts.  Every array is bounded by the shard's or block's
 size, and their number grows with the input; no row is sent without a pair, so
-there are never more rows than pairs.  Only counts of the whole corpus (a few
-numbers per owner and shard) and a count sketch of fixed size reach the driver.
+there are never more rows than pairs.  Frequent contexts are those words whose
+exact count is above a limit; there are at most tokens / limit of them, a checked
+number.  These and a row of sums an exchange are all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ from .seating import Seats, Weights, discount_sum, draw_parameters, sweep, theta
 END = np.uint64(0)
 
 BLOCK_TOKENS, SHARD_TOKENS, OWNER_SHARDS = 3 << 19, 3 << 20, 8
-SKETCH = 1 << 14
+
+#: Contexts with more tokens are spread by dish, for a share of a shard each; most of these that tasks are told of.
+CONTEXT_TOKENS, MOST_FREQUENT = SHARD_TOKENS // 4, 1 << 23
 
 (PAIRS, TEXTS, STATE, FULL, ANSWER, ASK, INDEX, REST, ROOT, REPLY, TABLES, LAST, CONSTANT, NUMBERS) = range(14)
 
@@ -139,33 +142,61 @@ def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % folds == fold
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(SKETCH, np.int64)
-    for batch in slices(batches, "text", 16 << 20):
-        seen: dict[bytes, int] = {}
-        get = seen.get
-        for text in batch.column("text").to_pylist():
-            for w in text.lower().split():
-                seen[w] = get(w, 0) + 1
-        h = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
-        np.add.at(cells, (mixed(h, 5) % np.uint64(SKETCH)).astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
-        cells[int(mixed(np.array([END]), 5)[0] % np.uint64(SKETCH))] += batch.num_rows
-    full = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cells[full])], names=["cell", "n"])
+def _told(share: float):
+    """Words of a task's texts that may be frequent, with how often they came; the number of all tokens as word -1.
+
+    A word that makes up more than `share` of the corpus makes up as much of some
+    tasks' texts; what tasks leave out of a word is under that share of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 16 << 20):
+            seen: dict[bytes, int] = {}
+            get = seen.get
+            for text in batch.column("text").to_pylist():
+                for w in text.lower().split():
+                    seen[w] = get(w, 0) + 1
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            total = int(n.sum()) + batch.num_rows  # with the ends
+            often = np.flatnonzero(n >= total * share)
+            words = list(seen)
+            h = np.fromiter((word_hash(words[i]) for i in often.tolist()), np.int64, len(often))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, [int(END), -1])), pa.array(np.append(n[often], [batch.num_rows, total]))], names=["word", "n"])
+
+    return run
+
+
+def frequent_contexts(texts: DataFrame, limit: int = CONTEXT_TOKENS) -> tuple[int, Ways]:
+    """The number of tokens, and the words (by hash) that come more than about `limit` times, over how many parts each is spread.
+
+    Counts are exact but for a quarter of the limit at most, so every word above
+    it is found and none under three quarters.
+    """
+    least = texts.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(1.0))).first()[0]  # no more tokens than this
+    share = min(1.0, limit / 4 / max(least, 1.0))
+    counts = texts.select("text").mapInArrow(_told(share), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.where((F.col("word") < 0) | (F.col("n") > limit * 3 // 4)).limit(MOST_FREQUENT + 2).collect()
+    if len(found) > MOST_FREQUENT + 1:
+        raise ValueError(f"more than {MOST_FREQUENT} words come over {limit} times: raise SHARD_TOKENS with the memory of executors")
+    told = {r.word: r.n for r in found}
+    tokens = told.pop(-1, 0)
+    words = np.array(sorted(told), np.int64).astype(np.uint64)
+    return tokens, Ways(words, np.array([max(2, math.ceil(told[int(w)] / limit)) for w in words], np.uint64))
 
 
-def _ways(cells: np.ndarray) -> np.ndarray:
-    """Over how many parts a context's dishes are dealt, by its cell of the sketch."""
-    return np.maximum(1, np.ceil(cells / (SHARD_TOKENS / 4))).astype(np.uint64)
+class Ways:
+    """Over how many parts a context's dishes are dealt: one but for the words that are listed."""
 
+    def __init__(self, words: np.ndarray, ways: np.ndarray):
+        self.words, self.ways = np.append(words, np.uint64(np.iinfo(np.uint64).max)), np.append(ways, np.uint64(1))
 
-def _cell(words: np.ndarray) -> np.ndarray:
-    return (mixed(words, 5) % np.uint64(SKETCH)).astype(np.int64)
+    def of(self, words: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, words)
+        return np.where(self.words[at] == words, self.ways[at], np.uint64(1))
 
 
-def _pairs(shards: int, cells: np.ndarray, texts: bool):
+def _pairs(shards: int, ways: Ways, texts: bool):
     """Blocks of texts to a row per shard with the block's word pairs, or to a row with the block's texts by pair."""
-    ways = _ways(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = number = 0
@@ -203,7 +234,7 @@ def _pairs(shards: int, cells: np.ndarray, texts: bool):
     return run
 
 
-def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], shards: int, ways: np.ndarray, texts: bool) -> Iterator[Row]:
+def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], shards: int, ways: Ways, texts: bool) -> Iterator[Row]:
     # words by the order of their hashes, so that pairs stand alike in every block
     names, rank = np.unique(np.concatenate(([END], np.fromiter(map(word_hash, words), np.uint64, len(words)))), return_inverse=True)
     owner = np.repeat(np.arange(len(ids)), [len(x) - 1 for x in ids])
@@ -217,7 +248,7 @@ def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: li
     pair = np.flatnonzero(np.concatenate(([True], (keys[1:] >> np.uint64(18)) != (keys[:-1] >> np.uint64(18)))))
     posts = np.diff(np.append(pair, len(keys)))
     v, w = (keys[pair] >> np.uint64(41)).astype(np.int64), (keys[pair] >> np.uint64(18) & np.uint64((1 << 23) - 1)).astype(np.int64)
-    k = ways[_cell(names)][v]
+    k = ways.of(names)[v]
     part = np.where(k > 1, mixed(mixed(names, 6)[w] % k, 7), np.uint64(0))
     shard = (mixed(names[v] ^ part, 8) % np.uint64(shards)).astype(np.int64)
     text = (keys & np.uint64((1 << 18) - 1)).astype(np.int64)
@@ -268,9 +299,8 @@ def _places(*owner: np.ndarray) -> Iterator[tuple[int, ...]]:
         yield o, *(at[(at >= a) & (at < b)] - a for a, b in zip(edges, edges[1:], strict=False))
 
 
-def _first(owners: int, cells: np.ndarray):
+def _first(owners: int, ways: Ways):
     """A shard's pairs of all blocks to: its state for the sweeps, what the end needs, and questions to the owners."""
-    ways = _ways(cells)
 
     def handle(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[Row]:
         blobs = [(part, load(data)) for _, part, data in rows]
@@ -306,7 +336,7 @@ def _first(owners: int, cells: np.ndarray):
         dish_t = np.bincount(dish, count > 0, len(dish_w)).astype(np.int64)
         ctx_c = np.bincount(context, count, len(context_w)).astype(np.int64)
         single = np.bincount(context, count == 1, len(context_w)).astype(np.int64)
-        split = np.flatnonzero(ways[_cell(words[context_w])] > 1)
+        split = np.flatnonzero(ways.of(words[context_w]) > 1)
         d_owner, s_owner = _owners(words[dish_w], owners), _owners(words[context_w[split]], owners)
         yield shard, STATE, 0, dump(
             narrow(np.diff(context[many], prepend=0)), narrow(dish[many]), narrow(count[many]), narrow(ctx_c), narrow(single),
@@ -564,6 +594,19 @@ def _per_text(tokens: int, words: int):
     return run
 
 
+def _summed(n: int):
+    """The numbers of a task's shards or owners, added up by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                total += load(data)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total)], names=["i", "x"])
+
+    return run
+
+
 def score_texts(documents: DataFrame, samples: int = 3, burn_in: int = 3, rounds: int = 8, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row.
 
@@ -572,14 +615,12 @@ def score_texts(documents: DataFrame, samples: int = 3, burn_in: int = 3, rounds
     come.  Without training documents every word is unknown.  `burn_in` sweeps
     come before the `samples` that are averaged; in a sweep each pair has
     `rounds` / 2 customers reseated, and one exchange of tables.  The rows are
-    read twice and must come in the same partitions and order, as a table's do;
-    else the query fails.
+    read three times and must come in the same partitions and order, as a
+    table's do; else the query fails (write what follows a shuffle first).
     """
     texts = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    cells = np.zeros(SKETCH, np.int64)
-    for r in texts.select("text").mapInArrow(_sketch, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH rows at most
-        cells[r.cell] = r.n
-    shards = max(1, math.ceil(int(cells.sum()) / SHARD_TOKENS))
+    tokens, ways = frequent_contexts(texts)
+    shards = max(1, math.ceil(tokens / SHARD_TOKENS))
     owners = math.ceil(shards / OWNER_SHARDS)
     rng = np.random.default_rng(seed)
 
@@ -587,10 +628,13 @@ def score_texts(documents: DataFrame, samples: int = 3, burn_in: int = 3, rounds
         return rows.filter(F.col("kind").isin(*kinds))
 
     def counted(rows: DataFrame, n: int) -> np.ndarray:
-        found = [load(bytes(r.data))[0] for r in of(rows, NUMBERS).select("data").collect()]  # a few numbers per shard or owner
-        return np.sum(found, 0) if found else np.zeros(n)
+        sums = of(rows, NUMBERS).select("data").mapInArrow(_summed(n), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(n)
+        for r in sums:
+            out[r.i] = r.x
+        return out
 
-    first = stored(grouped(texts.mapInArrow(_pairs(shards, cells, False), ROWS), _first(owners, cells)), "shards", "uncompressed")
+    first = stored(grouped(texts.mapInArrow(_pairs(shards, ways, False), ROWS), _first(owners, ways)), "shards", "uncompressed")
     once, twice = counted(first, 2)
     begun = stored(grouped(of(first, ASK, CONSTANT), _answer(0, None, seed, rounds)), "answers", "uncompressed")
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
@@ -622,7 +666,7 @@ def score_texts(documents: DataFrame, samples: int = 3, burn_in: int = 3, rounds
         told, final = told.unionByName(of(answered, LAST)), final.unionByName(of(swept, TABLES))
     with_parameters = {k: numbers[k].under(numbers[k - 1]) for k in drawn}
     scored = grouped(final.unionByName(grouped(told, _at_end(list(drawn)))), _score(list(drawn), with_parameters))
-    rows = scored.unionByName(texts.mapInArrow(_pairs(shards, cells, True), ROWS))
+    rows = scored.unionByName(texts.mapInArrow(_pairs(shards, ways, True), ROWS))
     by_text = rows.repartition("key").sortWithinPartitions("key", "kind", "part").mapInArrow(_per_text(numbers[0].tokens, numbers[0].words), PER_TEXT)
     whole = by_text.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -169,12 +169,13 @@ def counted(rows):
 
 def in_process(texts: list[tuple[int, str]], shards: int, owners: int, burn_in: int, samples: int, fixed: tuple[float, float]):
     """The steps of score_texts on lists of rows, with fixed parameters: pairs of (pair hash names, log10 probability)."""
-    cells = np.zeros(lm.SKETCH, np.int64)
+    ways = lm.Ways(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([i for i, _ in texts], pa.int64()), pa.array([t.encode() for _, t in texts])], names=["uid", "doc_id", "text"])
     if shards > 1:
-        cells[:] = lm.SHARD_TOKENS  # all contexts are dealt by dish
-    rows = [r for texts_too in (False, True) for b in lm._pairs(shards, cells, texts_too)(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in lm.ROWS.fieldNames()), strict=True)]
-    first = through(lm._first(owners, cells), of(rows, lm.PAIRS))
+        known = np.unique(np.array([int(lm.END), *[lm.word_hash(w) for _, t in texts for w in t.lower().encode().split()]], np.uint64))
+        ways = lm.Ways(known, np.full(len(known), 4, np.uint64))  # all contexts are dealt by dish
+    rows = [r for texts_too in (False, True) for b in lm._pairs(shards, ways, texts_too)(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in lm.ROWS.fieldNames()), strict=True)]
+    first = through(lm._first(owners, ways), of(rows, lm.PAIRS))
     begun = through(lm._answer(0, None, 1, 8), of(first, lm.ASK, lm.CONSTANT))
     numbers = {0: lm.Numbers(counted(begun), fixed, fixed)}
     answers, seats, kept = begun, [], []
@@ -208,3 +209,43 @@ def test_scores_are_those_of_a_sampler_one_customer_at_a_time(shards, owners):
         tokens = dict(texts)[r["doc_id"]].split()
         exact = sum(math.log10(want[v, w]) for v, w in zip(["", *tokens], [*tokens, ""], strict=True))
         assert abs(r["score"] - exact) < 0.02 * (len(tokens) + 1), (r, exact)
+
+
+def test_frequent_contexts_are_counted_exactly(spark, monkeypatch):
+    """Every word above the limit is found in any cut of the texts, and no word under three quarters of it."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 400) if i < 10**6) for _ in range(300)] + ["rare"] * 50
+    df = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    exact = Counter(w for t in texts for w in t.split())
+    for limit, parts in ((500, 1), (500, 7), (60, 3), (10**9, 2)):
+        tokens, ways = lm.frequent_contexts(df.repartition(parts), limit)
+        assert tokens == sum(exact.values()) + len(texts)
+        names = {lm.word_hash(w.encode()): n for w, n in exact.items()} | {int(lm.END): len(texts)}
+        found = set(ways.words[:-1].tolist())
+        assert {h for h, n in names.items() if n > limit} <= found and all(names[h] > limit * 3 / 4 - 1 for h in found)
+        assert (ways.of(np.array(sorted(names), np.uint64)) > 1).sum() == len(found)
+    monkeypatch.setattr(lm, "MOST_FREQUENT", 1)
+    with pytest.raises(ValueError, match="SHARD_TOKENS"):
+        lm.frequent_contexts(df, 60)
+    assert lm.frequent_contexts(df.limit(0))[0] == 0
+
+
+def test_the_average_context_is_not_split_however_large_the_corpus():
+    """A word's parts depend on its own count alone."""
+    ways = lm.Ways(np.array([5, 9], np.uint64), np.array([2, 40], np.uint64))
+    assert ways.of(np.array([1, 5, 7, 9, 2**55], np.uint64)).tolist() == [1, 2, 1, 40, 1]
+
+
+def test_split_contexts_score_as_whole_ones(spark, monkeypatch):
+    """With a low limit most contexts are spread over shards; held-out scores stay those of whole ones, but for the sampler's noise."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k % 40}" for k in rng.zipf(1.5, 120))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    whole = {r.doc_id: r for r in lm.score_texts(df).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(lm.frequent_contexts, "__defaults__", (500,))
+    split = {r.doc_id: r for r in lm.score_texts(df).collect()}
+    assert all(whole[i][c] == split[i][c] for i in whole for c in ("n_tokens", "n_known", "train_tokens"))
+    assert all(abs(whole[i].base_score - split[i].base_score) < 1e-6 for i in whole)
+    total = lambda x: sum(r.score for r in x.values())
+    assert abs(total(split) / total(whole) - 1) < 0.02
