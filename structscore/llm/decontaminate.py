@@ -144,16 +144,20 @@ class ItemAutomaton:
 
 
 def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[ItemAutomaton]:
-    """Automata of at most `most` words each (a longer item has one of its own)."""
+    """Automata of at most `most` words each; a longer item is cut into parts that share all but one word of a window."""
     held: list[tuple[str, list[bytes]]] = []
     n = 0
+    most = max(most, 2 * window)
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), text_bytes().alias("t")).toLocalIterator():
-        words = words_of(bytes(row.t))
-        if held and n + len(words) > most:
-            yield ItemAutomaton(held, window)
-            held, n = [], 0
-        held.append(("" if row.i is None else row.i, words))
-        n += len(words)
+        whole = words_of(bytes(row.t))
+        # every window lies in a part, and no part is shorter than a window unless the item is
+        for at in range(0, max(1, len(whole) - window + 1), most - window + 1):
+            words = whole[at : at + most]
+            if held and n + len(words) > most:
+                yield ItemAutomaton(held, window)
+                held, n = [], 0
+            held.append(("" if row.i is None else row.i, words))
+            n += len(words)
     yield ItemAutomaton(held, window)
 
 
@@ -212,7 +216,7 @@ def match_items(
     every = first
     for p in rest:
         every = every.unionByName(p)
-    rows = first.groupBy("doc_id", "row_hash").count().withColumnRenamed("count", "copies")
+    rows = docs.groupBy("doc_id", "row_hash").count().withColumnRenamed("count", "copies")
     merged = (
         stored(every, "decontaminate")
         .groupBy("doc_id", "row_hash")
@@ -249,7 +253,12 @@ def _bits_set(mask: bytes) -> int:
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """Counts per document; contaminated: a word hit, and at least 1 in `share` words."""
+    """Counts per document; contaminated: a word hit, and at least 1 in `share` words.
+
+    A null or empty text has no words and isn't contaminated; rows that repeat
+    are reported each; an empty table has no rows, an empty benchmark hits
+    nothing.  Other columns play no part, whatever their names.
+    """
     matched = match_items(documents, benchmark, window)
     out = T.StructType(
         [T.StructField("doc_id", T.LongType())]

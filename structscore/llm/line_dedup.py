@@ -216,7 +216,12 @@ def with_drops(documents: DataFrame, drops: DataFrame, mark: str) -> DataFrame:
 
 
 def line_report(documents: DataFrame, min_chars: int = 40, min_documents: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the digest of what is kept, one row per row."""
+    """doc_id, n_lines, n_dropped and the digest of what is kept, one row per row.
+
+    A null or empty text is one empty line; a null doc_id holds lines like any
+    other, and less than all; rows that repeat lose alike; an empty table has no
+    rows.  Other columns play no part.
+    """
     out = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),

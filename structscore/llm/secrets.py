@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from .quality import words
 
-#: A run of characters that keys, tokens and digests are written in.
-CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
+#: A token of three parts with dots between, whose first begins with eyJ.
+TOKEN = "eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}(?:\\.[A-Za-z0-9_-]+)?"
+#: Such a token, or a run of characters that keys, tokens and digests are written in, up to one.
+CANDIDATE = f"{TOKEN}|(?:(?!{TOKEN})[A-Za-z0-9+/_=-]){{16,}}"
 
 # Words that stand in identifiers, paths and prose rather than in keys.
 DICTIONARY = (
@@ -238,7 +240,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, start: int =
         (1, prose, F.concat(secret_name, F.lit(":")), bare(F.substring(base, 1, 24))),
         (1, prose, prose2, F.concat(F.lit("AKIA"), F.upper(F.substring(base, 1, 16)), tail)),
         (1, prose, prose2, F.concat(F.lit("ghp_"), F.substring(base, 1, 36), tail)),
-        (1, F.lit("Authorization:"), F.lit("Bearer"), F.concat(F.lit("eyJ"), F.substring("b", 1, 70), tail)),
+        (1, F.lit("Authorization:"), F.lit("Bearer"), F.concat(F.lit("eyJ"), F.substring(base, 1, 30), F.lit(".eyJ"), F.substring(base, 20, 40), F.lit("."), F.substring(base, 30, 43), tail)),
+        (1, prose, prose2, F.concat(F.lit("eyJ"), F.substring(base, 5, 30), F.lit(".eyJ"), F.substring(base, 24, 40), F.lit("."), F.substring(base, 34, 43), tail)),
         (1, secret_name, F.lit("="), quoted(hex64)),
         (1, secret_name, equals, quoted(short)),
         (1, prose, F.concat(secret_name, F.lit(":")), short),
@@ -281,9 +284,20 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 9, seed: int = 7) -
     return PipelineModel([gather, forest.fit(gather.transform(rows))])
 
 
+_MODELS: dict[tuple, PipelineModel] = {}
+
+
+def default_model(spark: SparkSession, rows: int = TRAINING_ROWS) -> PipelineModel:
+    """The forest of `labelled_findings`, trained once in an application."""
+    name = spark.sparkContext.applicationId, rows
+    if name not in _MODELS:
+        _MODELS[name] = train(labelled_findings(spark, rows))
+    return _MODELS[name]
+
+
 def scan(documents: DataFrame, model: PipelineModel | None = None, path: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """Every candidate with its score and verdict; false ones stay as rows with is_secret false."""
-    model = model or train(labelled_findings(documents.sparkSession))
+    model = model or default_model(documents.sparkSession)
     scored = model.transform(features(findings(documents, path)))
     score = F.round(vector_to_array("probability")[1], 6)
     return scored.select("doc_id", "word_at", "nth", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))

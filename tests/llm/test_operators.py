@@ -153,6 +153,21 @@ def test_warc(spark, rows):
     assert warc.archive_report(df.limit(0)).count() == 0
 
 
+def test_items_longer_than_an_automaton_are_cut(spark):
+    """A long item's windows are all found, once, whatever parts it is cut into."""
+    rnd = random.Random(7)
+    words = [f"w{rnd.randrange(30)}" for _ in range(900)]
+    items = [(1, " ".join(words)), (2, "one two three"), (3, " ".join(words[100:112]))]
+    docs = [(i, " ".join([*words[a : a + n], "zzz", *words[b : b + 40]])) for i, (a, n, b) in enumerate([(0, 13, 500), (20, 12, 860), (895, 5, 0), (300, 200, 301), (887, 13, 40)])] + [(9, "one two three"), (10, None)]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    frame_ = spark.createDataFrame(docs, "doc_id bigint, text string")
+    matched = [decontaminate.match_items(frame_, benchmark, max_automaton_words=n) for n in (26, 27, 100, 10_000)]
+    rows = [sorted((r.doc_id, r.n_words, bytes(r.hit), tuple(r.items)) for r in m.collect()) for m in matched]
+    assert rows[0] == rows[1] == rows[2] == rows[3]
+    same(decontaminate.contamination_report(frame_, benchmark), columns, plain.contamination(docs, items))
+
+
 def test_rows_that_repeat_very_often_share_one_list(spark):
     """5,000 equal rows cost as much a row as two do, and other texts that hold their passages are told from one of them."""
     rnd = random.Random(2)

@@ -93,3 +93,16 @@ def test_runs_and_features_by_brute_force(spark):
     for r in rows:
         for name, value in plain_features(r.word, r.candidate, r.again, r.before, r.before2, r.path).items():
             assert abs(r[name] - value) < 1e-9, (r.word, name, r[name], value)
+
+
+def test_tokens_with_dots_are_one_candidate(spark):
+    """A token of three parts that no name announces is one finding, and the words around it are none."""
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6Ikpv.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    docs = spark.createDataFrame([(1, f"see {token}, or"), (2, f"x={token}"), (3, "eyJ is short. So is eyJab.cd"), (4, "a." * 20)], "doc_id bigint, text string")
+    found = secrets.scan(docs, path=None).collect()
+    assert {(r.doc_id, r.candidate) for r in found} == {(1, token), (2, token)}
+    assert all(r.is_secret for r in found if r.candidate == token)
+
+
+def test_the_default_forest_is_trained_once(spark):
+    assert secrets.default_model(spark, 500) is secrets.default_model(spark, 500)
