@@ -9,22 +9,27 @@ from structscore.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that keep all quality rules.  Null and empty texts go; rows that repeat are judged each; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many hold, except in the largest doc_id.  A null text stays null; rows that repeat keep and lose alike."""
     return line_dedup.drop_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, rows that repeat included.  Texts without words are a group; an empty table stays empty."""
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without what benchmark items share with them; contaminated ones go.  A null text stays; an empty benchmark changes nothing."""
     return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences.  Null and empty texts are their end id alone; rows that repeat are packed each."""
     return packing.pack(docs)
 
 
