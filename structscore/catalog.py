@@ -515,7 +515,7 @@ def q30_family_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q31_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring equal messages as one."""
-    return resume.run_lengths(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+    return ordered.run_lengths(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
 
 
 @query(
@@ -771,11 +771,9 @@ def q45_json_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def q46_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an order's quantities only rise or only fall."""
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("l"))
-    said = F.transform("l", lambda x: F.concat(x["l_quantity"].cast("string"), F.lit("%")))
-    return each.select("l_orderkey", text.strictly_monotonic(said).alias("monotonic"))
+    """Whether an order's quantities only rise or only fall, whatever the number of its lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return ordered.monotonic(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity")
 
 
 @query(

@@ -176,3 +176,27 @@ def longest_runs(rows: DataFrame, keys: list[str], order: str, value: str, toler
     runs = arithmetic_runs(rows, keys, order, value, tolerance)
     best = F.max_by(F.struct("start", "n", "first", "step"), F.struct("n", -F.col("start")))
     return runs.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+
+
+def monotonic(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """For each key, whether its values in order only rise or only fall: keys and `monotonic`.
+
+    A key with one row isn't, nor is one with a null among its values.
+    """
+    line = lined(rows.select(*keys, *order, F.col(value).alias("_value")), [*keys, *order])
+    line = with_previous(line, keys, order, {"_last": F.col("_value"), "_any": F.lit(True)})
+    steps = lambda up: F.bool_and(F.col("_any").isNull() | F.coalesce(up, F.lit(False)))
+    one_way = steps(F.col("_value") > F.col("_last")) | steps(F.col("_value") < F.col("_last"))
+    return line.groupBy(*keys).agg(((F.count("*") >= 2) & one_way).alias("monotonic"))
+
+
+def run_lengths(rows: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
+    """Neighbouring equal messages of a key as one, with how often it came; nulls are equal, `order` is unique in a key."""
+    at = [*keys, order]
+    line = with_previous(lined(rows.select(*at, message), at), keys, [order], {"_last": F.col(message), "_any": F.lit(1)})
+    fresh = F.col("_any").isNull() | ~F.col(message).eqNullSafe(F.col("_last"))
+    line = stored(line.withColumn("_fresh", fresh.cast("long")), "runs")
+    runs = with_total(line, at, F.col("_fresh"), "_run").withColumn("_run", F.col("_run") + F.col("_fresh"))
+    out = runs.groupBy(*keys, "_run").agg(F.min(order).alias(order), F.first(message).alias(message), F.count("*").alias("times"))
+    text = F.when(F.col("times") > 1, F.concat(F.col(message), F.lit(" [Repeat x"), F.col("times").cast("string"), F.lit("]"))).otherwise(F.col(message))
+    return out.select(*keys, order, text.alias(message), "times")

@@ -121,6 +121,25 @@ def test_arithmetic_runs(spark, tolerance):
     assert {r.key: (r.start, r.n, r.first, r.step) for r in ordered.longest_runs(df, ["key"], "at", "v", tolerance).collect()} == best
 
 
+def test_monotonic_keys_and_runs_of_messages(spark, sides):
+    rnd = random.Random(11)
+    rows = [("up", i, i, "m") for i in range(50)] + [("down", i, -i, "m") for i in range(50)] + [("flat", 0, 1, None), ("flat", 1, 1, None), ("one", 0, 1, "x"), ("null", 0, 1, "x"), ("null", 1, None, None), ("null", 2, 3, "x")]
+    rows += [("mix", i, rnd.randrange(5), rnd.choice("aab")) for i in range(80)]
+    df = spark.createDataFrame(rows, "key string, at long, v long, m string").repartition(3)
+    assert {r.key: r.monotonic for r in ordered.monotonic(df, ["key"], ["at"], "v").collect()} == {"up": True, "down": True, "flat": False, "one": False, "null": False, "mix": False}
+    want = []
+    for key in ("up", "down", "flat", "one", "null", "mix"):
+        own, k = [(a, m) for q, a, _, m in rows if q == key], 0
+        while k < len(own):
+            n = 1
+            while k + n < len(own) and own[k + n][1] == own[k][1]:
+                n += 1
+            m = own[k][1]
+            want.append((key, own[k][0], m if n == 1 or m is None else f"{m} [Repeat x{n}]", n))
+            k += n
+    assert Counter(map(tuple, ordered.run_lengths(df, ["key"], "at", "m").collect())) == Counter(want)
+
+
 def test_trees(spark):
     """Odd rows: orphans, own parents, circles and what hangs on them, repeated and null ids."""
     rows = [(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 99, "orphan"), (5, 4, "e"), (6, 6, "self"), (7, 6, "g"), (8, 9, "circle"), (9, 10, "circle"), (10, 8, "circle"), (11, 10, "hangs"), (None, 1, "null"), (2, 1, "b"), (3, 5, "c"), (12, 3, None)]
