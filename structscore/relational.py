@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import in_six_notations, query, table
-from .functions import tables
+from .functions import graphs, tables, text, trees
 from .operators import forest, ordered
 from .operators.code import code_table
-from .plans import distinct, judging, results
+from .plans import distinct, judging, results, scoring
 from .sessions import install
 from .shared import scratch
 from .sources import jsonl, versioned
@@ -270,3 +270,69 @@ def q68_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for rows in (orders, orders.where("o_orderkey % 3 = 0").withColumn("status", F.lit("new")), orders.where("o_orderkey % 5 = 0").withColumn("status", F.lit("again"))):
         versioned.upsert(rows, path, ["o_orderkey"], ["status"], 8)
     return versioned.read(spark, path)
+
+
+@query("SELECT s_suppkey, s_name || ' x' || translate((s_suppkey % 100)::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') || ' kg m²' AS plain FROM supplier")
+def q69_plain_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas in names as plain text: dollar signs and text commands go, powers are raised."""
+    said = F.concat(F.col("s_name"), F.lit(" $ x^{"), F.col("s_suppkey") % 100, F.lit("} $  \\mathrm{kg} m^2"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.plain_formula(said).alias("plain"))
+
+
+def _triples(*keys: Column) -> Column:
+    """Triples of a name and the column v, valued by place."""
+    return F.array(*[tables.triple(k, F.lit("v"), F.lit(str(i))) for i, k in enumerate(keys)])
+
+
+def _told(triples: Column) -> Column:
+    return F.array_join(F.array_sort(F.transform(triples, lambda t: F.concat_ws("|", t["k0"], t["k1"]))), ";")
+
+
+@query(
+    """
+    WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k, lower(s_name) AS n, 'v' AS v FROM supplier),
+    keys AS (
+      SELECT s_suppkey, unnest(CASE k WHEN 0 THEN [n || '-q1', n || '-q3'] WHEN 1 THEN [n || '-sales', n || ' b-sales'] WHEN 2 THEN ['all-' || n, 'all-b ' || n] ELSE [n] END) AS name, v FROM s)
+    SELECT s_suppkey, string_agg(least(name, v) || '|' || greatest(name, v), ';' ORDER BY least(name, v) || '|' || greatest(name, v)) AS keys FROM keys GROUP BY s_suppkey
+    """
+)
+def q70_keys_brought_in_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a prediction brought in line with its reference: a box's subject, a shared ending, a shared beginning, outliers that nobody asked for."""
+    n = F.lower("s_name")
+    second = F.concat(n, F.lit(" b"))
+    with_ = lambda a, b: (F.concat(*[F.lit(x) if isinstance(x, str) else x for x in a]), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in b]))
+    boxes, ends, begins = with_((n, "-q1"), (n, "-q3")), with_((n, "-sales"), (second, "-sales")), with_(("all-", n), ("all-b ", n))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", n.alias("n"), second.alias("b"), (F.col("s_suppkey") % 4).alias("k"), *[_triples(*x).alias(name) for name, x in (("box", boxes), ("end", ends), ("begin", begins))])
+    bare, both = _triples(F.lit("-q1"), F.lit("-q3")), _triples(F.col("n"), F.col("b"))
+    names = {"end": F.array(F.concat("n", F.lit("-sales")), F.concat("b", F.lit("-sales"))), "begin": F.array(F.concat(F.lit("all-"), "n"), F.concat(F.lit("all-b "), "n"))}
+    front = F.concat(F.lit("b "), "n")
+    said = {"end": (both, F.array("n", "b")), "begin": (_triples(F.col("n"), front), F.array(F.col("n"), front))}
+    shared = {c: tables.with_shared(*said[c], x, tables.shared_length(x, c == "end"), c == "end") for c, x in names.items()}
+    made = (
+        F.when(F.col("k") == 0, tables.with_subject(bare, tables.box_subjects(F.col("box"))))
+        .when(F.col("k") == 1, shared["end"])
+        .when(F.col("k") == 2, shared["begin"])
+        .otherwise(tables.without_optional(_triples(F.col("n"), F.lit("outlier 1"), F.lit("离散点")), _triples(F.col("n"))))
+    )
+    return rows.select("s_suppkey", _told(made).alias("keys"))
+
+
+@query("SELECT c_custkey, c_name || '/>' || c_mktsegment || '/>>' || c_nationkey || ' x/>next' AS entries FROM customer")
+def q71_plain_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines as plain lines: indents tell levels; bullets, numbers, rules and tags are no part of names."""
+    said = F.concat(F.lit("1. "), "c_name", F.lit("\n---\n  * "), "c_mktsegment", F.lit("\n\n      (x)\n      - "), "c_nationkey", F.lit(" x\n<br>\n  二、next"))
+    made = scoring.settled(table(spark, sf_dir, "customer").select("c_custkey", F.replace(said, F.lit("\n      (x)"), F.lit("")).alias("t")), {"e": trees.text_entries(F.col("t"))})
+    shown = F.array_join(F.transform("e", lambda e: F.concat(F.repeat(F.lit(">"), e["level"]), e["name"])), "/")
+    return made.select("c_custkey", shown.alias("entries"))
+
+
+@query(
+    """
+    SELECT s_suppkey, '{"nodes":["' || s_name || '","pay ' || s_nationkey || '"],"edges":[["' || s_name || '","pay ' || s_nationkey || '","then"]]}' AS told FROM supplier
+    """
+)
+def q72_graphs_as_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph as a report shows it: labels of nodes and edges as JSON."""
+    flow = F.concat(F.lit('flowchart TD\n a["'), "s_name", F.lit('"] -->|then| b["pay '), "s_nationkey", F.lit('"]'))
+    made = scoring.settled(table(spark, sf_dir, "supplier").select("s_suppkey", flow.alias("t")), {"g": graphs.mermaid(F.col("t"))})
+    return made.select("s_suppkey", graphs.told(F.col("g")).alias("told"))

@@ -6,7 +6,7 @@ import html
 
 from pyspark.sql import functions as F
 
-from structscore.functions import tables
+from structscore.functions import tables, text
 from structscore.plans import distinct, results
 
 
@@ -41,3 +41,9 @@ def test_sketches_come_near(spark):
     assert exact.keys() == about.keys() and len(exact) == 21 + 3 + 7 + 1
     for k, (n, e) in exact.items():
         assert about[k][0] == n and abs(about[k][1] - e) <= 0.06 * e
+
+
+def test_lists_that_only_rise_or_fall(spark):
+    said = {("1", "2,000", "3000"): True, ("5%", "4.5%", "-1%"): True, ("1", "1"): False, ("1",): False, ("1", "x", "3"): False, ("1", "3", "2"): False, (): False}
+    df = spark.createDataFrame([(list(k),) for k in said], "v array<string>")
+    assert {tuple(r.v): r.m for r in df.select("v", text.strictly_monotonic(F.col("v")).alias("m")).collect()} == said
