@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -151,11 +152,9 @@ def _told(share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            seen: dict[bytes, int] = {}
-            get = seen.get
+            seen: Counter[bytes] = Counter()
             for text in batch.column("text").to_pylist():
-                for w in text.lower().split():
-                    seen[w] = get(w, 0) + 1
+                seen.update(text.lower().split())
             n = np.fromiter(seen.values(), np.int64, len(seen))
             total = int(n.sum()) + batch.num_rows  # with the ends
             often = np.flatnonzero(n >= total * share)
