@@ -110,42 +110,62 @@ def _said_again(names: Column) -> Column:
     return let(names, lambda n: F.array_distinct(F.filter(n, lambda x, i: F.array_position(n, x) <= i)))
 
 
-def pipe_entries(text: Column) -> Column:
-    """Entries of an outline that was answered as a pipe table; none unless half of its lines are piped.
-
-    The first line is a header, or the root if it has no pipe.  A first cell that
-    has something beside it twice or more is a parent of what is beside it;
-    without such cells the indent tells the level.  Numbers are no nodes, and a
-    name counts once.
-    """
-    none = F.array().cast(ENTRIES)
-    first_of, second_of = (lambda r, i=i: F.coalesce(F.get(r["cells"], F.lit(i)), F.lit("")) for i in (0, 1))
-    key = lambda r: F.lower(first_of(r))
-
-    def leveled(rows: Column) -> Column:
-        beside = F.filter(rows, lambda r: (first_of(r) != "") & (second_of(r) != ""))
-
-        def with_parents(parents: Column) -> Column:
-            any_, under = F.size(parents) > 0, lambda r: F.array_contains(parents, key(r)).cast("int")
-            level = lambda r, i: F.when(any_, F.least(i, under(r))).otherwise(r["indent"])
-            made = F.flatten(F.transform(rows, lambda r: F.transform(r["cells"], lambda c, i: _entry(level(r, i), c))))
-            # levels of indents are counted over all cells, named or not
-            return let(made, lambda m: F.when(any_, m).otherwise(_ranked(m)))
-
-        return let(_said_again(F.transform(beside, key)), with_parents)
+def pipe_rows(text: Column) -> Column:
+    """struct<root, rows> of a pipe table's lines: its first line if that has no pipe, and the others as indents and cells; null if it is none."""
 
     def read(given: Column) -> Column:
         head = strip(F.get(given, F.lit(0)))
-        root = F.when(F.contains(head, F.lit("|")) | (head == ""), none).otherwise(F.array(_entry(F.lit(0), head)))
         told = F.filter(F.slice(given, 2, F.greatest(F.size(given), F.lit(1))), lambda x: strip(x) != "")
         piped = F.filter(given, lambda x: F.contains(x, F.lit("|")))
         fits = (F.size(given) >= 2) & (2 * F.size(piped) >= F.size(given)) & (F.size(told) > 0)
-        named = let(F.transform(told, _piped), lambda rows: F.filter(leveled(rows), lambda e: e["name"] != ""))
-        return F.when(fits, _once(F.concat(root, named))).otherwise(none)
+        root = F.when(F.contains(head, F.lit("|")), "").otherwise(head)
+        return F.when(fits, F.struct(root.alias("root"), F.transform(told, _piped).alias("rows")))
 
     return let(lines(strip(F.coalesce(text, F.lit("")))), read)
 
 
+def _first_cells(rows: Column) -> Column:
+    """The first cell of each row that has something beside it, in lower case."""
+    beside = F.filter(rows, lambda r: (F.get(r["cells"], F.lit(0)) != "") & (F.coalesce(F.get(r["cells"], F.lit(1)), F.lit("")) != ""))
+    return F.transform(beside, lambda r: F.lower(F.get(r["cells"], F.lit(0))))
+
+
+def pipe_parents(table: Column) -> Column:
+    """First cells of `pipe_rows` that stand beside something twice or more: parents of what is beside them."""
+    return _said_again(_first_cells(table["rows"]))
+
+
+def pipe_levels(table: Column, parents: Column) -> Column:
+    """Entries of `pipe_rows` with levels by `pipe_parents`, or by indents where there are none; the root's first."""
+    any_ = F.size(parents) > 0
+
+    def of(row: Column) -> Column:
+        under = F.array_contains(parents, F.lower(F.get(row["cells"], F.lit(0)))).cast("int")
+        return F.transform(row["cells"], lambda c, i: _entry(F.when(any_, F.least(i, under)).otherwise(row["indent"]), c))
+
+    made = F.flatten(F.transform(table["rows"], of))
+    return F.when(table.isNotNull(), F.when(any_, made).otherwise(_ranked(made)))
+
+
+def named_once(table: Column, entries: Column) -> Column:
+    """The root and the entries that have a name, each name once."""
+    root = F.when(table["root"] == "", F.array().cast(ENTRIES)).otherwise(F.array(_entry(F.lit(0), table["root"])))
+    named = _once(F.concat(root, F.filter(entries, lambda e: e["name"] != "")))
+    return F.coalesce(F.when(table.isNotNull(), named), F.array().cast(ENTRIES))
+
+
+def pipe_entries(text: Column) -> Column:
+    """Entries of an outline that was answered as a pipe table; none unless half of its lines are piped.
+
+    The first line is a header, or the root if it has no pipe.  A first cell that
+    has something beside it twice or more is a parent of what is beside it;
+    without such cells the indent tells the level.  Numbers are no nodes, and a
+    name counts once.  Where columns can be set in between, the four steps are
+    planned much faster one by one.
+    """
+    return let(pipe_rows(text), lambda t: let(pipe_parents(t), lambda p: named_once(t, pipe_levels(t, p))))
+
+
 # Parents of roots.
 NO_PARENT = ["", "0", "-1", "None", "null"]
 

@@ -142,9 +142,13 @@ def _with_structures(df: DataFrame, loose: bool) -> DataFrame:
     df = df.withColumns({"_gs": graph_similarity(F.col("_a"), F.col("_b"), loose), "_ts": tree_similarity(F.col("_pp"), F.col("_rp"), loose)})
     df = settled(df, {"_one": F.coalesce(_scores(F.col("_gs")), _scores(F.col("_ts")))})
     weak = F.col("_one.map_high") < WEAK
-    pipe = F.when(weak & (F.col("_branch") == "tree") & F.contains(F.col("_t"), F.lit("|")), trees.pipe_entries(F.col("_t")))
-    by_row = F.when(weak & (F.col("_form") == "listed"), _side(graphs.in_a_row(graphs.listed_nodes(F.col("_t"), "row"))))
-    df = settled(df, {"_a2": by_row, "_pe2": pipe})
+    pipe = F.when(weak & (F.col("_branch") == "tree") & F.contains(F.col("_t"), F.lit("|")), trees.pipe_rows(F.col("_t")))
+    by_row = F.when(weak & (F.col("_form") == "listed"), graphs.listed_nodes(F.col("_t"), "row"))
+    # step by step: nested, these expressions take many times as long to plan
+    df = settled(df, {"_listed2": by_row, "_pipe": pipe})
+    df = settled(df, {"_row": graphs.in_a_row(F.col("_listed2")), "_parents": trees.pipe_parents(F.col("_pipe"))})
+    df = settled(df, {"_a2": _side(F.col("_row")), "_levels": trees.pipe_levels(F.col("_pipe"), F.col("_parents"))})
+    df = settled(df, {"_pe2": F.when(F.col("_pipe").isNotNull(), trees.named_once(F.col("_pipe"), F.col("_levels")))})
     df = _with_paths(settled(df, {"_pe2": F.when(F.size("_pe2") >= 2, F.col("_pe2"))}), {"_pp2": "_pe2"})
     df = df.withColumns(
         {
