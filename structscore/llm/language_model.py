@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -152,14 +152,15 @@ def _told(share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            seen: Counter[bytes] = Counter()
-            for text in batch.column("text").to_pylist():
-                seen.update(text.lower().split())
-            n = np.fromiter(seen.values(), np.int64, len(seen))
+            # bytes are taken as they are, valid or not
+            lower = pc.ascii_lower(batch.column("text").view(pa.string()))
+            seen = pc.ascii_split_whitespace(lower).flatten().value_counts()
+            seen = seen.filter(pc.greater(pc.binary_length(seen.field("values")), 0))
+            n = seen.field("counts").to_numpy()
             total = int(n.sum()) + batch.num_rows  # with the ends
             often = np.flatnonzero(n >= total * share)
-            words = list(seen)
-            h = np.fromiter((word_hash(words[i]) for i in often.tolist()), np.int64, len(often))
+            words = seen.field("values").take(pa.array(often)).view(pa.binary()).to_pylist()
+            h = np.fromiter(map(word_hash, words), np.int64, len(words))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(h, [int(END), -1])), pa.array(np.append(n[often], [batch.num_rows, total]))], names=["word", "n"])
 
     return run
