@@ -35,7 +35,7 @@ def with_seen(line: DataFrame, order: list[str], value: Column, into: str, ahead
     parts = Window.orderBy(F.desc(PART) if ahead else F.asc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(PART, F.last("_end", True).over(parts).alias("_carried"))  # a row per partition
     within = _window(order, ahead).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
-    return line.withColumn(into, F.last(value, True).over(within)).join(carried, PART).withColumn(into, F.coalesce(into, "_carried")).drop("_carried")
+    return line.withColumn(into, F.last(value, True).over(within)).join(F.broadcast(carried), PART).withColumn(into, F.coalesce(into, "_carried")).drop("_carried")
 
 
 def with_total(line: DataFrame, order: list[str], amount: Column, into: str) -> DataFrame:
@@ -44,7 +44,7 @@ def with_total(line: DataFrame, order: list[str], amount: Column, into: str) ->
     before = ends.select(PART, F.sum("_end").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     within = _window(order, False).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(into, F.lit(0)) + F.coalesce("_carried", F.lit(0))
-    return line.withColumn(into, F.sum(amount).over(within)).join(before, PART).withColumn(into, total).drop("_carried")
+    return line.withColumn(into, F.sum(amount).over(within)).join(F.broadcast(before), PART).withColumn(into, total).drop("_carried")
 
 
 def _same(keys: list[str], of: str) -> Column:
@@ -112,9 +112,10 @@ def gap_clusters(rows: DataFrame, keys: list[str], value: str, tolerance: float,
     Null values are a cluster of their own before the others, null keys are equal.
     """
     columns = rows.columns
-    order = [*keys, value]
-    numbered = rows.withColumn("_value", F.col(value))
-    line = with_previous(lined(numbered, order), keys, [value], {"_last": F.col("_value"), "_any": F.lit(1)})
+    # equal values keep one order through all steps, else the row that starts a cluster may come after its equals
+    order = [*keys, value, "_tie"]
+    numbered = rows.withColumns({"_value": F.col(value), "_tie": F.monotonically_increasing_id()})
+    line = with_previous(lined(numbered, order), keys, [value, "_tie"], {"_last": F.col("_value"), "_any": F.lit(1)})
     fresh = F.col("_any").isNull() | F.coalesce(F.col("_value") - F.col("_last") > tolerance, ~F.col("_value").eqNullSafe(F.col("_last")))
     line = with_total(stored(line.withColumn("_fresh", fresh.cast("long")), "gaps"), order, F.col("_fresh"), "_number")
     # a key's number less that of its first cluster
