@@ -4,7 +4,8 @@ Every row keeps a pointer to an ancestor and how far up it is.  In a round each
 pointer is replaced by its target's pointer, so distances double: a tree of depth
 d takes about log2(d) rounds, each a join over stored tables.  Rows whose pointer
 is at a root are set aside.  What still moves when a round sets none aside goes
-in circles.
+in circles.  All joins are sort-merge joins: stored ids and paths compress so well
+that by the size of their files tables of any length would be broadcast.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def rooted(rows: DataFrame, name: str | None = None) -> DataFrame:
     known = once.select(F.col("id").alias("_known"))
     path = [F.array("_name").alias("path")] * bool(name)
     at_root = F.col("_known").isNull() | (F.col("parent") == F.col("id"))
-    marked = once.join(known, F.col("parent") == F.col("_known"), "left").select("id", "parent", at_root.alias("_root"), *path)
+    marked = once.join(known.hint("merge"), F.col("parent") == F.col("_known"), "left").select("id", "parent", at_root.alias("_root"), *path)
     # `up` is an ancestor, `depth` the way to it; `path` names what is below it, this row included
     up = F.when(F.col("_root"), F.col("id")).otherwise(F.col("parent"))
     depth = F.when(F.col("_root"), 0).otherwise(1).cast("long")
@@ -41,7 +42,7 @@ def rooted(rows: DataFrame, name: str | None = None) -> DataFrame:
     above = first
     while True:
         there = above.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("_root").alias("_top"), *[F.col("path").alias("_path")] * bool(name))
-        joined = moving.join(there, F.col("up") == F.col("_id"))
+        joined = moving.join(there.hint("merge"), F.col("up") == F.col("_id"))
         longer = [F.concat("_path", "path").alias("path")] * bool(name)
         after = stored(joined.select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("_root"), *longer), "pointers")
         settled = after.where("_root")
