@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from structscore.operators import forest, ordered
+from structscore.functions import trees
+from structscore.operators import assignment, forest, ordered
+from structscore.plans import scoring
 
 
 def _broadcasts(spark, since: int) -> int:
@@ -39,3 +41,42 @@ def test_a_forest_broadcasts_nothing(spark):
     found = forest.rooted(rows, "name")
     assert found.count() == 5_000
     assert _broadcasts(spark, before) == 0
+
+
+def test_outlines_of_many_lines(spark):
+    """5,000 nodes over several folds: paths, children and chains as a plain reading has them; an empty outline has none."""
+    depth = [0, *[1 + i * 7 % 3 if i % 50 else 1 for i in range(1, 5_000)]]
+    depth = [d if not i else min(d, depth[i - 1] + 1) for i, d in enumerate(depth)]
+    text = "\n".join("  " * d + f"- n{i}" for i, d in enumerate(depth))
+    open_, up = [], []
+    for i, d in enumerate(depth):
+        open_ = [(e, j) for e, j in open_ if e < d]
+        up.append([j for _, j in open_] + [i])
+        open_.append((d, i))
+    children = [0] * len(up)
+    for p in up:
+        if len(p) > 1:
+            children[p[-2]] += 1
+    made = scoring.settled(spark.createDataFrame([(0, text), (1, "")], "k int, text string").repartition(2), {"nodes": trees.outline(F.col("text"))})
+    made = scoring.settled(made, {"children": trees.child_counts(F.col("nodes"))})
+    renamed = F.transform("nodes", lambda n: F.struct(F.concat(n["name"], F.lit("x")).alias("name"), n["path"].alias("path")))
+    rows = {r.k: r for r in made.select("k", "children", F.col("nodes.path").alias("up"), trees.merged_paths(renamed, F.col("children")).alias("merged")).collect()}
+    assert rows[0].up == up and rows[0].children == children
+    want = []
+    for p in up:
+        if children[p[-1]] != 1:
+            names, single = [], False
+            for j in p:
+                names[len(names) - 1 if single else len(names) :] = [names[-1] + trees.CHAIN + f"n{j}x" if single else f"n{j}x"]
+                single = children[j] == 1
+            want.append(names)
+    assert rows[0].merged == want
+    assert rows[1].up == [] and rows[1].children == [] and rows[1].merged == []
+
+
+def test_equal_lists_need_no_table_of_pairs():
+    """20,000 paths against themselves and half of them; unequal lists are still paired at their likeness."""
+    names = [["root", f"n{i}"] for i in range(20_000)]
+    assert assignment._tree_sims(names, names[::-1], assignment.LIKENESS) == [1.0, 1.0, 1.0]
+    assert assignment._tree_sims(names[::2], names, assignment.LIKENESS) == [0.5, 0.5, 0.5]
+    assert assignment._tree_sims([["a"], ["abcd"]], [["a"], ["abce"]], assignment.LIKENESS) == [0.5, 0.5, 0.875]
