@@ -38,23 +38,34 @@ def _indent(line: Column) -> Column:
     return F.length(F.replace(F.regexp_extract(line, "^([ \\t]*)", 1), F.lit("\t"), F.lit("  ")))
 
 
+#: Entries that one inner fold takes; appending copies what an array holds, so no array that a step appends to is long.
+FOLDED = 256
+
+
 def nested(entries: Column) -> Column:
     """Nodes of entries in order; a parent is the last entry of a lower level."""
-    start = F.struct(
-        F.array().cast(NODES).alias("nodes"),
-        F.array().cast("array<struct<level:int,at:int>>").alias("open"),
-    )
+    none = F.array().cast(NODES)
 
-    def add(s: Column, e: Column) -> Column:
+    def add(s: Column, e: Column, before: Column) -> Column:
         above = F.filter(s["open"], lambda o: o["level"] < e["level"])
-        at = F.size(s["nodes"])
+        at = before + F.size(s["nodes"])
         path = F.array_append(F.transform(above, lambda o: o["at"]), at)
         return F.struct(
             F.array_append(s["nodes"], F.struct(e["name"].alias("name"), path.alias("path"))).alias("nodes"),
             F.array_append(above, F.struct(e["level"].alias("level"), at.alias("at"))).alias("open"),
         )
 
-    return F.aggregate(F.coalesce(entries, F.array().cast(ENTRIES)), start, add)["nodes"]
+    def fold(all_: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<{NODES}>").alias("done"), F.array().cast("array<struct<level:int,at:int>>").alias("open"))
+
+        def add_all(s: Column, k: Column) -> Column:
+            begin = F.struct(none.alias("nodes"), s["open"].alias("open"))
+            made = F.aggregate(F.slice(all_, k * FOLDED + 1, F.lit(FOLDED)), begin, lambda t, e: add(t, e, k * FOLDED))
+            return let(made, lambda m: F.struct(F.array_append(s["done"], m["nodes"]).alias("done"), m["open"].alias("open")))
+
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_) / FOLDED).cast("int")), start, add_all)["done"])
+
+    return let(F.coalesce(entries, F.array().cast(ENTRIES)), fold)
 
 
 def list_entries(text: Column) -> Column:
@@ -224,8 +235,17 @@ def paths(nodes: Column) -> Column:
 
 def child_counts(nodes: Column) -> Column:
     """How many children each node has, in node order."""
-    parents = F.transform(nodes, lambda n: F.coalesce(F.get(n["path"], F.size(n["path"]) - 2), F.lit(-1)))
-    return F.transform(nodes, lambda n, i: F.size(F.filter(parents, lambda p: p == i)))
+
+    def counted(all_: Column) -> Column:
+        parents = F.transform(F.filter(all_, lambda n: F.size(n["path"]) > 1), lambda n: F.get(n["path"], F.size(n["path"]) - 2))
+        # every place once and once more for each child, in order: the distance between the first of a place and of the next
+        each = F.sort_array(F.concat(parents, F.sequence(F.lit(0), F.size(all_) - 1)))
+        return let(each, lambda x: let(F.concat(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1))), F.array(F.size(x))), spread))
+
+    def spread(firsts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(firsts) - 2), lambda i: F.get(firsts, i + 1) - F.get(firsts, i) - 1)
+
+    return let(nodes, lambda all_: F.when(F.size(all_) == 0, F.array().cast("array<int>")).when(all_.isNotNull(), counted(all_)))
 
 
 def merged_paths(nodes: Column, children: Column) -> Column:
@@ -234,16 +254,22 @@ def merged_paths(nodes: Column, children: Column) -> Column:
     A node that has not exactly one child ends a chain; its path groups its
     ancestors by chains.  Separators inside names count as chain marks.
     """
-    name = lambda i: F.regexp_replace(F.get(nodes, i)["name"], SEPARATOR, CHAIN)
 
-    def step(acc: Column, i: Column) -> Column:
-        joined = F.concat(F.element_at(acc["names"], -1), F.lit(CHAIN), name(i))
-        head = F.slice(acc["names"], 1, F.greatest(F.size(acc["names"]) - 1, F.lit(0)))
-        return F.struct(
-            F.when(acc["single"], F.array_append(head, joined)).otherwise(F.array_append(acc["names"], name(i))).alias("names"),
-            (F.get(children, i) == 1).alias("single"),
-        )
+    def read(all_: Column) -> Column:
+        return F.transform(all_, lambda n: F.struct(F.regexp_replace(n["name"], SEPARATOR, CHAIN).alias("name"), n["path"].alias("path")))
+
+    def joined(all_: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            name = F.get(all_, i)["name"]
+            chained = F.concat(F.element_at(acc["names"], -1), F.lit(CHAIN), name)
+            head = F.slice(acc["names"], 1, F.greatest(F.size(acc["names"]) - 1, F.lit(0)))
+            return F.struct(
+                F.when(acc["single"], F.array_append(head, chained)).otherwise(F.array_append(acc["names"], name)).alias("names"),
+                (F.get(children, i) == 1).alias("single"),
+            )
+
+        start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("single"))
+        ends = F.filter(all_, lambda n: F.get(children, F.element_at(n["path"], -1)) != 1)
+        return F.transform(ends, lambda n: F.aggregate(n["path"], start, step)["names"])
 
-    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("single"))
-    ends = F.filter(nodes, lambda n: F.get(children, F.element_at(n["path"], -1)) != 1)
-    return F.transform(ends, lambda n: F.aggregate(n["path"], start, step)["names"])
+    return let(let(nodes, read), joined)
