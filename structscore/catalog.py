@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session has for a shuffle, four a core at least: a small file holds many rows, and reading a text takes long."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def _markdown(header: str, rows, rule: str):
     return F.concat(F.lit(header + "\n" + rule + "\n"), F.array_join(rows, "\n"))
 
@@ -47,13 +53,15 @@ PIECE = ["l_orderkey", "part", "run"]
 
 
 def _with_pieces(lines: DataFrame) -> DataFrame:
-    """Line items with PIECE: an order's lines in an input partition, cut into runs of TABLE_LINES.
+    """Line items with PIECE: an order's lines in a range of orders, cut into runs of TABLE_LINES.
 
-    An order of any size is spread over as many tasks as its lines come from,
-    and no text holds more than one piece of it.
+    An order lies in one range or two, in however many parts the lines come; only
+    an order larger than a range is spread over more, as many as it fills.  No
+    text holds more than one piece.
     """
     own = Window.partitionBy("l_orderkey", "part").orderBy("l_linenumber")
-    return lines.withColumn("part", F.spark_partition_id()).withColumn("run", F.floor((F.row_number().over(own) - 1) / TABLE_LINES))
+    ranged = lines.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange("l_orderkey", "_at").drop("_at")
+    return ranged.withColumn("part", F.spark_partition_id()).withColumn("run", F.floor((F.row_number().over(own) - 1) / TABLE_LINES))
 
 
 def _body(rows):

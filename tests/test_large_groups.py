@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from structscore.functions import trees
-from structscore.operators import assignment, forest, ordered
+from structscore import catalog
+from structscore.functions import tables, text, trees
+from structscore.operators import assignment, code, forest, ordered
 from structscore.plans import scoring
 
 
@@ -80,3 +81,42 @@ def test_equal_lists_need_no_table_of_pairs():
     assert assignment._tree_sims(names, names[::-1], assignment.LIKENESS) == [1.0, 1.0, 1.0]
     assert assignment._tree_sims(names[::2], names, assignment.LIKENESS) == [0.5, 0.5, 0.5]
     assert assignment._tree_sims([["a"], ["abcd"]], [["a"], ["abce"]], assignment.LIKENESS) == [0.5, 0.5, 0.875]
+
+
+def test_an_order_in_many_parts_is_few_pieces(spark):
+    """Lines of an order that come from many parts share a text; a hot order is still cut."""
+    lines = spark.range(4_000).select((F.col("id") % 1_000).alias("l_orderkey"), F.floor(F.col("id") / 1_000).alias("l_linenumber")).repartition(40)
+    pieces = catalog._with_pieces(lines).groupBy(*catalog.PIECE).count().collect()
+    assert sum(r["count"] for r in pieces) == 4_000
+    # every order's four lines together, but for those that a range's end divides
+    assert len(pieces) < 1_100
+
+
+def test_entity_names_are_looked_up_in_short_maps(spark):
+    assert max(map(len, tables._names_by_letter())) < 200
+    names = list(tables._entity_names().items())
+    df = spark.createDataFrame([(n, mark) for n, mark in names], "name string, mark string").repartition(2)
+    told = tables.decoded_entities(F.concat(F.lit("x&"), "name", F.lit(";&1a;&_b;&~;&;")))
+    assert [r for r in df.select("name", "mark", told.alias("t")).collect() if r.t != f"x{r.mark}&1a;&_b;&~;&;"] == []
+
+
+def test_casts_are_not_tried_on_what_is_no_number(spark):
+    """The plan tests a span's digits and a name's letters before it casts: a failed cast throws within, at many times the cost."""
+    df = spark.createDataFrame([("line 1",), ("1,234.5",), ("12%",), ("1e5",), ("-7",), ("1 234",), ("12 34",), (".5",), ("x",), ("",)], "t string")
+    assert [r.q for r in df.select(text.is_quantity(F.col("t")).alias("q")).collect()] == [False, True, True, False, True, True, False, True, False, False]
+    plan = df.select(text.is_quantity(F.col("t")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("lower(") < plan.index("try_cast(")
+    html = "<table><tr><td rowspan=2>a</td><td colspan='2'>b</td></tr><tr><td rowspan=x>c</td><td>d</td></tr></table>"
+    assert df.limit(1).select(tables.html_table(F.lit(html)).alias("t")).first().t == [["a", "b", "b"], ["a", "c", "d"]]
+
+
+def test_small_files_are_spread_over_tasks(spark):
+    assert catalog.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 16
+
+
+def test_code_with_many_constants_keeps_its_steps():
+    """Constants count as steps, labels are found, also in letters of another form."""
+    code_ = "names = ['a', 'b']\nv = [1, 2]\nplt.plot(names, v, {}='shown')"
+    for word in ("label", "ｌabel"):
+        assert code.table_of(code_.format(word)) == [["", "shown"], ["a", "1"], ["b", "2"]]
+    assert code.table_of("names = ['a', 'b']\nv = [1, 2]\nw = [" + "0, " * 20_001 + "]") == [["", "v"], ["a", "1"], ["b", "2"]]
