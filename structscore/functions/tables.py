@@ -110,8 +110,16 @@ def _entity_names() -> dict[str, str]:
     return {name[:-1]: mark for name, mark in html5.items() if name.endswith(";")}
 
 
-#: JSON of the names, which Spark reads into a literal map once.
-_NAMES = json.dumps(_entity_names(), ensure_ascii=False)
+def _names_by_letter() -> list[dict[str, str]]:
+    """The names from A to z by their first letter: a lookup goes through its map entry by entry."""
+    shelves: list[dict[str, str]] = [{} for _ in range(ord("z") - ord("A") + 1)]
+    for name, mark in _entity_names().items():
+        shelves[ord(name[0]) - ord("A")][name] = mark
+    return shelves
+
+
+#: JSON of the names, which Spark reads into literal maps once.
+_NAMES = json.dumps(_names_by_letter(), ensure_ascii=False)
 
 
 def _number_marks() -> dict[int, str]:
@@ -130,7 +138,7 @@ def _numbered(number: Column) -> Column:
 
 def decoded_entities(text: Column) -> Column:
     """Text with entities as their characters: names with their semicolon, decimal and hexadecimal numbers; unknown ones stay."""
-    names = F.from_json(F.lit(_NAMES), "map<string,string>")
+    names = F.from_json(F.lit(_NAMES), "array<map<string,string>>")
 
     def mark(part: Column) -> Column:
         body = F.substring_index(part, ";", 1)
@@ -139,7 +147,7 @@ def decoded_entities(text: Column) -> Column:
         digits = F.when(hexadecimal, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body)))
         valid = F.when(hexadecimal, F.translate(F.lower(digits), "0123456789abcdef", "") == "").otherwise(F.translate(digits, "0123456789", "") == "")
         number = F.when(F.length(digits) > 15, F.lit(1 << 40)).otherwise(F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
-        char = F.when(body.startswith("#"), F.when(valid & (digits != ""), _numbered(number))).otherwise(names[body])
+        char = F.when(body.startswith("#"), F.when(valid & (digits != ""), _numbered(number))).otherwise(F.get(names, F.ascii(body) - ord("A"))[body])
         known = F.when(F.length(body) < F.length(part), char)
         return F.coalesce(F.concat(known, rest), F.concat(F.lit("&"), part))
 
@@ -166,7 +174,8 @@ def html_table(text: Column) -> Table:
 
     def span(tag: Column, name: str) -> Column:
         found = F.regexp_extract(tag, f'(?is)^<t[dh][^>]*{name}\\s*=\\s*["\']?([0-9]+)', 1)
-        return F.greatest(F.lit(1), F.coalesce(found.try_cast("int"), F.lit(1)))
+        # a cast that fails throws within: most tags have no span, so these aren't cast
+        return F.greatest(F.lit(1), F.coalesce(F.when(found != "", found.try_cast("int")), F.lit(1)))
 
     def row(tr: Column) -> Column:
         tags = F.regexp_extract_all(tr, F.lit("(?is)(<t[dh][^>]*>.*?)(?=</t[dh]>|<t[dh]|$)"), F.lit(1))
