@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import in_six_notations, query, table
+from .catalog import in_six_notations, query, spread, table
 from .functions import graphs, tables, text, trees
 from .operators import forest, ordered
 from .operators.code import code_table
@@ -164,7 +164,7 @@ def q61_distinct_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q62_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of an HTML table with entities by name, in decimal and hexadecimal, by Windows numbers, and unknown ones."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     letter = F.concat(F.lit("&#"), 97 + F.col("p_size") % 26, F.lit(";"))
     cell = F.concat(F.lit("caf&eacute; "), "p_name", F.lit(" &#8211; &yen;"), "p_size", F.lit(" &unknown; &amp; &#128; "), letter, F.lit("&#x1F600;&#xD800; a&b"))
     html = F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr><tr><td>"), cell, F.lit("</td><td>&#XE9;"), "p_size", F.lit("</td></tr></table>"))
@@ -185,7 +185,7 @@ def q63_computed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("import numpy as np\nstep = "), size, F.lit("\nnames = [f'row {i}' for i in range(1, "), n, F.lit(")]\nvalue = [i * step + 0.5 for i in list(range("), n, F.lit(")) if i > 0]\n"),
         F.when(F.col("p_partkey") % 2 == 0, "twice = [v * 4 / 2 for v in value]\nplt.bar(names, value)").otherwise("twice = [v + v for v in value"),
     )
-    rows = table(spark, sf_dir, "part").select("p_partkey", code_table(code).alias("t"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", code_table(code).alias("t"))
     each = rows.select("p_partkey", F.explode(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1)))).alias("r"))
     return each.select("p_partkey", F.col("r")[0].alias("line"), F.col("r")[1].cast("double").alias("value"), F.col("r")[2].cast("double").alias("twice"))
 
