@@ -318,12 +318,19 @@ def _value(cell: Column) -> Column:
 
 def triple(k0: Column, k1: Column, value: Column) -> Column:
     """Keys in order and lower case, the value as a number if it is one, else as lower-case text."""
-    return F.struct(
-        F.lower(F.least(k0, k1)).alias("k0"),
-        F.lower(F.greatest(k0, k1)).alias("k1"),
-        python_float(value).alias("num"),
-        F.when(python_float(value).isNull(), F.lower(value)).alias("txt"),
-    )
+
+    def of(v: Column) -> Column:
+        return let(
+            python_float(v),
+            lambda n: F.struct(
+                F.lower(F.least(k0, k1)).alias("k0"),
+                F.lower(F.greatest(k0, k1)).alias("k1"),
+                n.alias("num"),
+                F.when(n.isNull(), F.lower(v)).alias("txt"),
+            ),
+        )
+
+    return let(value, of)
 
 
 EMPTY_TRIPLES = "array<struct<k0:string,k1:string,num:double,txt:string>>"

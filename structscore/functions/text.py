@@ -125,15 +125,18 @@ def python_float(text: Column) -> Column:
     Wide digits and single underscores between digits count; Java's suffixes
     (12d, 12f) and hexadecimal forms don't.
     """
-    t = F.translate(strip(text), "０１２３４５６７８９", "0123456789")
-    number = t.rlike("^[+-]?(?:[0-9]+(?:_[0-9]+)*\\.?(?:[0-9]+(?:_[0-9]+)*)?|\\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?$")
-    word = F.regexp_replace(F.lower(t), "^[+]", "")
-    return (
-        F.when(number, F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(word.isin("nan", "-nan"), F.lit(float("nan")))
-        .when(word.isin("inf", "infinity"), F.lit(float("inf")))
-        .when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
-    )
+
+    def read(t: Column) -> Column:
+        number = t.rlike("^[+-]?(?:[0-9]+(?:_[0-9]+)*\\.?(?:[0-9]+(?:_[0-9]+)*)?|\\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?$")
+        word = F.regexp_replace(F.lower(t), "^[+]", "")
+        return (
+            F.when(number, F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+            .when(word.isin("nan", "-nan"), F.lit(float("nan")))
+            .when(word.isin("inf", "infinity"), F.lit(float("inf")))
+            .when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
+        )
+
+    return let(F.translate(strip(text), "０１２３４５６７８９", "0123456789"), read)
 
 
 def is_quantity(text: Column) -> Column:
@@ -143,7 +146,8 @@ def is_quantity(text: Column) -> Column:
         bare = F.translate(t, ", ", "")
         groups = F.split(F.translate(F.substring_index(t, ".", 1), " ", ","), ",")
         whole = F.forall(F.slice(groups, 2, F.size(groups)), lambda g: F.length(g) == 3)
-        return bare.try_cast("double").isNotNull() & (F.lower(bare) == F.upper(bare)) & F.right(bare, F.lit(1)).between("0", "9") & whole
+        # a cast that fails throws within: names are told before it
+        return F.right(bare, F.lit(1)).between("0", "9") & (F.lower(bare) == F.upper(bare)) & bare.try_cast("double").isNotNull() & whole
 
     return F.coalesce(let(F.rtrim(strip(text), F.lit("%")), read), F.lit(False))
 

@@ -81,10 +81,14 @@ def outline(text: Column) -> Column:
 
 def _ranked(entries: Column) -> Column:
     """Levels by their place among the levels that occur."""
-    return let(
-        F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["level"]))),
-        lambda steps: F.transform(entries, lambda e: _entry(F.array_position(steps, e["level"]) - 1, e["name"])),
-    )
+
+    def placed(all_: Column) -> Column:
+        return let(
+            F.array_sort(F.array_distinct(F.transform(all_, lambda e: e["level"]))),
+            lambda steps: F.transform(all_, lambda e: _entry(F.array_position(steps, e["level"]) - 1, e["name"])),
+        )
+
+    return let(entries, placed)
 
 
 # Lines of nothing else are drawn, not written.
@@ -106,7 +110,7 @@ def text_entries(text: Column) -> Column:
 def _once(entries: Column) -> Column:
     """The first entry of each name, whatever its case."""
     keys = lambda e: F.lower(e["name"])
-    return let(F.transform(entries, keys), lambda names: F.filter(entries, lambda e, i: F.array_position(names, keys(e)) == i + 1))
+    return let(entries, lambda all_: let(F.transform(all_, keys), lambda names: F.filter(all_, lambda e, i: F.array_position(names, keys(e)) == i + 1)))
 
 
 def _piped(line: Column) -> Column:
