@@ -120,3 +120,7 @@ def test_code_with_many_constants_keeps_its_steps():
     for word in ("label", "ｌabel"):
         assert code.table_of(code_.format(word)) == [["", "shown"], ["a", "1"], ["b", "2"]]
     assert code.table_of("names = ['a', 'b']\nv = [1, 2]\nw = [" + "0, " * 20_001 + "]") == [["", "v"], ["a", "1"], ["b", "2"]]
+
+
+def test_no_code_is_no_table():
+    assert code.table_of(None) == [] and code.table_of("") == []
