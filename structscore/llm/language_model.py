@@ -46,6 +46,9 @@ END = np.uint64(0)
 
 BLOCK_TOKENS, SHARD_TOKENS, OWNER_SHARDS = 3 << 19, 3 << 20, 8
 
+#: A block's texts of so many bytes, one at least, are few words: very long ones.
+BLOCK_BYTES = 1 << 26
+
 #: Contexts with more tokens are spread by dish, for a share of a shard each; most of these that tasks are told of.
 CONTEXT_TOKENS, MOST_FREQUENT = SHARD_TOKENS // 4, 1 << 23
 
@@ -195,51 +198,63 @@ class Ways:
         return np.where(self.words[at] == words, self.ways[at], np.uint64(1))
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of these texts in lower case, one text's after another's, and where each text's begin and end."""
+    # bytes are taken as they are, valid or not
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    flat, edges = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
+    return flat.filter(full), np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[edges]
+
+
 def _pairs(shards: int, ways: Ways, texts: bool):
     """Blocks of texts to a row per shard with the block's word pairs, or to a row with the block's texts by pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = number = 0
-        words: dict[bytes, int] = {}
-        ids: list[np.ndarray] = []
+        parts: list[pa.Array] = []
         docs: list[tuple] = []
-        held = 0
+        held = weight = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal words, ids, docs, held, number
+            nonlocal parts, docs, held, weight, number
             if docs:
-                yield from (_batch([r]) for r in _block(base | number, words, ids, docs, shards, ways, texts))
-                words, ids, docs, held, number = {}, [], [], 0, number + 1
+                yield from (_batch([r]) for r in _block(base | number, parts, docs, shards, ways, texts))
+                parts, docs, held, weight, number = [], [], 0, 0, number + 1
 
         for batch in slices(batches, "text"):
-            for uid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text")), strict=True):
+            flat, edges = _words(batch.column("text"))
+            edges, lengths = edges.tolist(), pc.binary_length(batch.column("text")).to_pylist()
+            for uid, doc, length, begin, end in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id")), lengths, edges, edges[1:], strict=False):
                 base = uid >> 33 << 24  # the partition of the texts, which a union doesn't renumber
-                tokens = text.lower().split()
-                before = 0  # the context of the first word: an end
-                for at in range(0, len(tokens) + 1, BLOCK_TOKENS):  # a longer text in parts
-                    part = tokens[at : at + BLOCK_TOKENS]
-                    if held + len(part) > BLOCK_TOKENS or len(docs) >= 1 << 18:
-                        before_word = tokens[at - 1] if at else None
+                for at in range(begin, end + 1, BLOCK_TOKENS):  # a longer text in parts
+                    size = min(BLOCK_TOKENS, end - at)
+                    if held + size > BLOCK_TOKENS or weight + length > BLOCK_BYTES or len(docs) >= 1 << 18:
                         yield from flush()
-                        before = words.setdefault(before_word, len(words) + 1) if before_word is not None else 0
-                    local = np.fromiter((words.setdefault(w, len(words) + 1) for w in part), np.int64, len(part))
-                    last = at + BLOCK_TOKENS > len(tokens)
-                    seq = np.concatenate(([before], local, [0] * last)).astype(np.int64)
-                    ids.append(seq)
-                    docs.append((uid, doc or 0, doc is None, len(seq) - 1, held_out(doc)))
-                    held += len(seq)
-                    before = int(seq[-1])
+                    follows, last = at > begin, at + BLOCK_TOKENS > end
+                    parts.append(flat.slice(at - follows, size + follows))
+                    docs.append((uid, doc or 0, doc is None, size + last, held_out(doc), follows, last))
+                    held, weight = held + size + 1 + last, weight + length
         yield from flush()
 
     return run
 
 
-def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: list[tuple], shards: int, ways: Ways, texts: bool) -> Iterator[Row]:
+def _block(number: int, parts: list[pa.Array], docs: list[tuple], shards: int, ways: Ways, texts: bool) -> Iterator[Row]:
+    uid, doc, null, size, out, follows, last = (np.array(x) for x in zip(*docs, strict=True))
+    told = pa.concat_arrays(parts).dictionary_encode()
+    words = told.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
     # words by the order of their hashes, so that pairs stand alike in every block
     names, rank = np.unique(np.concatenate(([END], np.fromiter(map(word_hash, words), np.uint64, len(words)))), return_inverse=True)
-    owner = np.repeat(np.arange(len(ids)), [len(x) - 1 for x in ids])
-    v = rank[np.concatenate([x[:-1] for x in ids])]
-    w = rank[np.concatenate([x[1:] for x in ids])]
+    # a part is its context (the word before it, else an end), its words, and an end where the text ends
+    ends = np.cumsum(size + 1)
+    first, final = np.zeros(ends[-1], bool), np.zeros(ends[-1], bool)
+    first[ends - size - 1] = final[ends - 1] = True
+    is_word = np.ones(ends[-1], bool)
+    is_word[(ends - size - 1)[~follows]] = is_word[(ends - 1)[last]] = False
+    token = np.full(ends[-1], rank[0])
+    token[is_word] = rank[1:][told.indices.to_numpy()]
+    owner, v, w = np.repeat(np.arange(len(size)), size), token[~final], token[~first]
     keys = v.astype(np.uint64) << np.uint64(41) | w.astype(np.uint64) << np.uint64(18) | owner.astype(np.uint64)
     keys.sort()
     fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -252,7 +267,6 @@ def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: li
     part = np.where(k > 1, mixed(mixed(names, 6)[w] % k, 7), np.uint64(0))
     shard = (mixed(names[v] ^ part, 8) % np.uint64(shards)).astype(np.int64)
     text = (keys & np.uint64((1 << 18) - 1)).astype(np.int64)
-    uid, doc, null, size, out = (np.array(x) for x in zip(*docs, strict=True))
     train = np.add.reduceat(np.where(out[text], 0, times), pair)
     checks = mixed(mixed(names)[v] + names[w])
     asked, n, check, order = [], [], [], []
@@ -262,10 +276,15 @@ def _block(number: int, words: dict[bytes, int], ids: list[np.ndarray], docs: li
         check.append(np.bitwise_xor.reduce(checks[own]))
         order.append(own)
         if not texts:
-            used = np.zeros(len(names), bool)
-            used[v[own]] = used[w[own]] = True
-            at = np.cumsum(used) - 1
-            yield s, PAIRS, number, dump(steps(names[used]), narrow(np.diff(at[v[own]], prepend=0)), narrow(at[w[own]]), narrow(train[own]))
+            if len(own) < len(names) >> 5:  # one of many shards: its words are few
+                used, at = np.unique(np.concatenate((v[own], w[own])), return_inverse=True)
+                context, dish = at[: len(own)], at[len(own) :]
+            else:
+                used = np.zeros(len(names), bool)
+                used[v[own]] = used[w[own]] = True
+                at = np.cumsum(used) - 1
+                context, dish = at[v[own]], at[w[own]]
+            yield s, PAIRS, number, dump(steps(names[used]), narrow(np.diff(context, prepend=0)), narrow(dish), narrow(train[own]))
     if texts:
         order = np.concatenate(order)
         p = posts[order]
@@ -479,6 +498,8 @@ def _answer(number: int, x: Numbers | None, seed: int, rounds: int):
         yield owner, ROOT, number, dump(narrow(seats.count), narrow(seats.tables), narrow(seats.sizes))
         yield owner, LAST, number, dump(narrow(seats.count), narrow(seats.tables), narrow(contexts))
         for part, (d, s) in index.items():
+            if not len(d) and not len(s):
+                continue  # a shard that only asked once, at the start, doesn't wait for this owner
             yield part, REPLY, owner, dump(narrow(seats.count[d]), narrow(seats.tables[d]), narrow(c_ctx[s]), narrow(contexts[s]))
         sums = np.zeros(4)
         if x is not None:

@@ -249,3 +249,38 @@ def test_split_contexts_score_as_whole_ones(spark, monkeypatch):
     assert all(abs(whole[i].base_score - split[i].base_score) < 1e-6 for i in whole)
     total = lambda x: sum(r.score for r in x.values())
     assert abs(total(split) / total(whole) - 1) < 0.02
+
+
+def test_an_owner_of_words_that_came_once_is_asked_once():
+    """An owner whose words of a shard all came once has nothing to answer between sweeps."""
+    texts = [(i, f"a b{i} c{i} d{i} a a") for i in range(12)]
+    got = in_process(texts, 3, 9, 1, 1, (1.0, 0.5))
+    assert sorted(r["doc_id"] for r in got) == list(range(12)) and all(r["score"] < 0 for r in got)
+
+
+def test_blocks_are_bounded_by_bytes_too(monkeypatch):
+    """Long words, odd bytes and white space of every kind: blocks hold few bytes, and all pairs whatever the blocks."""
+    texts = [b"x" * 900, b" \x0bA b\x0c", b"", b"\xff\xc3 B\x1cB\x85 a", b"x" * 900 + b" a b", b"a b " * 300]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "text"])
+    ways = lm.Ways(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+    def told():
+        rows = [r for b in lm._pairs(1, ways, False)(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in lm.ROWS.fieldNames()), strict=True)]
+        pairs = Counter()
+        for _, _, _, data in rows:
+            words, v, w, n = lm.load(data)
+            names = np.cumsum(words)
+            for a, b, k in zip(names[np.cumsum(v.astype(int))].tolist(), names[w].tolist(), n.tolist(), strict=True):
+                pairs[a, b] += k
+        return len(rows), pairs
+
+    want = Counter()
+    for i, t in zip(columns[1].to_pylist(), texts, strict=True):
+        h = [0, *map(lm.word_hash, t.lower().split()), 0]
+        for pair in zip(h, h[1:], strict=False):
+            want[pair] += not lm.held_out(i)
+    assert told() == (1, want)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1000)
+    few, pairs = told()
+    assert few == 3 and pairs == want
