@@ -114,3 +114,18 @@ def test_table_forms(spark):
     for name, (form, said) in forms.items():
         got = spark.createDataFrame([(said,)], "t string").select(form(F.col("t"))).first()[0]
         assert got == want, name
+
+
+def test_orders_with_equal_texts_are_scored_once(spark, tmp_path, monkeypatch):
+    """q01's scoring gets a row per group and pair of texts, however many orders share them; means count every order."""
+    from structscore import catalog
+
+    orders = [(i, "FO"[i % 2], "1-URGENT") for i in range(400)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i, n) for i, _, _ in orders for n in range(1, 6 if i < 100 else 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, score = [], scoring.score_tables
+    monkeypatch.setattr(catalog.scoring, "score_tables", lambda df, *a, **k: (seen.append(df.count()), score(df, *a, **k))[1])
+    out = {r.o_orderstatus: r for r in catalog.q01_table_scores(spark, str(tmp_path)).collect()}
+    assert seen == [4]
+    assert {k: (r.n, r.em, r.map_high) for k, r in out.items()} == {"F": (200, 0.75, 1.0), "O": (200, 0.75, 1.0)}
