@@ -652,7 +652,7 @@ def q38_judge_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("SE_NONE", md(1, 2), md(1, 2)),
     ]
     pick = lambda i: F.get(F.array(*[F.lit(f[i]) if isinstance(f[i], str) else f[i] for f in forms]), k.cast("int"))
-    rows = table(spark, sf_dir, "customer").select(
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(
         "c_custkey", pick(0).alias("task"), pick(1).alias("prediction"), pick(2).alias("reference"), F.when(k == 6, "饼图").otherwise("柱状图").alias("chart_type")
     )
     return judging.judge(rows).select("c_custkey", "error", "score.em", F.round("score.map_high", 6).alias("map_high"))

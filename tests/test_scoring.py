@@ -129,3 +129,14 @@ def test_orders_with_equal_texts_are_scored_once(spark, tmp_path, monkeypatch):
     out = {r.o_orderstatus: r for r in catalog.q01_table_scores(spark, str(tmp_path)).collect()}
     assert seen == [4]
     assert {k: (r.n, r.em, r.map_high) for k, r in out.items()} == {"F": (200, 0.75, 1.0), "O": (200, 0.75, 1.0)}
+
+
+def test_texts_of_a_small_file_are_judged_in_many_tasks(spark, tmp_path, monkeypatch):
+    """q38's rows are dealt before they are judged: customers come in one small file."""
+    from structscore import catalog
+
+    spark.range(200).selectExpr("id AS c_custkey", "'Customer' || id AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    seen = []
+    monkeypatch.setattr(catalog.judging, "judge", lambda rows: (seen.append(rows.rdd.getNumPartitions()), rows.selectExpr("*", "NULL AS error", "named_struct('em', 1.0, 'map_high', 1.0) AS score"))[1])
+    assert catalog.q38_judge_all_forms(spark, str(tmp_path)).count() == 200
+    assert seen[0] >= 4 * spark.sparkContext.defaultParallelism
